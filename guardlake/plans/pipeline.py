@@ -1,0 +1,88 @@
+"""The guard pipeline from messages to decisions, as one lazy plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from guardlake import catalog as C
+from guardlake.operators import classify as K
+from guardlake.operators import dlp
+from guardlake.operators import normalize as N
+from guardlake.operators import policy as P
+from guardlake.operators import scan
+from guardlake.operators import sessions as S
+from guardlake.sources import bundle, tables
+
+
+def message_features(messages: DataFrame) -> DataFrame:
+    """Narrow numeric features per message; the text is read once and dropped here."""
+    df = scan.score_columns(scan.with_signals(N.normalize(N.sized(messages))))
+    df = dlp.score_columns(dlp.with_counts(df))
+    return df.select(
+        "conv_id", "turn", "role", "bytes", "has_control_chars", "scan_points", "signal_count",
+        *[f"is_{n}" for n in C.INPUT_LABELS], "dlp_points", "match_count", *[f"dlp_{n}" for n in C.DLP_LABELS])
+
+
+def attachment_features(attachments: DataFrame) -> DataFrame:
+    """DLP points and labels of each request's attachments: content and metadata."""
+    both = dlp.with_counts(attachments, "att_text")
+    both = both.withColumn("meta", dlp.metadata_text("name", "content_type", "uri"))
+    both = dlp.with_counts(both, "meta", C.METADATA_DETECTORS)
+    scored = dlp.score_columns(both, C.DETECTORS + C.METADATA_DETECTORS)
+    return scored.groupBy("trace_id").agg(
+        F.sum("dlp_points").alias("att_points"), F.count(F.lit(1)).alias("attachment_count"),
+        *[F.max(f"dlp_{n}").alias(f"att_{n}") for n in C.DLP_LABELS])
+
+
+def request_features(messages: DataFrame, requests: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Features of every request: request t of a conversation is its turns 0..t.
+
+    Each message is scanned once; running sums and flags over the (bounded)
+    conversation replace any join of turns with turns.  Capping after the sum
+    equals the capped sum.
+    """
+    turns = N.within_request_limit(message_features(messages), messages)
+    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    flags = [*[f"is_{n}" for n in C.INPUT_LABELS], *[f"dlp_{n}" for n in C.DLP_LABELS]]
+    running = turns.select(
+        "conv_id", "turn", "role", "request_bytes",
+        *[F.sum(n).over(upto).alias(n) for n in ("scan_points", "signal_count", "dlp_points", "match_count")],
+        *[F.max(n).over(upto).alias(n) for n in flags],
+        F.bool_or("has_control_chars").over(upto).alias("has_control_chars"),
+        F.bool_or(F.col("role") == "system").over(upto).alias("has_system_messages"),
+        F.bool_or(F.col("role") == "developer").over(upto).alias("has_developer_messages"),
+        F.count(F.lit(1)).over(upto).alias("message_count"),
+        F.count_if(F.col("role") == "user").over(upto).alias("request_count"))
+    asked = running.filter(F.col("role") == "user").drop("role").join(requests, ["conv_id", "turn"])
+    full = asked.join(attachment_features(attachments), "trace_id", "left")
+    merged = {f"dlp_{n}": F.greatest(F.col(f"dlp_{n}"), F.coalesce(F.col(f"att_{n}"), F.lit(0))) for n in C.DLP_LABELS}
+    full = full.withColumns(merged).withColumn("dlp_points", F.col("dlp_points") + F.coalesce("att_points", F.lit(0)))
+    full = (full.withColumn("input_score", scan.capped("scan_points")).withColumn("dlp_score", scan.capped("dlp_points"))
+            .withColumn("input_labels", scan.labels_from_flags(C.INPUT_LABELS))
+            .withColumn("dlp_labels", scan.labels_from_flags(C.DLP_LABELS, "dlp_"))
+            .withColumn("attachment_count", F.coalesce("attachment_count", F.lit(0)))
+            .drop(*flags, *[f"att_{n}" for n in C.DLP_LABELS], "att_points", "scan_points", "dlp_points"))
+    return full
+
+
+def with_offline_risk(features: DataFrame) -> DataFrame:
+    """Session risk from what the request table itself knows (no refusal feedback;
+    ``streaming.state`` replays that exactly)."""
+    zero = {n: F.lit(0) for n in ("refusal_count", "tool_request_count", "injection_attempt_count", "escalation_pattern_count")
+            if n not in features.columns}
+    return S.session_risk(features.withColumns(zero) if zero else features)
+
+
+def decisions(features: DataFrame, rules=None) -> DataFrame:
+    """Risk, classification and policy: narrow expressions plus one broadcast of the bundle."""
+    return P.decide(K.classify(with_offline_risk(features)), rules or bundle.shipped())
+
+
+def features_of(spark, folder: str) -> DataFrame:
+    return request_features(tables.fx_messages(spark, folder), tables.fx_requests(spark, folder),
+                            tables.fx_attachments(spark, folder))
+
+
+def decisions_of(spark, folder: str) -> DataFrame:
+    return decisions(features_of(spark, folder))

@@ -1,0 +1,20 @@
+import sys,time
+sys.path.insert(0,'/root/repo')
+from guardlake.spark import build_session
+from guardlake.plans import pipeline as PL
+spark=build_session(cores="8")
+sf=sys.argv[1] if len(sys.argv)>1 else '/root/testdata/sf0.01'
+t=time.time(); d=PL.decisions_of(spark,sf).select('trace_id','input_score','input_labels','dlp_score','dlp_labels','risk_state','label','confidence','rule_name','action').toPandas(); print(time.time()-t)
+t=time.time(); d=PL.decisions_of(spark,sf).select('trace_id','input_score','input_labels','dlp_score','dlp_labels','risk_state','label','confidence','rule_name','action').toPandas(); print(time.time()-t)
+print(d.groupby(['action','rule_name']).size())
+from oracle.base import sql
+import duckdb,glob,os
+c=duckdb.connect()
+for f in glob.glob(sf+'/*.parquet'): c.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+t=time.time(); o=c.sql(sql("select trace_id,input_score,input_labels,dlp_score,dlp_labels,risk_state,label,confidence,rule_name,action from dec","dec")).df(); print('duck',time.time()-t)
+for x in ('input_labels','dlp_labels'): d[x]=d[x].map(lambda v: ','.join(v))
+d=d.sort_values('trace_id').reset_index(drop=True); o=o.sort_values('trace_id').reset_index(drop=True)
+print(len(d),len(o))
+for col in d: 
+    bad=(d[col]!=o[col])
+    if bad.any(): print(col,bad.sum(),d[bad].head(3).to_dict('records'),o[bad].head(3).to_dict('records'))
