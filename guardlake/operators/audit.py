@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.functions.rows import exploded, posexploded
+
 EVENT = "struct<event_type:string,severity:string,detail:string>"
 
 
@@ -34,7 +36,7 @@ def audit_events(df: DataFrame, keys: list[str]) -> DataFrame:
                _event("output_guard_action", F.when(c("output_action") == "block", "high").otherwise("medium"), c("output_action"))),
         F.when(c("residual_count") > 0,
                _event("prompt_pii_residual_alert", "high", c("residual_count").cast("string")))))
-    return (df.select(*keys, F.posexplode(events).alias("event_pos", "e"))
+    return (posexploded(df, keys, events, "event_pos", "e")
             .select(*keys, "event_pos", "e.event_type", "e.severity", "e.detail"))
 
 
@@ -45,8 +47,9 @@ def recent_events(events: DataFrame, limit: int = 100, offset: int = 0, order=("
     skips the newest instead, as a reader would expect of a page."""
     limit, offset = max(1, min(limit, 10000)), max(0, offset)
     newest = events.orderBy(*[F.desc(c) for c in order])
-    page = newest.offset(offset).limit(limit) if skip_newest else newest.limit(limit)
-    return page
+    if skip_newest:
+        return newest.offset(offset).limit(limit)
+    return newest.limit(limit + offset).orderBy(*order).offset(offset)
 
 
 def outcome(df: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def stage_durations(log: DataFrame, keys: list[str], timings: str = "timings_ms"
     steps = F.transform("_m", lambda m, i: F.struct(
         m["stage"].alias("stage"), i.alias("stage_pos"), m["at"].alias("at_ms"),
         (m["at"] - F.when(i > 0, F.get("_m", i - 1)["at"]).otherwise(0.0)).alias("stage_ms")))
-    return log.select(*keys, F.explode(steps).alias("s")).select(*keys, "s.stage", "s.stage_pos", "s.at_ms", "s.stage_ms")
+    return exploded(log, keys, steps, "s").select(*keys, "s.stage", "s.stage_pos", "s.at_ms", "s.stage_ms")
 
 
 def trace_lookup(events: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions.cache import remember
+from guardlake.functions.rows import exploded, posexploded
 from guardlake.operators.scan import capped, labels_from_flags
 
 
@@ -73,7 +74,7 @@ def matches(df: DataFrame, text: str = "content", keys=("conv_id", "turn"), dete
             F.lit(d.category).alias("category"), F.lit(d.severity).alias("severity"),
             F.lit(d.name).alias("pattern_name"), F.lit(_pattern(d)).alias("regex"), got.alias("found")))
 
-    per_detector = df.select(*keys, text, F.explode(F.array_compact(F.array(*[found(d) for d in detectors]))).alias("d"))
+    per_detector = exploded(df, [*keys, text], F.array_compact(F.array(*[found(d) for d in detectors])), "d")
     if not preview:
         return per_detector.select(*keys, "d.category", "d.severity", "d.pattern_name",
                                    F.posexplode("d.found").alias("match_pos", "matched"))
@@ -84,9 +85,8 @@ def matches(df: DataFrame, text: str = "content", keys=("conv_id", "turn"), dete
     add = lambda acc, x: acc + x
     start = lambda i: (F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), add)
                        + F.aggregate(F.slice(sizes, 1, i), F.lit(0), add))
-    placed = sized.select(*keys, text, "category", "severity", "pattern_name",
-                          F.posexplode(F.transform("found", lambda m, i: F.struct(m.alias("matched"), start(i).alias("start"))))
-                          .alias("match_pos", "m"))
+    spots = F.transform("found", lambda m, i: F.struct(m.alias("matched"), start(i).alias("start")))
+    placed = posexploded(sized, [*keys, text, "category", "severity", "pattern_name"], spots, "match_pos", "m")
     left = F.greatest(F.lit(0), F.col("m.start") - C.PREVIEW_MARGIN)
     right = F.col("m.start") + F.char_length("m.matched") + C.PREVIEW_MARGIN
     around = F.substring(F.col(text), left + 1, right - left)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake.functions.cache import remember
+from guardlake.functions.rows import posexploded
 from guardlake.sources.bundle import Bundle, rule_table
 
 _has = lambda col, value: F.array_contains(F.coalesce(F.col(col), F.array().cast("array<string>")), value)
@@ -64,7 +65,7 @@ def all_matches(df: DataFrame, bundle: Bundle, keys: list[str]) -> DataFrame:
     hits = F.array_compact(F.array(*[
         F.when(rule_matches(r), F.struct(F.lit(i).alias("rule_ord"), F.lit(r["name"]).alias("rule_name")))
         for i, r in enumerate(bundle.rules) if r["enabled"]]))
-    return (df.select(*keys, F.posexplode(hits).alias("pos", "r"))
+    return (posexploded(df, keys, hits, "pos", "r")
             .select(*keys, "r.rule_ord", "r.rule_name", (F.col("pos") > 0).alias("shadowed")))
 
 

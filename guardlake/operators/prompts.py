@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions import text as T
+from guardlake.functions.rows import exploded, posexploded
 from guardlake.operators import redact as R
 
 _bullets = lambda lines: "\n".join(f"- {line}" for line in lines)
@@ -74,7 +75,7 @@ def sections(df: DataFrame, keys: list[str]) -> DataFrame:
     built = F.array_compact(F.array(*[
         F.when(test, F.struct(F.lit(name).alias("name"), F.lit(trust).alias("trust_level"), content.alias("section_text")))
         for (name, trust), (test, content) in zip(C.SECTIONS, parts)]))
-    return (df.select(*keys, F.posexplode(built).alias("section_pos", "s"))
+    return (posexploded(df, keys, built, "section_pos", "s")
             .select(*keys, "section_pos", F.col("s.name").alias("section_name"), "s.trust_level", "s.section_text"))
 
 
@@ -128,14 +129,14 @@ def integrity(section_rows: DataFrame, keys: list[str]) -> DataFrame:
     row_checks += [F.when(trusted & text.rlike(X.java(p, True)),
                           F.struct(F.lit("sensitive_keyword_in_trusted").alias("kind"), F.lit(p).alias("rule"), F.col("section_name").alias("where")))
                    for p in C.TRUSTED_KEYWORDS]
-    per_row = (ranked.select(*keys, F.explode(F.array_compact(F.array(*row_checks))).alias("v"))
+    per_row = (exploded(ranked, keys, F.array_compact(F.array(*row_checks)), "v")
                .select(*keys, "v.kind", "v.rule", "v.where"))
     flags = section_rows.groupBy(*keys).agg(*[
         F.bool_or(test & text.rlike(X.java(p, True))).alias(f"{side}{i}")
         for i, pair in enumerate(C.CONTRADICTIONS)
         for side, p, test in (("t", pair[0], trusted), ("u", pair[1], ~trusted))])
     crossed = F.array_compact(F.array(*[F.when(F.col(f"t{i}") & F.col(f"u{i}"), F.lit(pair[0])) for i, pair in enumerate(C.CONTRADICTIONS)]))
-    across = (flags.select(*keys, F.explode(crossed).alias("rule"))
+    across = (exploded(flags, keys, crossed, "rule")
               .select(*keys, F.lit("contradiction_detected").alias("kind"), "rule", F.lit("").alias("where")))
     return per_row.unionByName(across)
 

@@ -105,11 +105,11 @@ def _unmarked(text: Column, found: Column, sizes: Column, gaps: Column) -> Colum
 
 def failsafe(df: DataFrame, text: str) -> DataFrame:
     """Redact only texts that still hold sensitive matches; report whether they changed."""
-    df = redact(with_residual_count(df, text), text, "_masked", "_n")
-    changed = (F.col("residual_count") > 0) & (F.col("_n") > 0) & (F.col("_masked") != F.col(text))
-    return (df.withColumn("was_redacted", changed)
-            .withColumn(text, F.when(F.col("was_redacted"), F.col("_masked")).otherwise(F.col(text)))
-            .drop("_masked", "_n"))
+    df = with_residual_count(df, text)
+    df = redact(df.withColumn("_open", F.when(F.col("residual_count") > 0, F.col(text))), "_open", "_masked")
+    return (df.withColumn("was_redacted", F.coalesce(F.col("_masked") != F.col(text), F.lit(False)))
+            .withColumn(text, F.coalesce("_masked", F.col(text)))
+            .drop("_open", "_masked"))
 
 
 def redaction_counts(df: DataFrame, kind: str, text: str, skip: Column | None = None) -> DataFrame:

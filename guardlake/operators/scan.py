@@ -11,6 +11,7 @@ from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions import text as T
 from guardlake.functions.cache import remember
+from guardlake.functions.rows import exploded
 
 _SIGNAL = "array<struct<category:string,severity:string,weight:int,pattern:string>>"
 
@@ -113,8 +114,8 @@ def leak_label(pattern: Column) -> Column:
 
 def signals_long(df: DataFrame, text: str = "content", keys=("conv_id", "turn"), **kw) -> DataFrame:
     """One row per (text, pattern) hit, with the first characters as evidence."""
-    return (with_signals(df, text, **kw)
-            .select(*keys, F.substring(text, 1, C.EVIDENCE_CHARS).alias("evidence"), F.explode("signals").alias("s"))
+    found = with_signals(df, text, **kw)
+    return (exploded(found, [*keys, F.substring(text, 1, C.EVIDENCE_CHARS).alias("evidence")], "signals", "s")
             .select(*keys, "s.category", "s.severity", "s.weight", "s.pattern", "evidence"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions import text as T
+from guardlake.functions.rows import posexploded
 
 CALLS = "array<struct<name:string,arguments:map<string,string>>>"
 
@@ -20,8 +21,8 @@ def tool_registry(spark: SparkSession) -> DataFrame:
 def tool_calls(requests: DataFrame, requested: str = "requested_tools") -> DataFrame:
     """One row per requested call, with its position."""
     calls = F.from_json(F.col(requested), CALLS)
-    return (requests.withColumn("_calls", calls)
-            .select(*[c for c in requests.columns if c != requested], F.posexplode("_calls").alias("call_pos", "_c"))
+    kept = [c for c in requests.columns if c != requested]
+    return (posexploded(requests.withColumn("_calls", calls), kept, "_calls", "call_pos", "_c")
             .withColumn("tool_name", F.coalesce(F.nullif(F.col("_c.name"), F.lit("")), F.lit("unknown")))
             .withColumn("arguments", F.coalesce(F.col("_c.arguments"), F.create_map().cast("map<string,string>")))
             .drop("_c"))

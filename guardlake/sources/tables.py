@@ -98,7 +98,7 @@ FROM {conversations} WHERE (conv_id + turn) % 5 = 0"""
 # ten candidates per request, as a retrieval backend would return them
 FX_CANDIDATES = """
 SELECT r.conv_id * 100 + r.turn AS trace_id, r.conv_id * 10 + (r.turn * 3 + j.j) % 10 AS chunk_id,
-  ((r.conv_id * 31 + r.turn * 7 + j.j * 17) % 1000) / 1000.0 AS score
+  CAST((r.conv_id * 31 + r.turn * 7 + j.j * 17) % 1000 AS DOUBLE) / 1000 AS score
 FROM {conversations} r CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
   UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) j
 WHERE r.role = 'user'"""
