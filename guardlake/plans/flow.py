@@ -20,6 +20,7 @@ from guardlake.operators import scan
 from guardlake.operators import sessions as S
 from guardlake.operators import tools as TL
 from guardlake.sources import bundle, tables
+from guardlake.spark import kept
 
 
 def message_features(messages: DataFrame) -> DataFrame:
@@ -95,6 +96,11 @@ def decisions_of(spark, folder: str) -> DataFrame:
     return decisions(features_of(spark, folder))
 
 
+def kept_decisions(spark, folder: str) -> DataFrame:
+    """Decisions as a written table, for plans that join them more than once."""
+    return kept(decisions_of(spark, folder))
+
+
 # --- after the policy: retrieval, tools, prompts, answers -------------------
 
 def guarded_candidates(spark, folder: str, decided: DataFrame) -> DataFrame:
@@ -146,9 +152,9 @@ def authorized_calls(spark, folder: str, decided: DataFrame) -> DataFrame:
     return TL.authorize(calls.join(context, "trace_id"))
 
 
-def inspected(spark, folder: str, decided: DataFrame) -> DataFrame:
+def inspected(spark, folder: str, prompt_facts: DataFrame) -> DataFrame:
     """Answers of passed requests with the output guard's decision."""
-    sized = prompts(spark, folder, decided).select("trace_id", "response_mode", "prompt_chars")
+    sized = prompt_facts.select("trace_id", "response_mode", "prompt_chars")
     answers = (tables.fx_responses(spark, folder).select("trace_id", "output_text", "field").join(sized, "trace_id")
                .join(tables.fx_guard(spark, folder).drop("model", "guard_reasons"), "trace_id", "left"))
     return OG.output_action(OG.with_dlp(answers))
@@ -164,13 +170,13 @@ def rate_allowed(requests: DataFrame) -> DataFrame:
 
 def served_of(spark, folder: str) -> DataFrame:
     """One wide row per request: every decision and the outcome."""
-    decided = decisions_of(spark, folder)
+    decided = kept_decisions(spark, folder)
     blocked = authorized_calls(spark, folder, decided).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("requested_tool_count"),
         F.array_sort(F.collect_set(F.when(~F.col("allowed"), F.concat_ws(":", "tool_name", "decision")))).alias("blocked_tools"))
-    text = prompts(spark, folder, decided)
-    prompt = RD.with_residual_count(text, "prompt_text").select("trace_id", "residual_count", "token_budget_exceeded")
-    answers = inspected(spark, folder, decided).select("trace_id", "output_action")
+    facts = kept(RD.with_residual_count(prompts(spark, folder, decided), "prompt_text").drop("prompt_text"))
+    prompt = facts.select("trace_id", "residual_count", "token_budget_exceeded")
+    answers = inspected(spark, folder, facts).select("trace_id", "output_action")
     wide = (decided.join(rate_allowed(decided), "trace_id").join(blocked, "trace_id", "left")
             .join(prompt, "trace_id", "left").join(answers, "trace_id", "left"))
     wide = wide.withColumns({

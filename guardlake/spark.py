@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "guardlake", cores: str = "*", **extra: str) -> SparkSession:
@@ -31,3 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     made = os.environ.setdefault("GUARDLAKE_SHARED", tempfile.mkdtemp(prefix="guardlake-"))
     return made
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate result once and read it back.
+
+    For results that one plan uses several times: the text scans behind them then
+    run once, and a lost executor re-reads the table instead of scanning again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -38,10 +38,6 @@ SQL["load_chunks"] = sql("SELECT chunk_id, document_id, chunk_tenant, sensitivit
 _audit = "SELECT event_id, us, session_id, subject, action AS event_type, reason_code, strftime(ts, '%Y-%m-%d') AS event_date FROM fx_log WHERE action IN ('deny', 'challenge')"
 SQL["audit_sink"] = sql(f"SELECT event_date, event_type, count(*) AS events, min(event_id) AS first_event, {big('sum(session_id)')} AS sessions_sum FROM ({_audit}) a GROUP BY ALL", "fx_log")
 SQL["audit_recent"] = sql(f"SELECT event_id, event_type, subject, us FROM ({_audit}) a ORDER BY us DESC, event_id DESC LIMIT 50", "fx_log")
-SQL["decision_log"] = sql("""
-SELECT trace_id, session_id, subject, tenant_id, message_count, attachment_count, requested_tool_count, allow_retrieval AS retrieval_allowed,
-  risk_state, input_score, dlp_score, label, action, reason_code, outcome, output_action
-FROM served WHERE outcome NOT IN ('rate_limited', 'budget_exceeded')""", "served") if "served" in CTE else ""
 SQL["latest_state"] = sql("""
 SELECT tenant_id AS namespace, session_id AS key, arg_max(action, (us, event_id)) AS payload, max((us, event_id))[1] AS updated_at, max((us, event_id))[2] AS event_id
 FROM fx_log GROUP BY ALL ORDER BY updated_at DESC, event_id DESC LIMIT 100""", "fx_log")
@@ -190,4 +186,3 @@ SQL["redaction_counts"] = sql(f"SELECT kind, count(*) AS seen, count(*) FILTER (
 SQL["dlp_corpus_profile"] = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT source, lang, {q(d.name)} AS detector, {big('sum(n)')} AS matches, count(*) AS documents FROM "
     f"(SELECT source, lang, {count_of('text', d.text)} AS n FROM documents) x WHERE n > 0 GROUP BY ALL" for d in C.DETECTORS) + ") y"
-SQL = {k: v for k, v in SQL.items() if v}
