@@ -3,9 +3,9 @@
 Operators never spell a pattern out; they read it here.  A pattern carries
 
 * ``text``   the pattern as reported in signals,
-* ``search`` an equivalent form for a yes/no search (open-ended repeats of a
-  group become the minimum count, so a long run cannot deepen the matcher's
-  stack); defaults to ``text``,
+* ``search`` an equivalent form for a yes/no search (open-ended repeats become
+  the minimum count, so a long run cannot deepen the matcher's stack; a run is
+  only tried from its start); defaults to ``text``,
 * ``needs``  literals that any matching text must hold (lower case): an AND of
   ORs.  A text without them skips the regular expression altogether.
 """
@@ -140,7 +140,7 @@ JAILBREAK = Family("jailbreak", "jailbreak_attempt", "high", 25, (
 ), ignore_case=True)
 
 OBFUSCATION = Family("obfuscation", "obfuscation", "medium", 15, (
-    Pattern(r"(?:[A-Za-z0-9+/]{20,}={0,2})", search=r"[A-Za-z0-9+/]{20}"),
+    Pattern(r"(?:[A-Za-z0-9+/]{20,}={0,2})", search=r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}"),
     Pattern(r"(?:\\u[0-9a-fA-F]{4}){4,}", (("\\u",),), r"(?:\\u[0-9a-fA-F]{4}){4}"),
     Pattern(r"(?:&#\d{2,5};){4,}", (("&#",),), r"(?:&#\d{2,5};){4}"),
     Pattern(r"(?:0x[0-9a-fA-F]{2}\s*){6,}", (("0x",),), r"(?:0x[0-9a-fA-F]{2}\s*){6}"),

@@ -22,7 +22,11 @@ def any_of(patterns, ignore_case: bool = False) -> str:
 
 def folded(text: Column) -> Column:
     """Lower case plus the two letters that fold onto ASCII only when case is ignored."""
-    return F.translate(F.lower(text), "ſı", "si")
+    return unfolded(F.lower(text))
+
+
+def unfolded(low: Column) -> Column:
+    return F.replace(F.replace(low, F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
 
 
 def holds_needed(low: Column, needs) -> Column | None:

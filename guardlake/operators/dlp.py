@@ -19,7 +19,8 @@ def points(severity: str) -> int:
 
 
 def _pattern(d: C.Detector) -> str:
-    return X.java(d.text, ignore_case=True)
+    has_letters = any(c.isalpha() for c in d.text.replace(r"\d", "").replace(r"\s", "").replace(r"\b", ""))
+    return X.java(d.text, ignore_case=has_letters)
 
 
 @remember

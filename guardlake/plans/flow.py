@@ -43,14 +43,15 @@ def attachment_features(attachments: DataFrame) -> DataFrame:
         *[F.max(f"dlp_{n}").alias(f"att_{n}") for n in C.DLP_LABELS])
 
 
-def request_features(messages: DataFrame, requests: DataFrame, attachments: DataFrame) -> DataFrame:
+def request_features(messages: DataFrame, requests: DataFrame, attachments: DataFrame,
+                     stored: DataFrame | None = None) -> DataFrame:
     """Features of every request: request t of a conversation is its turns 0..t.
 
     Each message is scanned once; running sums and flags over the (bounded)
     conversation replace any join of turns with turns.  Capping after the sum
     equals the capped sum.
     """
-    turns = N.within_request_limit(message_features(messages), messages)
+    turns = N.within_request_limit(message_features(messages), messages if stored is None else stored)
     upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     flags = [*[f"is_{n}" for n in C.INPUT_LABELS], *[f"dlp_{n}" for n in C.DLP_LABELS]]
     running = turns.select(
@@ -89,7 +90,7 @@ def decisions(features: DataFrame, rules=None) -> DataFrame:
 
 def features_of(spark, folder: str) -> DataFrame:
     return request_features(tables.fx_messages(spark, folder), tables.fx_requests(spark, folder),
-                            tables.fx_attachments(spark, folder))
+                            tables.fx_attachments(spark, folder), tables.fx_messages_stored(spark, folder))
 
 
 def decisions_of(spark, folder: str) -> DataFrame:
@@ -123,8 +124,7 @@ def retrieval_blocks(spark, folder: str, decided: DataFrame) -> DataFrame:
 
 def prompt_sections(spark, folder: str, decided: DataFrame) -> DataFrame:
     """Sections of every request the policy lets through."""
-    raw = tables.fx_messages(spark, folder)
-    turns = N.within_request_limit(N.normalize(N.sized(raw)), raw)
+    turns = N.within_request_limit(N.normalize(N.sized(tables.fx_messages(spark, folder))), tables.fx_messages_stored(spark, folder))
     history = PR.history_texts(turns).select("conv_id", "turn", "user_input", "assistant_history")
     passed = decided.filter(~F.col("action").isin("deny", "challenge")).select("trace_id", "conv_id", "turn", "response_mode")
     full = (history.join(passed, ["conv_id", "turn"])

@@ -147,7 +147,7 @@ def normalize_guard(spark, folder):
 @query("infer_guard_label")
 def infer_guard_label(spark, folder):
     rows = tables.fx_guard_raw(spark, folder).withColumn("label", G.infer_label(F.col("raw_text")))
-    docs = tables.table(spark, folder, "documents").select((-F.col("doc_id") - 1).alias("trace_id"), G.infer_label(F.col("text")).alias("label"))
+    docs = tables.texts(spark, folder, "documents").select((-F.col("doc_id") - 1).alias("trace_id"), G.infer_label(F.col("text")).alias("label"))
     both = rows.select("trace_id", "label").unionByName(docs)
     return both.select("trace_id", "label", G.default_number(F.col("label"), 0).alias("risk_score"),
                        G.default_number(F.col("label"), 1).cast("double").alias("confidence"))
@@ -171,18 +171,18 @@ def regression_pack(spark, folder):
 
 @query("detector_quality")
 def detector_quality(spark, folder):
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.texts(spark, folder, "documents")
     scored = scan.score_columns(scan.with_signals(docs, "text")).select("doc_id", (F.col("signal_count") > 0).alias("flagged"))
     return EV.quality(scored, tables.table(spark, folder, "labels"))
 
 
 @query("corpus_scan")
 def corpus_scan(spark, folder):
-    docs = tables.table(spark, folder, "documents").select("source", "lang", "text")
-    pages = tables.table(spark, folder, "pages").select(F.lit("page").alias("source"), F.lit("html").alias("lang"), F.col("html").alias("text"))
+    docs = tables.texts(spark, folder, "documents").select("source", "lang", "text")
+    pages = tables.texts(spark, folder, "pages").select(F.lit("page").alias("source"), F.lit("html").alias("lang"), F.col("html").alias("text"))
     return EV.corpus_scan(docs.unionByName(pages), ["source", "lang"])
 
 
 @query("corpus_riskiest")
 def corpus_riskiest(spark, folder):
-    return EV.riskiest(tables.table(spark, folder, "documents"), "doc_id")
+    return EV.riskiest(tables.texts(spark, folder, "documents"), "doc_id")

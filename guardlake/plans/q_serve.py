@@ -270,8 +270,7 @@ def apply_output(spark, folder):
 
 @query("guard_input_text")
 def guard_input_text(spark, folder):
-    raw = tables.fx_messages(spark, folder)
-    turns = N.within_request_limit(N.normalize(N.sized(raw)), raw)
+    turns = N.within_request_limit(N.normalize(N.sized(tables.fx_messages(spark, folder))), tables.fx_messages_stored(spark, folder))
     from pyspark.sql import Window
     upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     texts = F.array_join(F.collect_list(F.when(F.col("role") == "user", F.col("content"))).over(upto), "\n\n")

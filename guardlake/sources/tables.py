@@ -10,6 +10,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, small: int = 64) -> DataFrame:
+    """Deal the rows of a small table to all cores before a text scan.
+
+    A table of a few file splits would leave most cores idle.  Larger tables have
+    splits enough and are never shuffled for this.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < min(cores, small) else df
+
+
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(table(spark, folder, name))
+
+
 # Fixed phrases are appended by key arithmetic, so that every operator has
 # something to find; each overlay is one projection over a whole table and is
 # valid SQL for Spark and DuckDB alike.
@@ -141,12 +155,17 @@ MARKS = (("identity", 0.1), ("normalize", 0.3), ("rate_limit", 0.35), ("input_sc
          ("dlp_scan", 1.4), ("policy_decision", 1.6), ("prompt_build", 2.0), ("output_guard", 2.5))
 
 
-def overlay(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+def overlay(spark: SparkSession, folder: str, sql: str, read=table) -> DataFrame:
     names = [n for n in ("conversations", "documents", "events") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
+    return spark.sql(sql, **{n: read(spark, folder, n) for n in names})
 
 
 def fx_messages(spark, folder):
+    return overlay(spark, folder, FX_MESSAGES, texts)
+
+
+def fx_messages_stored(spark, folder):
+    """The same rows as the files hold them, for scans of sizes only."""
     return overlay(spark, folder, FX_MESSAGES)
 
 
@@ -155,7 +174,7 @@ def fx_requests(spark, folder):
 
 
 def fx_chunks(spark, folder):
-    chunks = overlay(spark, folder, FX_CHUNKS)
+    chunks = overlay(spark, folder, FX_CHUNKS, texts)
     digest = F.sha2(F.encode("chunk_text", "UTF-8"), 256)
     return (chunks.withColumn("content_hash", F.when(F.col("bad_hash"), "bad").otherwise(digest)).drop("bad_hash")
             .withColumn("trust_level", F.lit("semi_trusted")))
@@ -184,7 +203,7 @@ def fx_guard_raw(spark, folder):
 
 
 def fx_responses(spark, folder):
-    return overlay(spark, folder, FX_RESPONSES.replace("{fx_messages}", FX_MESSAGES))
+    return overlay(spark, folder, FX_RESPONSES.replace("{fx_messages}", FX_MESSAGES), texts)
 
 
 def fx_timings(spark, folder):

@@ -13,7 +13,7 @@ SQL: dict[str, str] = {}
 # --- audit ----------------------------------------------------------------
 
 _kinds = (
-    ("policy_decision", "'high'", "'action:' || reason_code", "action IN ('deny', 'challenge')"),
+    ("policy_decision", "'high'", "action || ':' || reason_code", "action IN ('deny', 'challenge')"),
     ("high_risk_input_scan", "'high'", "input_score || ':' || input_labels", "input_score >= 50"),
     ("dlp_detection", "CASE WHEN dlp_score >= 40 THEN 'high' ELSE 'medium' END", "dlp_score || ':' || dlp_labels", "dlp_score >= 20"),
     ("tool_blocked", "'medium'", "blocked_tools", "blocked_tools <> ''"),
