@@ -18,3 +18,13 @@ def exploded(df: DataFrame, keep: list, array: str | Column, name: str) -> DataF
 
 def posexploded(df: DataFrame, keep: list, array: str | Column, pos: str, name: str) -> DataFrame:
     return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` reads it.
+
+    Chained columns that read their predecessor twice double with every step when
+    the optimizer inlines them (as it does below a filter); a bound lambda
+    variable does not.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)

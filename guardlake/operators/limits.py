@@ -50,11 +50,11 @@ def multiplier(jailbreaks: Column, escalations: Column, injections: Column) -> C
     return F.least(F.lit(20), product)
 
 
-def with_prior_profile(log: DataFrame, row_id: str = "event_id") -> DataFrame:
+def with_prior_profile(log: DataFrame, row_id: str = "event_id", source: DataFrame | None = None) -> DataFrame:
     """Profile counts of the (client, subject) from refusals before each request."""
     denied = F.col("action") == "deny"
     add = {n: F.when(denied, c).otherwise(0) for n, c in code_counts().items()}
-    return running_counts(log, LIMIT_KEY, ["us", row_id], "us", add)
+    return running_counts(log, LIMIT_KEY, ["us", row_id], "us", add, source=source)
 
 
 def rate_verdict(log: DataFrame, row_id: str = "event_id") -> DataFrame:
@@ -65,7 +65,7 @@ def rate_verdict(log: DataFrame, row_id: str = "event_id") -> DataFrame:
     """
     denied = (F.col("action") == "deny").cast("int")
     rows = running_counts(log, ["session_id"], ["us", row_id], "us", {"injections_before": denied})
-    rows = sliding_hits(with_prior_profile(rows, row_id), row_id=row_id)
+    rows = sliding_hits(with_prior_profile(rows, row_id, source=log), row_id=row_id)
     rows = rows.withColumn("limit_multiplier", multiplier(
         F.col("jailbreak_attempts"), F.col("escalation_attempts"), F.col("injection_attempts")))
     rows = rows.withColumn("effective_limit", effective_limit(

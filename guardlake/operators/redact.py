@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
+from guardlake.functions.cache import remember
+from guardlake.functions.rows import let
 from guardlake.operators import dlp
 
 
@@ -15,32 +17,36 @@ def _step(rule: C.Rewrite) -> tuple[str, str]:
     return X.java(rule.text, rule.ignore_case), mark
 
 
+@remember
+def _rewritten(text: str, fold: str, rules, counted: bool) -> Column:
+    """The whole chain as one expression over a (text, count) pair; each step binds its input once."""
+    state = F.struct(F.col(text).alias("t"), F.lit(0).alias("n"))
+    for rule in rules:
+        pattern, mark = _step(rule)
+        cheap = X.holds_needed(F.col(fold), rule.needs)
+
+        def step(s):  # used at once, so it may read the loop variables
+            n = s["n"] + F.regexp_count(s["t"], F.lit(pattern)) if counted else s["n"]
+            done = F.struct(F.regexp_replace(s["t"], pattern, mark).alias("t"), n.alias("n"))
+            return done if cheap is None else F.when(cheap, done).otherwise(s)
+        state = let(state, step)
+    return state
+
+
 def redact(df: DataFrame, text: str, out: str | None = None, count: str | None = None,
            rules=C.PROMPT_REWRITES) -> DataFrame:
     """Apply the rewrites in order; optionally count the replacements.
 
-    Each step is a column of its own: the next step reads it twice (count and
-    rewrite), and separate projections keep the chain linear.  A text without
-    the literals a rule needs skips it; the literals are looked up in the
-    original text, because a mark ends in a bracket and so never completes a
-    keyword for a later rule.
+    A text without the literals a rule needs skips it; the literals are looked up
+    in the original text, because a mark ends in a bracket and so never completes
+    a keyword for a later rule.
     """
-    out = out or text
-    df = df.withColumn("_fold", X.folded(F.col(text))).withColumn("_r", F.col(text))
+    df = df.withColumn("_fold", X.folded(F.col(text)))
+    df = df.withColumn("_s", _rewritten(text, "_fold", rules, bool(count)))
+    done = {out or text: F.col("_s.t")}
     if count:
-        df = df.withColumn("_n", F.lit(0))
-    for rule in rules:
-        pattern, mark = _step(rule)
-        cheap = X.holds_needed(F.col("_fold"), rule.needs)
-        done = F.regexp_replace(F.col("_r"), pattern, mark)
-        steps = {"_r": done if cheap is None else F.when(cheap, done).otherwise(F.col("_r"))}
-        if count:
-            n = F.regexp_count(F.col("_r"), F.lit(pattern))
-            n = n if cheap is None else F.when(cheap, n).otherwise(0)
-            steps["_n"] = F.col("_n") + n
-        df = df.withColumns(steps)
-    df = df.withColumn(out, F.col("_r")).drop("_r", "_fold")
-    return df.withColumn(count, F.col("_n")).drop("_n") if count else df
+        done[count] = F.coalesce("_s.n", F.lit(0))
+    return df.withColumns(done).drop("_s", "_fold")
 
 
 def redact_output(text: Column) -> Column:

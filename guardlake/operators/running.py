@@ -9,26 +9,31 @@ HOUR_US = 3_600_000_000
 
 
 def running_counts(log: DataFrame, keys: list[str], order: list[str], us: str, counts: dict[str, Column],
-                   slot_us: int = HOUR_US, inclusive: bool = False) -> DataFrame:
-    """Add running sums over each key, cut into time slots.
+                   firsts: dict[str, Column] | None = None, source: DataFrame | None = None,
+                   slot_us: int = HOUR_US) -> DataFrame:
+    """Add, per row, sums (``counts``) and minima (``firsts``) over the key's earlier rows.
 
-    ``counts`` maps a new column to the integer it adds up.  Sums per (key, slot)
-    are pre-aggregated, their prefix runs over one small row per slot, and the
-    rows add a local running sum within their slot, so a hot key spreads over
-    its slots.  Without ``inclusive`` a row sees only earlier rows.
+    Keys are cut into time slots.  Totals per (key, slot) are pre-aggregated,
+    their prefix runs over one small row per slot, and each row adds what its own
+    slot holds before it, so a hot key spreads over its slots.  ``source`` is the
+    stored table with the same rows as ``log``: totals then read it rather than
+    repeat the work behind ``log``.
     """
-    names = list(counts)
-    sloted = log.withColumn("slot", F.floor(F.col(us) / slot_us))
-    totals = sloted.groupBy(*keys, "slot").agg(*[F.sum(counts[n]).cast("long").alias(f"t_{n}") for n in names])
+    firsts = firsts or {}
+    slot = F.floor(F.col(us) / slot_us)
+    totals = (log if source is None else source).withColumn("slot", slot).groupBy(*keys, "slot").agg(
+        *[F.sum(c).cast("long").alias(f"t_{n}") for n, c in counts.items()], *[F.min(c).alias(f"t_{n}") for n, c in firsts.items()])
     upto = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = totals.select(*keys, "slot", *[F.coalesce(F.sum(f"t_{n}").over(upto), F.lit(0)).alias(f"p_{n}") for n in names])
-    local = (Window.partitionBy(*keys, "slot").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = sloted.select("*", *[F.coalesce(F.sum(counts[n]).over(local), F.lit(0)).cast("long").alias(f"l_{n}") for n in names])
-    out = out.join(prefix, [*keys, "slot"])
-    for n in names:
-        out = out.withColumn(n, F.col(f"l_{n}") + F.col(f"p_{n}"))
-    return out.drop("slot", *[f"l_{n}" for n in names], *[f"p_{n}" for n in names])
+    prefix = totals.select(*keys, "slot", *[F.coalesce(F.sum(f"t_{n}").over(upto), F.lit(0)).alias(f"p_{n}") for n in counts],
+                           *[F.min(f"t_{n}").over(upto).alias(f"p_{n}") for n in firsts])
+    local = Window.partitionBy(*keys, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = log.withColumn("slot", slot)
+    own = own.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).cast("long").alias(f"l_{n}") for n, c in counts.items()],
+                     *[F.min(c).over(local).alias(f"l_{n}") for n, c in firsts.items()])
+    return (own.join(prefix, [*keys, "slot"])
+            .withColumns({**{n: F.col(f"l_{n}") + F.col(f"p_{n}") for n in counts},
+                          **{n: F.least(f"l_{n}", f"p_{n}") for n in firsts}})
+            .drop("slot", *[f"{p}_{n}" for p in "lp" for n in (*counts, *firsts)]))
 
 
 def trailing_count(log: DataFrame, keys: list[str], us: str, row_id: str, window_us: int, name: str,

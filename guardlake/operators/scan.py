@@ -11,7 +11,7 @@ from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions import text as T
 from guardlake.functions.cache import remember
-from guardlake.functions.rows import exploded
+from guardlake.functions.rows import exploded, let
 
 _SIGNAL = "array<struct<category:string,severity:string,weight:int,pattern:string>>"
 
@@ -78,7 +78,12 @@ def _utf8_lenient(raw: Column) -> Column:
     return F.replace(F.make_valid_utf8(kept), F.lit("�"), F.lit(""))
 
 
-def _peel(layer: Column) -> Column:
+@remember
+def _peel(name: str) -> Column:
+    return let(F.col(name), _one_layer)
+
+
+def _one_layer(layer: Column) -> Column:
     """Text one layer down, or null: strict base64 first, then hexadecimal pairs."""
     tail = F.substring(layer, -4, 4)
     is_b64 = (F.char_length(layer) % 4 == 0) & layer.rlike("^[A-Za-z0-9+/]+={0,2}$") & ~tail.rlike("^=")
@@ -86,8 +91,8 @@ def _peel(layer: Column) -> Column:
     pairs = F.split(layer, "[ \\t\\n\\r\\f\\x0b]+")
     is_hex = layer.rlike("^[0-9A-Fa-f \\t\\n\\r\\f\\x0b]+$") & F.forall(pairs, lambda p: F.char_length(p) % 2 == 0)
     hexed = F.when(is_hex, _utf8_lenient(F.unhex(F.array_join(pairs, ""))))
-    deep = lambda got: (got != layer) & (F.char_length(got) > C.NESTED_MIN_CHARS)
-    return T.strip(F.when(deep(b64), b64).when(deep(hexed), hexed))
+    deep = lambda got: F.when((got != layer) & (F.char_length(got) > C.NESTED_MIN_CHARS), got)
+    return T.strip(F.coalesce(let(b64, deep), let(hexed, deep)))
 
 
 def may_be_encoded(text: Column) -> Column:
@@ -100,7 +105,7 @@ def encoding_depth(df: DataFrame, text: str = "content", out: str = "nested_dept
     plain = F.col(text)
     df = df.withColumn("_l0", F.when(may_be_encoded(plain), T.strip(plain)))
     for i in range(C.NESTED_MAX_LAYERS):
-        df = df.withColumn(f"_l{i + 1}", F.when(F.col(f"_l{i}").isNotNull(), _peel(F.col(f"_l{i}"))))
+        df = df.withColumn(f"_l{i + 1}", _peel(f"_l{i}"))
     layers = [F.col(f"_l{i + 1}").isNotNull().cast("int") for i in range(C.NESTED_MAX_LAYERS)]
     return (df.withColumn(out, reduce(lambda a, b: a + b, layers))
             .drop(*[f"_l{i}" for i in range(C.NESTED_MAX_LAYERS + 1)]))

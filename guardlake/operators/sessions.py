@@ -18,23 +18,23 @@ def session_rollup(log: DataFrame, key: str = "session_id") -> DataFrame:
         F.count_if("tool_used").alias("tool_request_count"))
 
 
-def running(log: DataFrame, key: str = "session_id", row_id: str = "event_id") -> DataFrame:
-    """Counters as each request saw them: itself counted as a request, only earlier
-    refusals and tool uses."""
-    seen = running_counts(log, [key], ["us", row_id], "us", {
-        "earlier_requests": F.lit(1),
-        "refusal_count": (F.col("action") == "deny").cast("int"),
-        "tool_request_count": F.col("tool_used").cast("int")})
-    return seen.withColumn("request_count", F.col("earlier_requests") + 1).drop("earlier_requests")
-
+def with_counters(log: DataFrame, key: str = "session_id", row_id: str = "event_id") -> DataFrame:
+    """Counters as each request saw them: itself counted as a request, otherwise only earlier rows.
 
-def escalations(log: DataFrame, key: str = "session_id", row_id: str = "event_id") -> DataFrame:
-    """Injection attempts (every deny) and escalations (a second or later deny with score >= 60)
-    that lie before each request."""
+    Every deny is an injection attempt.  A deny with score >= 60 is an escalation
+    unless it is the session's first deny, so one pass suffices: earlier such
+    denies, less one if the first deny was one of them.
+    """
     denied = F.col("action") == "deny"
-    seen = running_counts(log, [key], ["us", row_id], "us", {"injection_attempt_count": denied.cast("int")})
-    step = (denied & (F.col("injection_attempt_count") + 1 >= 2) & (F.col("input_score") >= 60)).cast("int")
-    return running_counts(seen, [key], ["us", row_id], "us", {"escalation_pattern_count": step})
+    seen = running_counts(log, [key], ["us", row_id], "us", {
+        "earlier_requests": F.lit(1), "refusal_count": denied.cast("int"), "tool_request_count": F.col("tool_used").cast("int"),
+        "severe": (denied & (F.col("input_score") >= 60)).cast("int")},
+        {"first_deny": F.when(denied, F.struct("us", row_id, "input_score"))})
+    first_severe = F.coalesce(F.col("first_deny.input_score") >= 60, F.lit(False)).cast("int")
+    return (seen.withColumn("request_count", F.col("earlier_requests") + 1)
+            .withColumn("injection_attempt_count", F.col("refusal_count"))
+            .withColumn("escalation_pattern_count", F.col("severe") - first_severe)
+            .drop("earlier_requests", "severe", "first_deny"))
 
 
 def _risk_terms() -> list[tuple[Column, int, str]]:

@@ -25,16 +25,16 @@ def session_rollup(spark, folder):
 
 @query("session_running")
 def session_running(spark, folder):
-    return S.running(log(spark, folder)).select("event_id", "session_id", "request_count", "refusal_count", "tool_request_count")
+    return S.with_counters(log(spark, folder)).select("event_id", "session_id", "request_count", "refusal_count", "tool_request_count")
 
 
 @query("injection_attempts")
 def injection_attempts(spark, folder):
-    return S.escalations(log(spark, folder)).select("event_id", "session_id", "injection_attempt_count", "escalation_pattern_count")
+    return S.with_counters(log(spark, folder)).select("event_id", "session_id", "injection_attempt_count", "escalation_pattern_count")
 
 
 def risk_rows(spark, folder):
-    seen = S.escalations(S.running(log(spark, folder)))
+    seen = S.with_counters(log(spark, folder))
     return S.session_risk(seen.withColumns({
         "has_control_chars": F.col("event_id") % 11 == 0, "has_system_messages": F.col("event_id") % 13 == 0,
         "has_developer_messages": F.col("event_id") % 17 == 0}))
