@@ -64,7 +64,7 @@ def stream_session_state(spark, folder):
 
 @query("session_gap_windows")
 def session_gap_windows(spark, folder):
-    ev = tables.table(spark, folder, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    ev = tables.table(spark, folder, "events").withColumn("t", tables.as_utc(F.col("ts")))
     return S.sessionize(ev, "user_id", "t")
 
 

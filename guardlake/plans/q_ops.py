@@ -55,7 +55,7 @@ def kpi_windows(spark, folder):
 
 @query("kpi_sliding")
 def kpi_sliding(spark, folder):
-    timed = log(spark, folder).withColumn("t", F.col("ts").cast("timestamp"))
+    timed = log(spark, folder).withColumn("t", tables.as_utc(F.col("ts")))
     return M.sliding_kpis(timed, "t", "2 hours", "1 hour")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def as_utc(wall_clock) -> Column:
+    """Instant of a zone-less timestamp read as UTC, whatever the session's time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")
+
+
 def spread(df: DataFrame, small: int = 64) -> DataFrame:
     """Deal the rows of a small table to all cores before a text scan.
 
@@ -181,7 +186,7 @@ def fx_chunks(spark, folder):
 
 
 def fx_log(spark, folder):
-    return (overlay(spark, folder, FX_LOG).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return (overlay(spark, folder, FX_LOG).withColumn("us", F.unix_micros(as_utc(F.col("ts"))))
             .withColumn("reason_codes", F.array("reason_code")))
 
 

@@ -22,7 +22,7 @@ def events_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
 def log_stream(spark: SparkSession, folder: str, **kw) -> DataFrame:
     """The decision log overlay on the event stream, with an event time for watermarks."""
     log = spark.sql(tables.FX_LOG, events=events_stream(spark, folder, **kw))
-    return (log.withColumn("event_time", F.col("ts").cast("timestamp"))
+    return (log.withColumn("event_time", tables.as_utc(F.col("ts")))
             .withColumn("us", F.unix_micros("event_time")).withColumn("reason_codes", F.array("reason_code")))
 
 
