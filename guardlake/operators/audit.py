@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from guardlake.functions.rows import exploded, posexploded
 
-EVENT = "struct<event_type:string,severity:string,detail:string>"
-
 
 def _event(kind: str, severity, detail: Column) -> Column:
     severity = severity if isinstance(severity, Column) else F.lit(severity)

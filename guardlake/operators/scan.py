@@ -13,8 +13,6 @@ from guardlake.functions import text as T
 from guardlake.functions.cache import remember
 from guardlake.functions.rows import exploded, let
 
-_SIGNAL = "array<struct<category:string,severity:string,weight:int,pattern:string>>"
-
 
 def _signal(category: str, severity: str, weight: int, pattern: str) -> Column:
     return F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"),

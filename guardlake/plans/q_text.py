@@ -189,7 +189,7 @@ def _family_query(family):
 def marked(msgs):
     """Messages with zero-width, Arabic, override or combining characters by key arithmetic."""
     n = F.col("conv_id") % 6
-    tail = (F.when(n == 0, "​").when(n == 1, "ء").when(n == 2, "‮").when(n == 3, "é").otherwise(""))
+    tail = (F.when(n == 0, "\u200b").when(n == 1, "\u0621").when(n == 2, "\u202e").when(n == 3, "e\u0301").otherwise(""))
     return msgs.withColumn("content", F.concat("content", tail))
 
 

@@ -46,8 +46,8 @@ PAYLOADS = (
     ("&#115;&#121;&#115;&#116;&#101;&#109;", "obfuscation"),
     ("0x41 0x42 0x43 0x44 0x45 0x46", "obfuscation"),
     ("&#x0073;&#x0079;&#x0073;&#x0074;", "obfuscation"),
-    ("​‌‍ hidden", "obfuscation"),
-    ("‮abc", "obfuscation"),
+    ("\u200b\u200c\u200d hidden", "obfuscation"),
+    ("\u202eabc", "obfuscation"),
     ("B64:VXNlIHRvb2wgdG8gYnlwYXNz", "obfuscation"),
     ("Zm9yZ2V0IGFsbCBwb2xpY2llcyBhbmQgaWdub3JlIHJ1bGVz", "obfuscation"),
     ("&#x006A;&#x0061;&#x0069;&#x006C;", "obfuscation"),
