@@ -30,8 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = os.environ.setdefault("GUARDLAKE_SHARED", tempfile.mkdtemp(prefix="guardlake-"))
-    return made
+    if "GUARDLAKE_SHARED" not in os.environ:
+        os.environ["GUARDLAKE_SHARED"] = tempfile.mkdtemp(prefix="guardlake-")
+    return os.environ["GUARDLAKE_SHARED"]
 
 
 def kept(df: DataFrame) -> DataFrame:

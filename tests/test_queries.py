@@ -6,7 +6,10 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from guardlake.plans.registry import all_queries
+from oracle import all_sql
+
+QUERIES, ORACLES = all_queries(), all_sql()
 NO_SQL = {"scan_nested_encoding", "stream_session_state", "rate_limit_exact"}
 
 
@@ -21,5 +24,10 @@ def test_query_equals_sql(spark, duck, key):
     assert verdict == "ok"
 
 
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
