@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import exact_dedup
+from guardlake.llm import exact_dedup, quality_rules, secret_scan
 from guardlake.llm.shared import table
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.report(table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
 }
