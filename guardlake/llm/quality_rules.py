@@ -11,9 +11,9 @@ stratum (language) from labelled documents:
   exact binomial test with a Bonferroni correction over strata and rules. The cutoffs of
   one rule are tested in order from mild to strict, up to the first that fails, which
   needs no further correction.
-* Of the certified cutoffs the strictest one is used that rejects a share of the bad
-  labelled documents at least ``lift`` times that of the good ones. Without one the
-  rule does nothing in that stratum.
+* Certified cutoffs count if they reject a share of the bad labelled documents at least
+  ``lift`` times that of the good ones. Of these the mildest is used that still rejects
+  nine tenths of what any of them does. Without one the rule does nothing in that stratum.
 
 So with confidence 1 - delta, for all strata at once, the rules reject at most a share
 ``risk`` of the good documents of any stratum.
@@ -138,8 +138,10 @@ def cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05, lift:
     # k grows as the cutoff gets stricter, so a cutoff passes only if all milder ones do.
     sure = F.when(F.col("k") < share * F.col("n_good"), at_most(F.col("k"), F.col("n_good"), share) <= delta / max(tests, 1)).otherwise(False)
     useful = (F.col("k_bad") > 0) & (F.col("k_bad") * F.col("n_good") >= lift * F.col("k") * F.col("n_bad"))
-    strictest = each.filter(sure & useful).groupBy("stratum", "rule").agg(F.min("cut").alias("cut"))
-    return strictest.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name in RULES])
+    passed = each.filter(sure & useful)
+    most = passed.groupBy("stratum", "rule").agg(F.max("k_bad").alias("most"), F.collect_list(F.struct("cut", "k_bad")).alias("cuts"))
+    enough = most.select("stratum", "rule", F.array_max(F.filter("cuts", lambda c: 10 * c["k_bad"] >= 9 * F.col("most"))["cut"]).alias("cut"))
+    return enough.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name in RULES])
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, lift: float = 10.0, carry: bool = False) -> DataFrame:
