@@ -25,12 +25,12 @@ def _bit(key: Column, i: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS))
 
 
-def repeated(keys: DataFrame, key: str, rows: int, max_mb: int = 64) -> tuple[DataFrame, int]:
-    """The filter of keys that may occur twice, and its number of blocks."""
+def repeated(keys: DataFrame, key: str, rows: int, max_mb: int = 64, least: int = 2) -> tuple[DataFrame, int]:
+    """The filter of keys that may occur ``least`` times or more, and its number of blocks."""
     blocks = max(1, min(math.ceil(rows * BITS_PER_KEY / BLOCK_BITS), max_mb * 256))
     bits = keys.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"),
                        F.explode(F.array(*[_bit(F.col(key), i) for i in range(HASHES)])).alias("bit"))
-    twice = bits.groupBy("block", "bit").count().filter("count > 1")
+    twice = bits.groupBy("block", "bit").count().filter(F.col("count") >= least)
     return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), blocks
 
 
