@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,9 +54,14 @@ class Codec:
             self.raw[i] = self.text[i].replace(MARK, " ").encode()
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
-        self.longest = max(map(len, self.of))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.clear()
+        # Finds the pieces that end at each place of a word; pieces that would not encode to themselves are left out.
+        self.ending = ahocorasick.Automaton()
+        for piece, i in self.of.items():
+            if len(self.merged(list(piece))) == 1:
+                self.ending.add_word(piece, (len(piece), i))
+        self.ending.make_automaton()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -75,11 +81,12 @@ class Codec:
             symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2:]]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        key = a << 32 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(list(self.text[a] + self.text[b])) == [self.text[a], self.text[b]]
+            known = self.pairs[key] = self.merged(list(self.text[a] + self.text[b])) == [self.text[a], self.text[b]]
         return known
 
     def learn(self, words: list[str]) -> None:
@@ -93,8 +100,16 @@ class Codec:
                     break
                 shared += 1
             del states[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self.state(word, end, states))
+            for last, (size, piece) in self.ending.iter(word):
+                if last < shared or last + 1 < len(states):
+                    continue  # a state of the prefix, or found already
+                while len(states) <= last:
+                    states.append(self.raw_state(word, len(states)))
+                ahead = states[last + 1 - size][1]
+                if last + 1 == size or ahead is None or self.compatible(ahead, piece):
+                    states.append((last + 1 - size, piece, None))
+            while len(states) <= len(word):
+                states.append(self.raw_state(word, len(states)))
             path, at = [], len(word)
             while at:
                 begin, piece, raw = states[at]
@@ -107,22 +122,10 @@ class Codec:
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
 
-    def state(self, word: str, end: int, states: list) -> tuple:
-        """The last piece of word[:end]."""
-        for begin in range(max(0, end - self.longest), end):
-            piece = self.of.get(word[begin:end])
-            if piece is not None and (begin == 0 or states[begin][1] is None or self.compatible(states[begin][1], piece)):
-                if self.whole(piece):
-                    return begin, piece, None
+    def raw_state(self, word: str, end: int) -> tuple[int, None, list[int]]:
+        """The state after a character that no piece ends with: its bytes."""
         return end - 1, None, [self.byte[x] for x in word[end - 1].encode("utf-8", "replace")]
 
-    def whole(self, piece: int) -> bool:
-        """Whether the piece encodes to itself."""
-        known = self.pairs.get((piece, -1))
-        if known is None:
-            known = self.pairs[piece, -1] = len(self.merged(list(self.text[piece]))) == 1
-        return known
-
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each begins."""
         words, counts = [], []
