@@ -184,6 +184,10 @@ def listed(spans: Column) -> Column:
 def report(docs: DataFrame, alpha: float = 0.001, rate: float = 0.05) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     rows = scan(docs, alpha, rate)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(kind).alias(f"n_{name}") for kind, (name, *_) in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                        listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
