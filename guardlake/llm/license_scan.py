@@ -20,6 +20,7 @@ results; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -96,6 +97,7 @@ class Matcher:
     def __init__(self, templates: tuple) -> None:
         self.names = [name for name, _ in templates]
         self.words = [[w for w, _, _ in tokens(text)] for _, text in templates]
+        self.most = max(map(len, self.words))
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_dict_id=False)
         self.given = [zstandard.ZstdCompressor(level=19, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(
             " ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for words in self.words]
@@ -137,35 +139,51 @@ class Matcher:
             missing, added = missing + len(lost), added + new
         return first, last, missing, added
 
+    def best(self, all_words: list, low: int, high: int, first: bool) -> tuple[tuple | None, list[tuple[float, int]]]:
+        """The template that words low to high start with or hold, confirmed by wording, and the ranking by size.
+
+        Of the three templates that shrink the block most, that with the most words in place wins; words that differ
+        count against it, and the earlier place decides ties.
+        """
+        ranks, hit = self.ranked([w for w, _, _ in all_words[low:high]]), None
+        for reduction, i in ranks[:3]:
+            size = len(self.words[i])
+            around = max(low - size, 0) if first else low
+            w = self.wording(i, [w for w, _, _ in all_words[around:high + size]])
+            if w and 10 * w[2] <= size and 10 * w[3] <= size:
+                worth = 4 * w[2] + 3 * w[3] - size, around + w[0], i
+                if hit is None or worth < hit[0]:
+                    hit = worth, i, reduction, around + w[0], around + w[1], w[2], w[3]
+        return hit, ranks
+
     def found(self, text: str) -> Iterator[tuple]:
         """(start, end, template or None, reduction, missing, added, runner-up) for each block; a block may hold several notices."""
         if not self.line.search(text):
             return
         all_words = tokens(text)
+        starts = [a for _, a, _ in all_words]
+        done = 0
         for begin, end in self.blocks(text):
-            inside = [i for i, (_, a, b) in enumerate(all_words) if a < end and b > begin]
-            low, high = (inside[0], inside[-1] + 1) if inside else (0, 0)
-            named = False
+            low, high = max(bisect_left(starts, begin), done), bisect_left(starts, end)
+            first, named = low, False
             while low < high:
-                ranks = self.ranked([w for w, _, _ in all_words[low:high]])
-                hit = None
-                for reduction, i in ranks[:3]:  # the winners by size; wording decides among them
-                    around = max(low - len(self.words[i]), 0) if not named else low
-                    window = [w for w, _, _ in all_words[around:high + len(self.words[i])]]
-                    w = self.wording(i, window)
-                    if w and 10 * w[2] <= len(self.words[i]) and 10 * w[3] <= len(self.words[i]):
-                        score = (w[2] + w[3]) / len(self.words[i]), -len(self.words[i])
-                        if hit is None or score < hit[0]:
-                            hit = score, i, reduction, around + w[0], around + w[1], w[2], w[3]
-                second = next((self.names[i] for _, i in ranks if hit is None or self.names[i] != self.names[hit[1]]), None)
+                stop = text.find("\n", starts[low])
+                line = bisect_left(starts, stop) if 0 <= stop < end else high
+                reach = min(high, low + 2 * self.most)  # no template needs more words
+                whole, ranks = self.best(all_words, low, reach, not named)
+                alone = self.best(all_words, low, line, not named)[0] if line < reach else None
+                hit = min((h for h in (whole, alone) if h), default=None)
                 if hit is None:
-                    if not named:
-                        yield all_words[low][1], all_words[high - 1][2], None, ranks[0][0], None, None, self.names[ranks[0][1]]
-                    break
-                _, i, reduction, first, last, missing, added = hit
-                yield all_words[first][1], all_words[last - 1][2], i, reduction, missing, added, second
+                    low = line  # the next line may begin a notice
+                    continue
+                _, i, reduction, begun, last, missing, added = hit
+                second = next((self.names[j] for _, j in ranks if self.names[j] != self.names[i]), None)
+                yield all_words[begun][1], all_words[last - 1][2], i, reduction, missing, added, second
                 named = True
-                low = max(last, low + 1)
+                done = low = max(last, low + 1)
+            if not named and first < high:
+                reduction, i = self.ranked([w for w, _, _ in all_words[first:min(high, first + 2 * self.most)]])[0]
+                yield all_words[first][1], all_words[high - 1][2], None, reduction, None, None, self.names[i]
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
