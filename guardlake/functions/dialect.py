@@ -21,8 +21,11 @@ def any_of(patterns, ignore_case: bool = False) -> str:
 
 
 def folded(text: Column) -> Column:
-    """Lower case plus the two letters that fold onto ASCII only when case is ignored."""
-    return unfolded(F.lower(text))
+    """Lower case plus the letters that fold onto ASCII only when case is ignored.
+
+    Lower case makes two letters of the dotted capital I, so it becomes an i beforehand.
+    """
+    return unfolded(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))))
 
 
 def unfolded(low: Column) -> Column:

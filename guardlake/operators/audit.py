@@ -14,7 +14,7 @@ def _event(kind: str, severity, detail: Column) -> Column:
 
 
 def audit_events(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Up to six events per request, in emission order, from one wide row.
+    """Up to six events per request, in emission order, from one wide row. Rate-limited and over-budget requests leave none.
 
     Needs ``action``, ``reason_codes``, ``input_score``, ``input_labels``, ``dlp_score``,
     ``dlp_labels``, ``blocked_tools`` (array), ``output_action``, ``residual_count``.
@@ -34,6 +34,7 @@ def audit_events(df: DataFrame, keys: list[str]) -> DataFrame:
                _event("output_guard_action", F.when(c("output_action") == "block", "high").otherwise("medium"), c("output_action"))),
         F.when(c("residual_count") > 0,
                _event("prompt_pii_residual_alert", "high", c("residual_count").cast("string")))))
+    df = df.filter(~F.col("outcome").isin("rate_limited", "budget_exceeded")) if "outcome" in df.columns else df
     return (posexploded(df, keys, events, "event_pos", "e")
             .select(*keys, "event_pos", "e.event_type", "e.severity", "e.detail"))
 

@@ -62,15 +62,41 @@ def spikes(kpis: DataFrame, rate: str = "deny_rate", dims: tuple[str, ...] = (),
     return out.withColumn("spike", F.coalesce(F.col(rate) > F.col("baseline") + sigmas * F.col("spread"), F.lit(False)))
 
 
-def latency_slo(stages: DataFrame, dims: list[str], value: str = "stage_ms", exact: bool = True) -> DataFrame:
-    """p50, p95, p99 against their targets.
+QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+
+
+def exact_quantiles(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
+    """Interpolated quantiles per group, from counts per bin and the values of the bins that matter.
 
-    ``exact`` keeps value counts per group; where a group has too many distinct
-    values for that, the approximate form keeps a fixed-size sketch.
+    Counts per bin (hundredths of the logarithm, a few thousand bins whatever the
+    rows) tell in which bin each wanted rank lies; only the value counts of those
+    bins are then ordered.
     """
-    pick = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q, 10000).cast("double"))
-    out = stages.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), *[
-        F.round(pick(q), 4).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    v = F.col(value).cast("double")
+    bin_ = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 100).cast("long")
+    values = rows.filter(v.isNotNull()).groupBy(*dims, v.alias("v"), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    bins = values.groupBy(*dims, "bin").agg(F.sum("c").alias("c"))
+    before = Window.partitionBy(*dims).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bins.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy(*dims)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), ((F.col("n") - 1) * p).alias("at")) for name, p in QUANTILES])).alias("w")
+    asked = ranked.select(*dims, "bin", "before", "c", "n", wanted).select(*dims, "bin", "before", "c", "n", "w.q", "w.at")
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
+    asked = asked.filter(holds(F.floor("at")) | holds(F.ceil("at"))).drop("c")
+    inside = Window.partitionBy(*dims, "bin", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = values.join(asked, [*dims, "bin"]).withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    ends = near.groupBy(*dims, "n", "q", "at").agg(F.max(F.when(holds(F.floor("at")), F.col("v"))).alias("low"),
+                                                   F.max(F.when(holds(F.ceil("at")), F.col("v"))).alias("high"))
+    exact = F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))
+    return ends.groupBy(*dims, "n").agg(*[F.round(F.max(F.when(F.col("q") == name, exact)), 4).alias(name) for name, _ in QUANTILES])
+
+
+def latency_slo(stages: DataFrame, dims: list[str], value: str = "stage_ms", exact: bool = True) -> DataFrame:
+    """p50, p95, p99 against their targets; ``exact=False`` keeps a sketch of fixed size per group instead."""
+    if exact:
+        out = exact_quantiles(stages, dims, value)
+    else:
+        out = stages.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), *[
+            F.round(F.percentile_approx(value, p, 10000).cast("double"), 4).alias(name) for name, p in QUANTILES])
     return out.withColumns({f"{name}_met": F.col(name) < target for name, target in C.LATENCY_TARGETS_MS.items()})
 
 
@@ -109,7 +135,7 @@ def before_after(log: DataFrame, at_us: int, dims: list[str]) -> DataFrame:
 
 
 def alert_lag(events: DataFrame, alerts: DataFrame, keys: list[str], within_s: int = 300) -> DataFrame:
-    """First alert at or after each event of the key, by union and a look-ahead window.
+    """First alert at or after each event of the key, by union and a running minimum from the latest row back.
 
     Rows are cut into time slots.  The first alert of every (key, slot) is
     pre-aggregated; the next slot's first alert comes from that small table, so
@@ -120,9 +146,9 @@ def alert_lag(events: DataFrame, alerts: DataFrame, keys: list[str], within_s: i
     al = alerts.select(*keys, "us", F.lit(None).cast("long").alias("event_id"), F.col("us").alias("alert_us"), slot.alias("slot"))
     both = ev.unionByName(al)
     slots = both.groupBy(*keys, "slot").agg(F.min("alert_us").alias("first_alert"))
-    onward = Window.partitionBy(*keys).orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    onward = Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     later = slots.select(*keys, "slot", F.min("first_alert").over(onward).alias("later_alert"))
-    ahead = Window.partitionBy(*keys, "slot").orderBy("us").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, "slot").orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     matched = (both.withColumn("slot_alert", F.min("alert_us").over(ahead)).filter(F.col("event_id").isNotNull())
                .join(later, [*keys, "slot"], "left")
                .withColumn("alert_us", F.coalesce("slot_alert", "later_alert")))

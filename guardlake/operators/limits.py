@@ -17,8 +17,7 @@ LIMIT_KEY = ["client_id", "subject"]
 def sliding_hits(log: DataFrame, keys=LIMIT_KEY, window_s: int = C.RATE_WINDOW_S, row_id: str = "event_id",
                  name: str = "current_hits") -> DataFrame:
     """Earlier arrivals of the key in the trailing window (lower bound included)."""
-    return trailing_count(log, list(keys), "us", row_id, window_s * SECOND_US, name,
-                          slot_us=max(3600, 60 * window_s) * SECOND_US)
+    return trailing_count(log, list(keys), "us", row_id, window_s * SECOND_US, name)
 
 
 def effective_limit(score: Column, injections: Column, multiplier: Column, base: int = C.RATE_LIMIT) -> Column:
@@ -113,11 +112,11 @@ def call_budget(calls: DataFrame, max_calls: int = C.GUARD_CALLS_PER_WINDOW, win
                 row_id: str = "event_id") -> DataFrame:
     """Calls over the budget of the trailing window get the conservative answer.
 
-    The budget is shared by all callers, so there is no key: time slots alone
-    spread the rows.
+    The budget is shared by all callers, so there is no key: time slots of a
+    sixtieth of the window alone spread the rows.
     """
     counted = trailing_count(calls, [], "us", row_id, window_s * SECOND_US, "calls_before",
-                             slot_us=60 * window_s * SECOND_US)
+                             slot_us=max(1, window_s // 60) * SECOND_US)
     over = F.col("calls_before") >= max_calls
     return (counted.withColumn("over_budget", over)
             .withColumn("fallback_label", F.when(over, "suspicious"))

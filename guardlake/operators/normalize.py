@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions import text as T
+from guardlake.operators.running import running_counts
 
 
 def normalize(messages: DataFrame, text: str = "content") -> DataFrame:
@@ -91,6 +92,16 @@ def within_request_limit(rows: DataFrame, raw: DataFrame, text: str = "content")
             .drop("blk", "before", "bytes"))
 
 
+def rejected_requests(messages: DataFrame, text: str = "content") -> DataFrame:
+    """Requests (user turns with all turns before them) that are not served, and why: the counterpart of ``within_request_limit``."""
+    rows = messages.select("conv_id", "turn", "role", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+                           reject_reason("role", text).isNotNull().cast("long").alias("bad"))
+    run = running_counts(rows, ["conv_id"], ["turn"], "turn", {"bytes_before": F.col("bytes"), "bad_before": F.col("bad")}, slot_us=TURNS_PER_BLOCK)
+    why = (F.when(F.col("bad_before") + F.col("bad") > 0, "invalid_message")
+           .when(F.col("bytes_before") + F.col("bytes") > C.MAX_REQUEST_BYTES, "too_large"))
+    return run.filter("role = 'user'").select("conv_id", "turn", why.alias("reject_reason")).filter("reject_reason IS NOT NULL")
+
+
 def sized(messages: DataFrame, text: str = "content") -> DataFrame:
     """Add the byte weight while the text is still there."""
     return messages.withColumn("bytes", _weight(text).cast("long"))

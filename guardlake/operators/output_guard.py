@@ -59,6 +59,9 @@ def output_action(df: DataFrame, text: str = "output_text") -> DataFrame:
             .when(leaking, "OUTPUT_PROMPT_OR_POLICY_LEAKAGE")
             .otherwise("OUTPUT_ALLOWED"))
     df = df.withColumn("output_code", code)
+    said = F.when(F.startswith("output_code", F.lit("LLM_")), F.coalesce("guard_reasons", F.array().cast("array<string>"))) if "guard_reasons" in df.columns else F.lit(None)
+    df = df.withColumn("output_reasons", F.concat(F.array("output_code"), F.coalesce(said.cast("array<string>"), F.array().cast("array<string>"))))
+    df = df.withColumn("output_signals", F.concat("leaks", F.array_compact(F.array("anomaly"))))
     restricted_leak = (c("output_code") == "OUTPUT_PROMPT_OR_POLICY_LEAKAGE") & (c("response_mode") == "restricted")
     action = (F.when((c("output_code") == "LLM_OUTPUT_GUARD_BLOCK") | F.coalesce(restricted_leak, F.lit(False)), "block")
               .when(c("output_code") == "OUTPUT_ALLOWED", "allow").otherwise("redact"))

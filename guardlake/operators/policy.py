@@ -35,7 +35,7 @@ def condition(key: str, expected) -> Column:
 
 def rule_matches(rule: dict) -> Column:
     out = F.lit(True)
-    for key, expected in rule["when"].items():
+    for key, expected in rule["condition"].items():
         out = out & condition(key, expected)
     return out
 
@@ -84,7 +84,7 @@ def _action_of(bundle: Bundle, ord_col: Column) -> Column:
     out = None
     for i, rule in enumerate(bundle.rules):
         if rule["enabled"]:
-            out = (F.when if out is None else out.when)(ord_col == i, rule["action"])
+            out = (F.when if out is None else out.when)(ord_col == i, rule["decision"]["action"])
     return out.otherwise(bundle.default["action"])
 
 

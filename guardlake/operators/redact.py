@@ -87,26 +87,32 @@ def with_residual_count(df: DataFrame, text: str, out: str = "residual_count") -
             continue
         pattern = X.java(d.text, ignore_case=True)
         cheap = X.holds_needed(F.col("_fold"), d.needs)
-        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        sizes, gaps = F.transform(found, F.char_length), F.transform(F.split(F.col(text), pattern, -1), F.char_length)
-        n = _unmarked(F.col(text), found, sizes, gaps)
+        n = _unmarked(F.col(text), pattern)
         total = total + (n if cheap is None else F.when(cheap, n).otherwise(0))
     return df.withColumn(out, total).drop("_fold")
 
 
-def _unmarked(text: Column, found: Column, sizes: Column, gaps: Column) -> Column:
-    """Matches without a redaction mark within the preview."""
-    add = lambda acc, x: acc + x
+def _unmarked(text: Column, pattern: str) -> Column:
+    """Matches without a redaction mark within the preview.
 
-    def clean(i: Column) -> Column:
-        start = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), add)
+    Matches and the gaps before them are bound once and walked once, with the place carried along.
+    """
+    def clean(start: Column, size: Column) -> Column:
         left = F.greatest(F.lit(0), start - C.PREVIEW_MARGIN)
-        right = start + F.element_at(sizes, i + 1) + C.PREVIEW_MARGIN
-        preview = F.substring(F.substring(text, left + 1, right - left), 1, C.PREVIEW_CHARS)
+        preview = F.substring(F.substring(text, left + 1, start + size + C.PREVIEW_MARGIN - left), 1, C.PREVIEW_CHARS)
         return (~F.contains(preview, F.lit("[REDACTED_"))).cast("int")
 
-    return F.when(F.size(found) > 0, F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1), F.lit(0), lambda acc, i: acc + clean(i))).otherwise(0)
+    def walked(steps: Column) -> Column:
+        step = lambda s, p: let(s["at"] + p["gap"], lambda start: F.struct(
+            (start + p["size"]).alias("at"), (s["n"] + clean(start, p["size"])).alias("n")))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step, lambda s: s["n"])
+
+    def paired(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size")))
+        return F.when(F.size(found) > 0, let(steps, walked)).otherwise(0)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
 
 
 def failsafe(df: DataFrame, text: str) -> DataFrame:

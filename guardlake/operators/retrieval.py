@@ -20,15 +20,15 @@ def cosine(a: str, b: str) -> Column:
 
 
 def score_candidates(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Score given (request, chunk) pairs; equi-joins only, never all pairs."""
-    return (candidates.join(queries, "trace_id").join(chunks, "chunk_id")
+    """Score given (request, chunk) pairs; equi-joins only, never all pairs. A pair without a vector has no score and ranks last."""
+    return (candidates.join(queries, "trace_id", "left").join(chunks, "chunk_id", "left")
             .withColumn("score", cosine("query_vector", "chunk_vector"))
             .drop("query_vector", "chunk_vector"))
 
 
 def topk(candidates: DataFrame, k: int = C.RETRIEVAL_TOP_K, key: str = "trace_id") -> DataFrame:
     """Best k candidates per request; ties by chunk id.  The rank filter prunes before the shuffle."""
-    best = Window.partitionBy(key).orderBy(F.desc("score"), "chunk_id")
+    best = Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), "chunk_id")
     return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -76,8 +76,8 @@ def gate(requests: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def with_drop_reason(pairs: DataFrame) -> DataFrame:
-    """First failing check of each candidate; null when it is allowed."""
-    return pairs.withColumn("drop_reason", F.when(~tenant_ok(), "tenant")
+    """First failing check of each candidate; null when it is allowed. Without ``integrity_ok`` no stored chunk was found."""
+    return pairs.withColumn("drop_reason", F.when(F.col("integrity_ok").isNull(), "missing").when(~tenant_ok(), "tenant")
                             .when(~sensitivity_ok(), "sensitivity")
                             .when(~F.col("integrity_ok"), "integrity")
                             .when(~F.col("injection_ok"), "injection"))
@@ -88,6 +88,7 @@ def funnel(requests: DataFrame, pairs: DataFrame, key: str = "trace_id") -> Data
     r = F.col("drop_reason")
     counts = pairs.groupBy(key).agg(
         F.count_if(r.isin("tenant", "sensitivity")).alias("filtered_out_count"),
+        F.count_if(r == "missing").alias("missing_count"),
         F.count_if(r == "integrity").alias("integrity_filtered_count"),
         F.count_if(r == "injection").alias("injection_filtered_count"),
         F.count_if(r.isNull()).alias("allowed_count"))

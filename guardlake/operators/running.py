@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +42,21 @@ def trailing_count(log: DataFrame, keys: list[str], us: str, row_id: str, window
                    slot_us: int = HOUR_US) -> DataFrame:
     """Add the number of earlier rows of the key no older than the window (bound included).
 
-    Rows are keyed by (key, time slot).  A row that a later slot can still see is
-    sent there as well, marked as a visitor and dropped after counting, so a hot
-    key spreads over its slots and the counts stay exact.
+    Each row counts +1 at its time and -1 just after it leaves the window, so the
+    number of rows in the window is one running sum, whatever the window holds.
+    Keys are cut into time slots: sums per (key, slot) are pre-aggregated, their
+    prefix runs over one small row per slot, and each row adds what its own slot
+    holds before it.
     """
-    if slot_us < window_us:
-        raise ValueError("a slot must be at least as long as the window")
-    own = F.floor(F.col(us) / slot_us)
-    last = F.floor((F.col(us) + window_us) / slot_us)
-    spread = (log.withColumn("own_slot", own)
-              .withColumn("slot", F.explode(F.when(last > own, F.array(own, own + 1)).otherwise(F.array(own)))))
-    by = [*keys, "slot"]
-    inside = Window.partitionBy(*by).orderBy(us).rangeBetween(-window_us, 0)
-    later_peers = Window.partitionBy(*by, us).orderBy(F.desc(row_id)).rowsBetween(Window.unboundedPreceding, 0)
-    return (spread.withColumn(name, F.count(F.lit(1)).over(inside) - F.count(F.lit(1)).over(later_peers))
-            .filter(F.col("slot") == F.col("own_slot"))
-            .drop("slot", "own_slot"))
+    mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(1 - 2 * kind).alias("sign"))
+    marked = log.withColumn("_m", F.explode(F.array(mark(F.col(us), 0), mark(F.col(us) + window_us, 1))))
+    marked = marked.withColumn("_slot", F.floor(F.col("_m.at") / slot_us))
+    totals = marked.groupBy(*keys, "_slot").agg(F.sum("_m.sign").alias("_sum"))
+    upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slot").alias("_at"),
+                           F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_m.at", "_m.kind", row_id).rowsBetween(Window.unboundedPreceding, -1)
+    counted = marked.withColumn("_inside", F.coalesce(F.sum("_m.sign").over(inside), F.lit(0))).filter("_m.kind = 0")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_slot") == F.col("_at"))
+    return (counted.join(before, same).withColumn(name, F.col("_before") + F.col("_inside"))
+            .drop("_m", "_slot", "_at", "_before", "_inside", *[f"_of_{k}" for k in keys]))

@@ -95,7 +95,7 @@ def _one_layer(layer: Column) -> Column:
 
 def may_be_encoded(text: Column) -> Column:
     """Cheap whole-text test: nothing but base64 letters, or nothing but hex and blanks."""
-    return text.rlike("^\\s*(?:[A-Za-z0-9+/]{16,}={0,2}|[0-9A-Fa-f \\t\\n\\r\\f\\x0b]{22,})\\s*$")
+    return text.rlike("^\\s*(?:[A-Za-z0-9+/]{15,}={0,2}|[0-9A-Fa-f \\t\\n\\r\\f\\x0b]{22,})\\s*$")
 
 
 def encoding_depth(df: DataFrame, text: str = "content", out: str = "nested_depth") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
@@ -113,7 +113,7 @@ def guarded_candidates(spark, folder: str, decided: DataFrame) -> DataFrame:
     chunks = R.checked_chunks(tables.fx_chunks(spark, folder)).select(
         "chunk_id", "document_id", "chunk_tenant", "sensitivity", "trust_level", "integrity_ok", "injection_ok")
     open_ = decided.filter("allow_retrieval").select("trace_id", "tenant_id", "max_context_sensitivity")
-    return R.with_drop_reason(best.join(open_, "trace_id").join(chunks, "chunk_id"))
+    return R.with_drop_reason(best.join(open_, "trace_id").join(chunks, "chunk_id", "left"))
 
 
 def retrieval_blocks(spark, folder: str, decided: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def prompt_sections(spark, folder: str, decided: DataFrame) -> DataFrame:
     """Sections of every request the policy lets through."""
     turns = N.within_request_limit(N.normalize(N.sized(tables.fx_messages(spark, folder))), tables.fx_messages_stored(spark, folder))
     history = PR.history_texts(turns).select("conv_id", "turn", "user_input", "assistant_history")
-    passed = decided.filter(~F.col("action").isin("deny", "challenge")).select("trace_id", "conv_id", "turn", "response_mode")
+    passed = decided.filter(passes()).select("trace_id", "conv_id", "turn", "response_mode")
     full = (history.join(passed, ["conv_id", "turn"])
             .join(retrieval_blocks(spark, folder, decided), "trace_id", "left")
             .join(PR.attachment_lines(tables.fx_attachments(spark, folder)), "trace_id", "left"))
@@ -148,7 +148,7 @@ def requested_calls(spark, folder: str) -> DataFrame:
 
 def authorized_calls(spark, folder: str, decided: DataFrame) -> DataFrame:
     calls = TL.tool_calls(requested_calls(spark, folder))
-    context = decided.select("trace_id", "permissions", "disable_tools", "max_context_sensitivity", "label")
+    context = decided.select("trace_id", "action", "permissions", "disable_tools", "max_context_sensitivity", "label")
     return TL.authorize(calls.join(context, "trace_id"))
 
 
@@ -156,16 +156,21 @@ def inspected(spark, folder: str, prompt_facts: DataFrame) -> DataFrame:
     """Answers of passed requests with the output guard's decision."""
     sized = prompt_facts.select("trace_id", "response_mode", "prompt_chars")
     answers = (tables.fx_responses(spark, folder).select("trace_id", "output_text", "field").join(sized, "trace_id")
-               .join(tables.fx_guard(spark, folder).drop("model", "guard_reasons"), "trace_id", "left"))
+               .join(tables.fx_guard(spark, folder).drop("model"), "trace_id", "left"))
     return OG.output_action(OG.with_dlp(answers))
 
 
 def rate_allowed(requests: DataFrame) -> DataFrame:
-    """Offline verdict of each request from trailing arrivals and its own score."""
-    timed = requests.withColumn("us", F.col("ts_s") * 1_000_000)
-    hits = L.sliding_hits(timed, row_id="trace_id")
-    limit = L.effective_limit(F.col("input_score"), F.lit(0), F.lit(1))
-    return hits.select("trace_id", (F.col("current_hits") < limit).alias("rate_allowed"))
+    """Offline verdict of each request: arrivals in the window against the limit that its score, earlier
+    denials of its session and the profile of its (client, subject) leave."""
+    timed = requests.select("trace_id", "session_id", "client_id", "subject", "input_score", "action", "reason_codes",
+                            (F.col("ts_s") * 1_000_000).alias("us"))
+    return L.rate_verdict(timed, row_id="trace_id").select("trace_id", (F.col("verdict") == "allowed").alias("rate_allowed"))
+
+
+def passes() -> Column:
+    """Whether the policy lets a request through to retrieval, tools, prompt and answer."""
+    return ~F.col("action").isin("deny", "challenge")
 
 
 def served_of(spark, folder: str) -> DataFrame:
@@ -173,7 +178,7 @@ def served_of(spark, folder: str) -> DataFrame:
     decided = kept_decisions(spark, folder)
     blocked = authorized_calls(spark, folder, decided).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("requested_tool_count"),
-        F.array_sort(F.collect_set(F.when(~F.col("allowed"), F.concat_ws(":", "tool_name", "decision")))).alias("blocked_tools"))
+        F.array_sort(F.collect_set(F.when(passes() & ~F.col("allowed"), F.concat_ws(":", "tool_name", "decision")))).alias("blocked_tools"))
     facts = kept(RD.with_residual_count(prompts(spark, folder, decided), "prompt_text").drop("prompt_text"))
     prompt = facts.select("trace_id", "residual_count", "token_budget_exceeded")
     answers = inspected(spark, folder, facts).select("trace_id", "output_action")
@@ -185,3 +190,12 @@ def served_of(spark, folder: str) -> DataFrame:
         "residual_count": F.coalesce("residual_count", F.lit(0)),
         "budget_outcome": F.when(F.coalesce("token_budget_exceeded", F.lit(False)), "block").otherwise("ok")})
     return A.outcome(wide)
+
+
+def outcomes_of(spark, folder: str) -> DataFrame:
+    """Every request once: what stopped it, rejected ones included."""
+    served = served_of(spark, folder).select("trace_id", "rate_allowed", "outcome", "status_code", F.lit(None).cast("string").alias("reject_reason"))
+    rejected = N.rejected_requests(tables.fx_messages_stored(spark, folder)).join(tables.fx_requests(spark, folder), ["conv_id", "turn"])
+    return served.unionByName(rejected.select(
+        "trace_id", F.lit(None).cast("boolean").alias("rate_allowed"), F.lit("rejected").alias("outcome"),
+        F.when(F.col("reject_reason") == "too_large", 413).otherwise(422).alias("status_code"), "reject_reason"))

@@ -97,11 +97,11 @@ def rate_limit_exact(spark, folder):
     return state.replay_limits(spark, folder)
 
 
-AS_OF_US = 1_705_363_200_000_000  # 2024-01-16 00:00:00 UTC
+AS_OF_US = 1_706_745_600_000_000  # 2024-02-01 00:00:00 UTC, past the end of the log: the age of profiles is taken then
 
 
 def denials(spark, folder):
-    return log(spark, folder).filter((F.col("action") == "deny") & (F.col("us") <= AS_OF_US))
+    return log(spark, folder).filter(F.col("action") == "deny")
 
 
 @query("attacker_profiles")
@@ -178,7 +178,7 @@ def classified(spark, folder):
 def distinct_conditions():
     seen = {}
     for rule in shipped().rules:
-        for key, value in rule["when"].items():
+        for key, value in rule["condition"].items():
             seen[f"{key}={value}"] = (key, value)
     return seen
 

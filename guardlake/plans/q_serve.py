@@ -33,7 +33,7 @@ def retrieve_topk_cosine(spark, folder):
     vectors = tables.table(spark, folder, "embeddings")
     pairs = tables.fx_candidates(spark, folder).drop("score")
     queries = (tables.fx_requests(spark, folder).select("trace_id", F.col("conv_id").alias("vec_id"))
-               .join(vectors.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id"))
+               .join(vectors.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id", "left").drop("vec_id"))
     chunks = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("chunk_vector"))
     scored = R.score_candidates(pairs, queries, chunks)
     return R.topk(scored.withColumn("score", F.round("score", 6))).select("trace_id", "chunk_id", "score", "rank")
@@ -89,8 +89,8 @@ def retrieval_funnel(spark, folder):
 
 @query("chunk_dlp")
 def chunk_dlp(spark, folder):
-    best = R.topk(tables.fx_candidates(spark, folder))
-    r = R.chunk_dlp(best, tables.fx_chunks(spark, folder))
+    allowed = flow.guarded_candidates(spark, folder, flow.decisions_of(spark, folder)).filter("drop_reason IS NULL")
+    r = R.chunk_dlp(allowed, tables.fx_chunks(spark, folder))
     return r.withColumn("dlp_labels", csv("dlp_labels"))
 
 
@@ -141,7 +141,8 @@ def tool_execution_records(spark, folder):
 
 @query("tool_usage")
 def tool_usage(spark, folder):
-    records = TL.execution_records(authorized(spark, folder))
+    passed = flow.decisions_of(spark, folder).filter(flow.passes()).select("trace_id")
+    records = TL.execution_records(authorized(spark, folder)).join(passed, "trace_id", "left_semi")
     sessions = tables.fx_requests(spark, folder).select("trace_id", "session_id")
     return TL.tool_usage(records.join(sessions, "trace_id"))
 
@@ -205,10 +206,11 @@ def hybrid_pii_check(spark, folder):
 @query("usage_tokens")
 def usage_tokens(spark, folder):
     asked = tables.fx_messages(spark, folder).filter("role = 'user'").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("trace_id"), T.token_estimate(F.col("content")).alias("prompt_tokens"))
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("trace_id"), T.token_estimate(F.col("content")).alias("prompt_tokens"))
     who = tables.fx_requests(spark, folder).select("trace_id", "tenant_id").join(
         tables.fx_guard(spark, folder).select("trace_id", "model"), "trace_id")
-    rows = (tables.fx_responses(spark, folder).select("trace_id", F.col("output_text").alias("answer")).join(asked, "trace_id").join(who, "trace_id")
+    answers = tables.fx_responses(spark, folder).select("trace_id", F.coalesce("output_text", F.lit("")).alias("answer"))
+    rows = (asked.join(who, "trace_id").join(answers, "trace_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
             .withColumns(PR.usage_tokens()))
     fine = rows.groupBy("tenant_id", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("prompt_tokens").alias("p"),
                                                   F.sum("completion_tokens").alias("c"), F.sum("total_tokens").alias("t"))
@@ -237,29 +239,20 @@ def leak_signals(spark, folder):
     return tables.fx_responses(spark, folder).select("trace_id", csv(OG.leak_signals()).alias("leaks"))
 
 
-def answers_and_requests(spark, folder):
-    asked = N.normalize(tables.fx_messages(spark, folder)).filter("role = 'user'").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("trace_id"), F.col("content_length").alias("prompt_chars"))
-    return tables.fx_responses(spark, folder).select("trace_id", "output_text", "field").join(asked, "trace_id")
+def inspected(spark, folder):
+    """Answers of requests that passed, against the prompt that was assembled for them."""
+    return flow.inspected(spark, folder, prompts(spark, folder))
 
 
 @query("length_anomaly")
 def length_anomaly(spark, folder):
-    return answers_and_requests(spark, folder).select("trace_id", "prompt_chars", F.char_length("output_text").alias("output_chars"),
-                                                      OG.length_anomaly().alias("anomaly"))
-
-
-def inspected(spark, folder):
-    """Every answer inspected, with the request's own text as the prompt."""
-    modes = flow.decisions_of(spark, folder).select("trace_id", "response_mode")
-    guard = tables.fx_guard(spark, folder).select("trace_id", "guard_action", "guard_confidence", "guard_risk")
-    rows = answers_and_requests(spark, folder).join(modes, "trace_id").join(guard, "trace_id", "left")
-    return OG.output_action(OG.with_dlp(rows))
+    return inspected(spark, folder).select("trace_id", "prompt_chars", F.char_length("output_text").alias("output_chars"), "anomaly")
 
 
 @query("output_action")
 def output_action(spark, folder):
-    return inspected(spark, folder).select("trace_id", "output_action", "output_code", "dlp_score", "redacted_text")
+    return inspected(spark, folder).select("trace_id", "output_action", csv("output_reasons").alias("output_reasons"),
+                                           csv("output_signals").alias("output_signals"), "dlp_score", "redacted_text")
 
 
 @query("apply_output")
@@ -275,6 +268,6 @@ def guard_input_text(spark, folder):
     upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     texts = F.array_join(F.collect_list(F.when(F.col("role") == "user", F.col("content"))).over(upto), "\n\n")
     cut = turns.withColumn("t", T.strip(texts)).filter("role = 'user' AND t <> ''").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("trace_id"), T.cut(F.col("t"), 500, "\n[TRUNCATED_FOR_GUARD]").alias("short"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("trace_id"), T.cut(F.col("t"), 500, "\n[TRUNCATED_FOR_GUARD]").alias("short"),
         G.guard_input_text(F.col("t")).alias("guard_text"))
     return cut

@@ -27,7 +27,7 @@ def normed(spark, folder):
 @query("load_messages")
 def load_messages(spark, folder):
     conv = tables.table(spark, folder, "conversations")
-    requests = conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("trace_id"), F.array(
+    requests = conv.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("trace_id"), F.array(
         F.struct("role", F.col("text").alias("content")),
         F.struct(F.lit("developer").alias("role"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("content"))).alias("messages"))
     return messages.messages(requests)
@@ -142,7 +142,7 @@ def request_facts(spark, folder):
 @query("attachment_metadata_flags")
 def attachment_metadata_flags(spark, folder):
     att = tables.fx_attachments(spark, folder).select("trace_id", N.metadata_flag("name", "content_type", "uri").alias("flagged"))
-    pages = tables.texts(spark, folder, "pages").select((-F.col("page_id") - 1).alias("trace_id"), N.metadata_flag("url", "html").alias("flagged"))
+    pages = tables.table(spark, folder, "pages").select((-F.col("page_id") - 1).alias("trace_id"), N.metadata_flag("url", "html").alias("flagged"))
     return att.unionByName(pages)
 
 
@@ -265,8 +265,8 @@ def dlp_rollup(spark, folder):
 
 @query("redact_pii")
 def redact_pii(spark, folder):
-    docs = tables.texts(spark, folder, "documents").select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("content"))
-    msgs = normed(spark, folder).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "content")
+    docs = tables.table(spark, folder, "documents").select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("content"))
+    msgs = normed(spark, folder).select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "content")
     return redact.redact(msgs.unionByName(docs), "content", "redacted", "replacements").select("id", "redacted", "replacements")
 
 
@@ -302,4 +302,4 @@ def redaction_counts(spark, folder):
 
 @query("dlp_corpus_profile")
 def dlp_corpus_profile(spark, folder):
-    return dlp.corpus_profile(tables.texts(spark, folder, "documents"), ["source", "lang"])
+    return dlp.corpus_profile(tables.table(spark, folder, "documents"), ["source", "lang"])

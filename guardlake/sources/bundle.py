@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _HOME = Path(__file__).resolve().parent.parent / "policies"
-_CONTROLS = ("disable_tools", "allow_retrieval", "max_context_sensitivity",
-             "require_human_approval", "response_mode", "enforce_token_budget")
+#: Flags of a decision and what they are where a bundle leaves them out (fixed values).
+_FLAGS = {"disable_tools": False, "allow_retrieval": True, "max_context_sensitivity": "internal",
+          "require_human_approval": False, "response_mode": "normal", "enforce_token_budget": False}
 
 
 @dataclass(frozen=True, eq=False)
@@ -19,12 +20,15 @@ class Bundle:
     version: str
     rules: tuple[dict, ...]
     default: dict
-    controls: dict
 
 
 def _parse(text: str) -> Bundle:
+    """Rules of ``name``, ``enabled``, ``condition`` and ``decision`` (action, reason codes, flags), and a ``default_decision``."""
     raw = json.loads(text)
-    return Bundle(raw["version"], tuple(raw["rules"]), raw["default"], raw["controls"])
+    full = lambda decision: {**_FLAGS, "reason_codes": [], **decision}
+    rules = tuple({"name": r["name"], "enabled": r.get("enabled", True), "condition": r.get("condition", {}), "decision": full(r["decision"])}
+                  for r in raw["rules"])
+    return Bundle(raw["version"], rules, full(raw["default_decision"]))
 
 
 @cache
@@ -39,14 +43,12 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
 
 def rule_table(spark: SparkSession, bundle: Bundle) -> DataFrame:
     """One row per rule plus the default (``rule_ord`` -1)."""
-    def row(i, name, rule, enabled=True):
-        c = bundle.controls[rule["controls"]]
-        when = json.dumps(rule.get("when", {}), sort_keys=True)
-        mark = json.dumps([enabled, when, rule["action"], rule["reason"], [c[k] for k in _CONTROLS]])
-        return (bundle.version, i, name, enabled, len(rule.get("when", {})), when, rule["action"],
-                [rule["reason"]], *[c[k] for k in _CONTROLS], mark)
-    rows = [row(i, r["name"], r, r["enabled"]) for i, r in enumerate(bundle.rules)]
-    rows.append(row(-1, "default", bundle.default))
+    def row(i, name, decision, condition, enabled=True):
+        when, flags = json.dumps(condition, sort_keys=True), [decision[k] for k in _FLAGS]
+        mark = json.dumps([enabled, when, decision["action"], decision["reason_codes"], flags])
+        return (bundle.version, i, name, enabled, len(condition), when, decision["action"], decision["reason_codes"], *flags, mark)
+    rows = [row(i, r["name"], r["decision"], r["condition"], r["enabled"]) for i, r in enumerate(bundle.rules)]
+    rows.append(row(-1, "default", bundle.default, {}))
     schema = ("version string, rule_ord int, rule_name string, enabled boolean, condition_count int, condition string, "
               "action string, reason_codes array<string>, disable_tools boolean, allow_retrieval boolean, "
               "max_context_sensitivity string, require_human_approval boolean, response_mode string, "

@@ -15,20 +15,6 @@ def as_utc(wall_clock) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")
 
 
-def spread(df: DataFrame, small: int = 64) -> DataFrame:
-    """Deal the rows of a small table to all cores before a text scan.
-
-    A table of a few file splits would leave most cores idle.  Larger tables have
-    splits enough and are never shuffled for this.
-    """
-    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if splits < min(cores, small) else df
-
-
-def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(table(spark, folder, name))
-
-
 # Fixed phrases are appended by key arithmetic, so that every operator has
 # something to find; each overlay is one projection over a whole table and is
 # valid SQL for Spark and DuckDB alike.
@@ -59,7 +45,7 @@ SELECT conv_id, turn, role,
 FROM {conversations}"""
 
 FX_REQUESTS = """
-SELECT conv_id * 100 + turn AS trace_id, conv_id, conv_id AS session_id, turn,
+SELECT conv_id * 1000000 + turn AS trace_id, conv_id, conv_id AS session_id, turn,
   'u' || CAST(conv_id % 20 AS STRING) AS subject,
   'ip' || CAST(conv_id % 7 AS STRING) AS client_id,
   't' || CAST(conv_id % 3 AS STRING) AS tenant_id,
@@ -105,7 +91,7 @@ FROM {events}"""
 
 # attachments: one per fifth message, some with hostile metadata
 FX_ATTACHMENTS = """
-SELECT conv_id, turn, conv_id * 100 + turn AS trace_id, 0 AS att_pos,
+SELECT conv_id, turn, conv_id * 1000000 + turn AS trace_id, 0 AS att_pos,
   CASE (conv_id + turn) % 4 WHEN 0 THEN '<script>alert(1)</script>' ELSE 'notes.txt' END AS name,
   CASE (conv_id + turn) % 4 WHEN 1 THEN 'text/plain;javascript:alert(1)' WHEN 2 THEN NULL ELSE 'text/plain' END AS content_type,
   CAST(128 + turn AS INT) AS size_bytes,
@@ -116,15 +102,13 @@ FROM {conversations} WHERE (conv_id + turn) % 5 = 0"""
 
 # ten candidates per request, as a retrieval backend would return them
 FX_CANDIDATES = """
-SELECT r.conv_id * 100 + r.turn AS trace_id, r.conv_id * 10 + (r.turn * 3 + j.j) % 10 AS chunk_id,
-  CAST((r.conv_id * 31 + r.turn * 7 + j.j * 17) % 1000 AS DOUBLE) / 1000 AS score
-FROM {conversations} r CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
-  UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) j
-WHERE r.role = 'user'"""
+SELECT r.conv_id * 1000000 + r.turn AS trace_id, r.conv_id * 10 + (r.turn * 3 + r.j) % 10 AS chunk_id,
+  CAST((r.conv_id * 31 + r.turn * 7 + r.j * 17) % 1000 AS DOUBLE) / 1000 AS score
+FROM (SELECT conv_id, turn, {ten} AS j FROM {conversations} WHERE role = 'user') r"""
 
 # logged guard-model answers of many shapes, one per request
 FX_GUARD_RAW = """
-SELECT conv_id * 100 + turn AS trace_id, CASE (conv_id + turn * 3) % 9
+SELECT conv_id * 1000000 + turn AS trace_id, CASE (conv_id + turn * 3) % 9
   WHEN 0 THEN '{{"label": "prompt_injection", "confidence": 0.91, "risk_score": 88, "reasons": ["override attempt"], "recommended_action": "deny"}}'
   WHEN 1 THEN '```json' || chr(10) || '{{"label": "benign", "confidence": 0.8, "risk_score": 5, "reasons": [], "recommended_action": "allow"}}' || chr(10) || '```'
   WHEN 2 THEN 'Here is my verdict: {{"label": "Jailbreak_Attempt ", "confidence": 1.7, "risk_score": 250, "reasons": ["llm_guard_assessment"], "recommended_action": "stop"}} Thanks'
@@ -138,7 +122,7 @@ FROM {conversations} WHERE role = 'user'"""
 
 # the same kind of answers, already normalised
 FX_GUARD = """
-SELECT conv_id * 100 + turn AS trace_id,
+SELECT conv_id * 1000000 + turn AS trace_id,
   CASE (conv_id + turn * 2) % 8 WHEN 0 THEN 'benign' WHEN 1 THEN 'prompt_injection' WHEN 2 THEN 'jailbreak_attempt'
     WHEN 3 THEN 'secret_exfiltration_intent' WHEN 4 THEN 'exploit_or_malware_intent' WHEN 5 THEN 'sensitive_data_submission'
     WHEN 6 THEN 'suspicious' END AS guard_label,
@@ -151,7 +135,7 @@ FROM {conversations} WHERE role = 'user'"""
 
 # answers: each assistant turn answers the turn before it
 FX_RESPONSES = """
-SELECT conv_id, conv_id * 100 + turn - 1 AS trace_id, content AS output_text,
+SELECT conv_id, conv_id * 1000000 + turn - 1 AS trace_id, content AS output_text,
   CASE (conv_id + turn) % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'message' WHEN 2 THEN 'output_text' ELSE 'other' END AS field
 FROM ({fx_messages}) m WHERE role = 'assistant'"""
 
@@ -160,13 +144,17 @@ MARKS = (("identity", 0.1), ("normalize", 0.3), ("rate_limit", 0.35), ("input_sc
          ("dlp_scan", 1.4), ("policy_decision", 1.6), ("prompt_build", 2.0), ("output_guard", 2.5))
 
 
-def overlay(spark: SparkSession, folder: str, sql: str, read=table) -> DataFrame:
+#: Ten rows for each, in either engine's words.
+TEN, TEN_DUCK = "explode(sequence(0, 9))", "unnest(range(10))"
+
+
+def overlay(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     names = [n for n in ("conversations", "documents", "events") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: read(spark, folder, n) for n in names})
+    return spark.sql(sql.replace("{ten}", TEN), **{n: table(spark, folder, n) for n in names})
 
 
 def fx_messages(spark, folder):
-    return overlay(spark, folder, FX_MESSAGES, texts)
+    return overlay(spark, folder, FX_MESSAGES)
 
 
 def fx_messages_stored(spark, folder):
@@ -179,7 +167,7 @@ def fx_requests(spark, folder):
 
 
 def fx_chunks(spark, folder):
-    chunks = overlay(spark, folder, FX_CHUNKS, texts)
+    chunks = overlay(spark, folder, FX_CHUNKS)
     digest = F.sha2(F.encode("chunk_text", "UTF-8"), 256)
     return (chunks.withColumn("content_hash", F.when(F.col("bad_hash"), "bad").otherwise(digest)).drop("bad_hash")
             .withColumn("trust_level", F.lit("semi_trusted")))
@@ -208,7 +196,7 @@ def fx_guard_raw(spark, folder):
 
 
 def fx_responses(spark, folder):
-    return overlay(spark, folder, FX_RESPONSES.replace("{fx_messages}", FX_MESSAGES), texts)
+    return overlay(spark, folder, FX_RESPONSES.replace("{fx_messages}", FX_MESSAGES))
 
 
 def fx_timings(spark, folder):

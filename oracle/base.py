@@ -137,11 +137,12 @@ _given = dict(conversations="conversations", documents="documents", events="even
 
 
 def overlay(sql: str) -> str:
-    return sql.format(**_given)
+    return sql.replace("{ten}", T.TEN_DUCK).format(**_given)
 
 
 WEIGHT = (f"CASE WHEN role IN {C.ROLES} AND len(content) BETWEEN {C.MIN_CONTENT} AND {C.MAX_CONTENT} "
           f"THEN strlen(content) ELSE {C.MAX_REQUEST_BYTES + 1} END")
+REJECTED = f"role IS NULL OR role NOT IN {C.ROLES} OR content IS NULL OR len(content) NOT BETWEEN {C.MIN_CONTENT} AND {C.MAX_CONTENT}"
 UPTO = "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
@@ -247,7 +248,7 @@ def condition_sql(key: str, v) -> str:
 
 
 def rule_sql(rule: dict) -> str:
-    return "(" + (" AND ".join(condition_sql(k, v) for k, v in rule["when"].items()) or "TRUE") + ")"
+    return "(" + (" AND ".join(condition_sql(k, v) for k, v in rule["condition"].items()) or "TRUE") + ")"
 
 
 def decided_sql(bundle) -> str:
@@ -257,11 +258,10 @@ def decided_sql(bundle) -> str:
 def bundle_values(bundle) -> str:
     """The bundle as a VALUES list: ord, name, enabled, conditions, action, reason, controls."""
     b = lambda v: str(v).upper()
-    def row(i, name, rule, enabled=True):
-        c = bundle.controls[rule["controls"]]
-        return (f"({i}, {q(name)}, {b(enabled)}, {len(rule.get('when', {}))}, {q(rule['action'])}, {q(rule['reason'])}, {b(c['disable_tools'])}, "
+    def row(i, name, c, conditions, enabled=True):
+        return (f"({i}, {q(name)}, {b(enabled)}, {conditions}, {q(c['action'])}, {q(','.join(c['reason_codes']))}, {b(c['disable_tools'])}, "
                 f"{b(c['allow_retrieval'])}, {q(c['max_context_sensitivity'])}, {b(c['require_human_approval'])}, {q(c['response_mode'])}, {b(c['enforce_token_budget'])})")
-    rows = [row(i, r["name"], r, r["enabled"]) for i, r in enumerate(bundle.rules)] + [row(-1, "default", bundle.default)]
+    rows = [row(i, r["name"], r["decision"], len(r["condition"]), r["enabled"]) for i, r in enumerate(bundle.rules)] + [row(-1, "default", bundle.default, 0)]
     return ("SELECT * FROM (VALUES " + ", ".join(rows) + ") v(rule_ord, rule_name, enabled, condition_count, action, reason_code, disable_tools, allow_retrieval, "
             "max_context_sensitivity, require_human_approval, response_mode, enforce_token_budget)")
 

@@ -54,7 +54,7 @@ SQL["effective_limit"] = sql("SELECT event_id, input_score, injections_before, l
 SQL["rate_limit_offline"] = sql(f"""
 SELECT CASE WHEN injections_before >= 3 THEN 'aggressive_attacker_cooldown' WHEN current_hits >= effective_limit THEN 'rate_limit_exceeded' ELSE 'allowed' END AS verdict,
   action, count(*) AS requests, {big('sum(current_hits)')} AS hits, {big('sum(event_id)')} AS id_sum FROM limited GROUP BY ALL""", "limited")
-CTE["denials"] = (("fx_log",), "SELECT * FROM fx_log WHERE action = 'deny' AND us <= 1705363200000000")
+CTE["denials"] = (("fx_log",), "SELECT * FROM fx_log WHERE action = 'deny'")
 _n = lambda *words: f"count(*) FILTER (WHERE {_code(*words)})"
 CTE["profiles"] = (("denials",), f"SELECT client_id, subject, min(us) AS first_us, max(us) AS last_us, count(*) AS refusal_count, {_n('INJECTION', 'JAILBREAK')} AS injection_attempts, "
                    f"{_n('JAILBREAK')} AS jailbreak_attempts, {_n('ESCALATION', 'PRIVILEGE')} AS escalation_attempts, {_n('TOOL')} AS tool_abuse_attempts FROM denials GROUP BY client_id, subject")
@@ -63,7 +63,7 @@ CTE["clusters"] = (("denials",), f"""SELECT client_id, subject, arg_max(reason_c
  (SELECT client_id, subject, reason_code, count(*) AS n, max(rn) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY client_id, subject ORDER BY us DESC, event_id DESC) AS rn FROM denials) a
   WHERE rn <= {C.REASON_HISTORY} GROUP BY ALL) b GROUP BY client_id, subject""")
 SQL["top_reason"] = sql("SELECT * FROM clusters", "clusters")
-_susp = "(refusal_count >= 5 AND 1705363200000000 - first_us < 300000000) OR jailbreak_attempts >= 3 OR escalation_attempts >= 2 OR tool_abuse_attempts >= 5"
+_susp = "(refusal_count >= 5 AND 1706745600000000 - first_us < 300000000) OR jailbreak_attempts >= 3 OR escalation_attempts >= 2 OR tool_abuse_attempts >= 5"
 SQL["suspicious_clients"] = sql(f"SELECT client_id, subject, refusal_count, {_susp} AS suspicious FROM profiles", "profiles")
 SQL["limit_multiplier"] = sql(f"SELECT client_id, subject, CAST({MULTIPLIER} AS INT) AS limit_multiplier FROM profiles", "profiles")
 SQL["recent_alerts"] = sql(f"""SELECT client_id, subject, refusal_count, jailbreak_attempts, escalation_attempts, tool_abuse_attempts, last_us, reason_cluster FROM
@@ -105,7 +105,7 @@ SQL["class_features"] = sql("""SELECT trace_id, input_score, dlp_score, risk_sco
 _old, _new = shipped(), shipped("candidate")
 _kinds = {}
 for _r in _old.rules:
-    for _k, _v in _r["when"].items():
+    for _k, _v in _r["condition"].items():
         _kinds[f"{_k}={_v}"] = (_k, _v)
 SQL["policy_conditions"] = sql(" UNION ALL ".join(
     f"SELECT {q(n)} AS condition, count(*) FILTER (WHERE {condition_sql(k, v)}) AS requests FROM class" for n, (k, v) in _kinds.items()), "class")

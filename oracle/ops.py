@@ -6,7 +6,7 @@ from guardlake import catalog as C
 from guardlake.sources import tables as T
 from guardlake.sources.pack import PAYLOADS
 from oracle import serve  # noqa: F401  (adds the CTE of served requests)
-from oracle.base import CTE, big, label_sql, points_sql, q, scan_columns, sql
+from oracle.base import CTE, REJECTED, UPTO, big, label_sql, points_sql, q, scan_columns, sql
 
 SQL: dict[str, str] = {}
 
@@ -21,9 +21,12 @@ _kinds = (
     ("prompt_pii_residual_alert", "'high'", "CAST(residual_count AS VARCHAR)", "residual_count > 0"),
 )
 SQL["audit_events"] = sql("SELECT * EXCLUDE (o), CAST(row_number() OVER (PARTITION BY trace_id ORDER BY o) - 1 AS INT) AS event_pos FROM (" + " UNION ALL ".join(
-    f"SELECT trace_id, session_id, subject, tenant_id, {i} AS o, {q(kind)} AS event_type, {severity} AS severity, {detail} AS detail FROM served WHERE {test}"
+    f"SELECT trace_id, session_id, subject, tenant_id, {i} AS o, {q(kind)} AS event_type, {severity} AS severity, {detail} AS detail FROM served WHERE outcome NOT IN ('rate_limited', 'budget_exceeded') AND {test}"
     for i, (kind, severity, detail, test) in enumerate(_kinds)) + ") e", "served")
-SQL["request_outcome"] = sql("SELECT trace_id, rate_allowed, outcome, status_code FROM served", "served")
+SQL["request_outcome"] = sql(f"""SELECT trace_id, rate_allowed, outcome, status_code, CAST(NULL AS VARCHAR) AS reject_reason FROM served
+ UNION ALL SELECT q.trace_id, NULL, 'rejected', CASE WHEN bad > 0 THEN 422 ELSE 413 END, CASE WHEN bad > 0 THEN 'invalid_message' ELSE 'too_large' END FROM
+ (SELECT conv_id, turn, role, sum(CASE WHEN {REJECTED} THEN 1 ELSE 0 END) {UPTO} AS bad, sum(strlen(content)) {UPTO} AS total FROM fx_messages) m
+ JOIN fx_requests q USING (conv_id, turn) WHERE role = 'user' AND (bad > 0 OR total > {C.MAX_REQUEST_BYTES})""", "served", "fx_messages", "fx_requests")
 _marks = " UNION ALL ".join(
     f"SELECT event_id, tenant_id, {q(name)} AS stage, {i} AS o, latency_ms * {k} AS at_ms, latency_ms * {k} - latency_ms * {T.MARKS[i - 1][1] if i else 0} AS stage_ms FROM fx_log"
     for i, (name, k) in enumerate(T.MARKS))
@@ -67,7 +70,7 @@ SQL["alert_lag"] = sql("""SELECT e.subject, e.event_id, e.us, a.us AS alert_us,
 
 _shape = "(conv_id + turn * 3) % 9"
 _source = f"CASE {_shape} WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN 'embedded_json' WHEN 5 THEN 'json' WHEN 6 THEN 'json' WHEN 7 THEN 'not_an_object' ELSE 'heuristic_non_json' END"
-SQL["parse_guard"] = f"""SELECT conv_id * 100 + turn AS trace_id, {_source} AS parser_source, CASE {_shape} WHEN 0 THEN 'prompt_injection' WHEN 1 THEN 'benign' WHEN 2 THEN 'Jailbreak_Attempt '
+SQL["parse_guard"] = f"""SELECT conv_id * 1000000 + turn AS trace_id, {_source} AS parser_source, CASE {_shape} WHEN 0 THEN 'prompt_injection' WHEN 1 THEN 'benign' WHEN 2 THEN 'Jailbreak_Attempt '
  WHEN 5 THEN 'odd' WHEN 6 THEN 'sensitive_data_submission' END AS raw_label FROM conversations WHERE role = 'user'"""
 
 
@@ -101,7 +104,7 @@ _fixed = {  # label, action, confidence, risk, reasons of the logged shapes
 }
 _l, _a = infer_label("text"), infer_action("text")
 _marks_sql = "CASE WHEN contains(lower(text), 'unsafe') THEN ',guard_marked_unsafe' WHEN contains(lower(text), 'safe') THEN ',guard_marked_safe' ELSE '' END"
-SQL["normalize_guard"] = "SELECT conv_id * 100 + turn AS trace_id, " + ", ".join(
+SQL["normalize_guard"] = "SELECT conv_id * 1000000 + turn AS trace_id, " + ", ".join(
     f"CASE {_shape} " + " ".join(f"WHEN {k} THEN {render(v[i])}" for k, v in _fixed.items()) + f" ELSE {other} END AS {name}"
     for i, (name, render, other) in enumerate((
         ("guard_label", q, _l), ("guard_action", q, _a), ("guard_confidence", lambda v: f"CAST({v} AS DOUBLE)", default_of(_l, 1)),

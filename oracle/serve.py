@@ -11,12 +11,12 @@ SQL: dict[str, str] = {}
 
 # --- retrieval ------------------------------------------------------------
 
-CTE["top5"] = (("fx_candidates",), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM fx_candidates) t WHERE rank <= 5")
+CTE["top5"] = (("fx_candidates",), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY score DESC NULLS LAST, chunk_id) AS INT) AS rank FROM fx_candidates) t WHERE rank <= 5")
 SQL["retrieve_topk"] = sql("SELECT trace_id, chunk_id, score, rank FROM top5", "top5")
 SQL["retrieve_topk_cosine"] = sql("""
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY score DESC NULLS LAST, chunk_id) AS INT) AS rank FROM
  (SELECT c.trace_id, c.chunk_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM fx_candidates c
-  JOIN fx_requests r USING (trace_id) JOIN embeddings a ON a.vec_id = r.conv_id JOIN embeddings b ON b.vec_id = c.chunk_id) s) t WHERE rank <= 5""", "fx_candidates", "fx_requests")
+  JOIN fx_requests r USING (trace_id) LEFT JOIN embeddings a ON a.vec_id = r.conv_id LEFT JOIN embeddings b ON b.vec_id = c.chunk_id) s) t WHERE rank <= 5""", "fx_candidates", "fx_requests")
 TENANT_OK = "(coalesce(tenant_id, '') = '' OR coalesce(chunk_tenant, '') = '' OR tenant_id = chunk_tenant)"
 SENS_OK = f"({rank('sensitivity', C.SENSITIVITY_RANK)} <= {rank('coalesce(max_context_sensitivity, ' + q('internal') + ')', C.SENSITIVITY_RANK)})"
 CTE["chk"] = (("fx_chunks",), f"SELECT *, content_hash = sha256(chunk_text) AS integrity_ok, NOT {any_hit('lower(chunk_text)', C.CHUNK_INJECTION)} AS injection_ok FROM fx_chunks")
@@ -28,11 +28,11 @@ SQL["integrity_hmac"] = "SELECT doc_id AS chunk_id, doc_id % 3 <> 1 AS hmac_ok F
 SQL["indirect_injection_filter"] = sql("SELECT chunk_id, len(chunk_text) AS chunk_chars FROM chk WHERE injection_ok", "chk")
 SQL["retrieval_gate"] = sql("""SELECT r.trace_id, d.allow_retrieval, coalesce(d.allow_retrieval, FALSE) AS retrieval_open FROM fx_requests r
  LEFT JOIN (SELECT * FROM dec WHERE trace_id % 10 <> 4) d USING (trace_id)""", "fx_requests", "dec")
-CTE["pairs"] = (("top5", "chk", "dec"), f"""SELECT *, CASE WHEN NOT {TENANT_OK} THEN 'tenant' WHEN NOT {SENS_OK} THEN 'sensitivity' WHEN NOT integrity_ok THEN 'integrity'
-  WHEN NOT injection_ok THEN 'injection' END AS drop_reason FROM (SELECT t.*, c.* EXCLUDE (chunk_id), d.tenant_id, d.max_context_sensitivity FROM top5 t JOIN chk c USING (chunk_id)
+CTE["pairs"] = (("top5", "chk", "dec"), f"""SELECT *, CASE WHEN integrity_ok IS NULL THEN 'missing' WHEN NOT {TENANT_OK} THEN 'tenant' WHEN NOT {SENS_OK} THEN 'sensitivity' WHEN NOT integrity_ok THEN 'integrity'
+  WHEN NOT injection_ok THEN 'injection' END AS drop_reason FROM (SELECT t.*, c.* EXCLUDE (chunk_id), d.tenant_id, d.max_context_sensitivity FROM top5 t LEFT JOIN chk c USING (chunk_id)
   JOIN dec d USING (trace_id) WHERE d.allow_retrieval) p""")
 SQL["retrieval_funnel"] = sql("""SELECT d.trace_id, count(*) FILTER (WHERE drop_reason IN ('tenant', 'sensitivity')) AS filtered_out_count,
- count(*) FILTER (WHERE drop_reason = 'integrity') AS integrity_filtered_count, count(*) FILTER (WHERE drop_reason = 'injection') AS injection_filtered_count,
+ count(*) FILTER (WHERE drop_reason = 'missing') AS missing_count, count(*) FILTER (WHERE drop_reason = 'integrity') AS integrity_filtered_count, count(*) FILTER (WHERE drop_reason = 'injection') AS injection_filtered_count,
  count(*) FILTER (WHERE p.chunk_id IS NOT NULL AND drop_reason IS NULL) AS allowed_count FROM dec d LEFT JOIN pairs p USING (trace_id) GROUP BY d.trace_id""", "dec", "pairs")
 
 
@@ -42,7 +42,7 @@ def _rollup(source: str, key: str) -> str:
 
 
 CTE["chunk_n"] = (("fx_chunks",), f"SELECT chunk_id, {dlp_columns()} FROM (SELECT chunk_id, {counts_sql('chunk_text')} FROM fx_chunks) c")
-SQL["chunk_dlp"] = sql(_rollup("(SELECT t.trace_id, n.* FROM top5 t JOIN chunk_n n USING (chunk_id)) s", "trace_id"), "top5", "chunk_n")
+SQL["chunk_dlp"] = sql(_rollup("(SELECT t.trace_id, n.* FROM pairs t JOIN chunk_n n USING (chunk_id) WHERE t.drop_reason IS NULL) s", "trace_id"), "pairs", "chunk_n")
 
 # --- tools ----------------------------------------------------------------
 
@@ -77,7 +77,7 @@ CTE["records"] = (("auth",), f"""SELECT trace_id, session_id, call_pos, tool_nam
   CASE WHEN NOT l.allowed THEN l.decision WHEN {any_hit(_rendered.replace('clean', 'l.clean'), C.TOOL_OUTPUT_CHAIN)} THEN 'TOOL_CHAIN_INJECTION_OUTPUT_DETECTED' ELSE 'TOOL_EXECUTION_STUB' END AS record_reason
   FROM auth a JOIN (SELECT * FROM auth QUALIFY row_number() OVER (PARTITION BY trace_id, tool_name ORDER BY call_pos DESC) = 1) l USING (trace_id, tool_name)) r""")
 SQL["tool_execution_records"] = sql("SELECT trace_id, call_pos, tool_name, record_reason, executed, argument FROM records", "records")
-SQL["tool_usage"] = sql("SELECT session_id, count(*) FILTER (WHERE used) AS tool_request_count, count(*) AS requests FROM (SELECT session_id, trace_id, bool_or(executed) AS used FROM records GROUP BY ALL) u GROUP BY session_id", "records")
+SQL["tool_usage"] = sql("SELECT session_id, count(*) FILTER (WHERE used) AS tool_request_count, count(*) AS requests FROM (SELECT session_id, trace_id, bool_or(executed) AS used FROM records JOIN dec USING (trace_id, session_id) WHERE action NOT IN ('deny', 'challenge') GROUP BY session_id, trace_id) u GROUP BY session_id", "records", "dec")
 
 # --- prompts --------------------------------------------------------------
 
@@ -127,8 +127,8 @@ SQL["hybrid_pii_check"] = sql("""SELECT p.trace_id, CAST(coalesce(l.n, 0) AS INT
  coalesce(g.guard_label IN ('sensitive_data_submission', 'secret_exfiltration_intent'), FALSE) AS llm_pii_signal_detected
  FROM prompts p LEFT JOIN prompt_left l USING (trace_id) LEFT JOIN fx_guard g USING (trace_id)""", "prompts", "prompt_left", "fx_guard")
 SQL["usage_tokens"] = sql(f"""SELECT tenant_id, model, count(*) AS requests, {big('sum(p)')} AS prompt_tokens, {big('sum(c)')} AS completion_tokens, {big('sum(p + c)')} AS total_tokens,
- CAST(grouping_id(tenant_id, model) AS INT) AS level FROM (SELECT q.tenant_id, g.model, {tokens('m.content')} AS p, CASE WHEN a.output_text = '' THEN 0 ELSE {tokens('a.output_text')} END AS c
- FROM fx_responses a JOIN fx_messages m ON m.role = 'user' AND m.conv_id * 100 + m.turn = a.trace_id JOIN fx_requests q USING (trace_id) JOIN fx_guard g USING (trace_id)) u GROUP BY ROLLUP (tenant_id, model)""",
+ CAST(grouping_id(tenant_id, model) AS INT) AS level FROM (SELECT q.tenant_id, g.model, {tokens('m.content')} AS p, CASE WHEN coalesce(a.output_text, '') = '' THEN 0 ELSE {tokens('a.output_text')} END AS c
+ FROM fx_requests q JOIN fx_messages m ON m.role = 'user' AND m.conv_id = q.conv_id AND m.turn = q.turn JOIN fx_guard g USING (trace_id) LEFT JOIN fx_responses a USING (trace_id)) u GROUP BY ROLLUP (tenant_id, model)""",
  "fx_responses", "fx_messages", "fx_requests", "fx_guard")
 
 # --- answers --------------------------------------------------------------
@@ -140,8 +140,6 @@ LEAKS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {hit('lower(outp
 SQL["leak_signals"] = sql(f"SELECT trace_id, {LEAKS} AS leaks FROM fx_responses", "fx_responses")
 ANOMALY = ("CASE WHEN prompt_chars > 0 AND len(output_text) > prompt_chars * 3 THEN 'response_length_anomaly' "
            "WHEN prompt_chars < 500 AND len(output_text) > 5000 THEN 'high_output_without_high_input' END")
-CTE["asked"] = (("fx_responses", "norm"), "SELECT a.trace_id, a.output_text, a.field, len(m.content) AS prompt_chars FROM fx_responses a JOIN norm m ON m.role = 'user' AND m.conv_id * 100 + m.turn = a.trace_id")
-SQL["length_anomaly"] = sql(f"SELECT trace_id, prompt_chars, len(output_text) AS output_chars, {ANOMALY} AS anomaly FROM asked", "asked")
 
 
 def _inspected(source: str) -> str:
@@ -153,27 +151,33 @@ def _inspected(source: str) -> str:
             f"WHEN output_code = 'OUTPUT_DLP_HIGH_RISK' THEN {rewritten('output_text', C.OUTPUT_REWRITES)} ELSE {leaks_redacted('output_text')} END AS redacted_text FROM "
             f"(SELECT *, CASE WHEN output_code = 'LLM_OUTPUT_GUARD_BLOCK' OR (output_code = 'OUTPUT_PROMPT_OR_POLICY_LEAKAGE' AND response_mode = 'restricted') THEN 'block' "
             f"WHEN output_code = 'OUTPUT_ALLOWED' THEN 'allow' ELSE 'redact' END AS output_action FROM (SELECT *, {code} AS output_code FROM "
-            f"(SELECT a.*, CAST(least(100, n.dlp_points) AS INT) AS dlp_score, g.guard_action, g.guard_confidence, g.guard_risk FROM {source} a JOIN resp_n n USING (trace_id) LEFT JOIN fx_guard g USING (trace_id)) i) j) k")
+            f"(SELECT a.*, CAST(least(100, n.dlp_points) AS INT) AS dlp_score, g.guard_action, g.guard_confidence, g.guard_risk, g.guard_label FROM {source} a JOIN resp_n n USING (trace_id) LEFT JOIN fx_guard g USING (trace_id)) i) j) k")
 
 
-CTE["asked_mode"] = (("asked", "dec"), "SELECT a.*, d.response_mode FROM asked a JOIN dec d USING (trace_id)")
-CTE["insp"] = (("asked_mode", "resp_n", "fx_guard"), _inspected("asked_mode"))
-SQL["output_action"] = sql("SELECT trace_id, output_action, output_code, dlp_score, redacted_text FROM insp", "insp")
+CTE["passed"] = (("fx_responses", "prompts"), "SELECT a.trace_id, a.output_text, a.field, p.response_mode, len(p.prompt_text) AS prompt_chars FROM fx_responses a JOIN prompts p USING (trace_id)")
+CTE["insp_real"] = (("passed", "resp_n", "fx_guard"), _inspected("passed"))
+SQL["length_anomaly"] = sql(f"SELECT trace_id, prompt_chars, len(output_text) AS output_chars, {ANOMALY} AS anomaly FROM passed", "passed")
+SQL["output_action"] = sql(f"""SELECT trace_id, output_action, output_code || CASE WHEN starts_with(output_code, 'LLM_') AND guard_label IS NOT NULL THEN ',model_verdict' ELSE '' END AS output_reasons,
+ concat_ws(',', nullif({LEAKS}, ''), {ANOMALY}) AS output_signals, dlp_score, redacted_text FROM insp_real""", "insp_real")
 SQL["apply_output"] = sql("""SELECT trace_id, output_action, CASE field WHEN 'other' THEN 'guarded_output' ELSE field END AS placed_in,
- CASE output_action WHEN 'redact' THEN redacted_text WHEN 'block' THEN NULL ELSE output_text END AS client_text FROM insp""", "insp")
+ CASE output_action WHEN 'redact' THEN redacted_text WHEN 'block' THEN NULL ELSE output_text END AS client_text FROM insp_real""", "insp_real")
 _joined = f"{strip('t')}"
 SQL["guard_input_text"] = sql(f"""SELECT trace_id, CASE WHEN len(t) > 500 THEN left(t, 500) || chr(10) || '[TRUNCATED_FOR_GUARD]' ELSE t END AS short,
- CASE WHEN len(t) > 8000 THEN left(t, 8000) || chr(10) || '[TRUNCATED_FOR_GUARD]' ELSE t END AS guard_text FROM (SELECT conv_id * 100 + turn AS trace_id, role, {strip('t')} AS t FROM
+ CASE WHEN len(t) > 8000 THEN left(t, 8000) || chr(10) || '[TRUNCATED_FOR_GUARD]' ELSE t END AS guard_text FROM (SELECT conv_id * 1000000 + turn AS trace_id, role, {strip('t')} AS t FROM
  (SELECT *, string_agg(CASE WHEN role = 'user' THEN content END, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS t FROM within) w) x WHERE role = 'user' AND t <> ''""", "within")
 
 # --- one wide row per request ---------------------------------------------
 
-CTE["passed"] = (("fx_responses", "prompts"), "SELECT a.trace_id, a.output_text, a.field, p.response_mode, len(p.prompt_text) AS prompt_chars FROM fx_responses a JOIN prompts p USING (trace_id)")
-CTE["insp_real"] = (("passed", "resp_n", "fx_guard"), _inspected("passed"))
-CTE["rate"] = (("feat",), """SELECT trace_id, hits < CASE WHEN input_score >= 80 THEN 3 WHEN input_score >= 50 THEN 6 WHEN input_score >= 30 THEN 15 ELSE 30 END AS rate_allowed FROM (SELECT trace_id, input_score,
- count(*) OVER (PARTITION BY client_id, subject ORDER BY ts_s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY client_id, subject, ts_s ORDER BY trace_id DESC ROWS UNBOUNDED PRECEDING) AS hits FROM feat) h""")
-CTE["blocked"] = (("auth_real",), """SELECT trace_id, count(*) AS requested_tool_count, coalesce(array_to_string(list_sort(list_distinct(list(tool_name || ':' || decision) FILTER (WHERE NOT allowed))), ','), '') AS blocked_tools
- FROM auth_real GROUP BY trace_id""")
+_code = lambda *words: "(" + " OR ".join(f"contains(reason_code, {q(w)})" for w in words) + ")"
+_before = lambda keys, test: f"coalesce(sum(CASE WHEN action = 'deny' AND {test} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY ts_s, trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+_profile = "client_id, subject"
+CTE["rate"] = (("dec",), f"""SELECT trace_id, injections < 3 AND hits < CASE WHEN injections = 2 THEN greatest(1, by_profile // 2) ELSE by_profile END AS rate_allowed FROM
+ (SELECT *, CASE WHEN m > 1 THEN greatest(1, by_score // m) ELSE by_score END AS by_profile FROM (SELECT *, least(20, (CASE WHEN jb >= 3 THEN 5 ELSE 1 END) * (CASE WHEN esc >= 2 THEN 3 ELSE 1 END) * (CASE WHEN inj >= 5 THEN 2 ELSE 1 END)) AS m,
+  CASE WHEN input_score >= 80 THEN 3 WHEN input_score >= 50 THEN 6 WHEN input_score >= 30 THEN 15 ELSE 30 END AS by_score FROM (SELECT trace_id, input_score, {_before('session_id', 'TRUE')} AS injections,
+   {_before(_profile, _code('INJECTION', 'JAILBREAK'))} AS inj, {_before(_profile, _code('JAILBREAK'))} AS jb, {_before(_profile, _code('ESCALATION', 'PRIVILEGE'))} AS esc,
+   count(*) OVER (PARTITION BY client_id, subject ORDER BY ts_s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY client_id, subject, ts_s ORDER BY trace_id DESC ROWS UNBOUNDED PRECEDING) AS hits FROM dec) a) b) c""")
+CTE["blocked"] = (("auth_real", "dec"), """SELECT trace_id, count(*) AS requested_tool_count, coalesce(array_to_string(list_sort(list_distinct(list(tool_name || ':' || decision) FILTER (WHERE NOT allowed AND action NOT IN ('deny', 'challenge')))), ','), '') AS blocked_tools
+ FROM auth_real JOIN (SELECT trace_id, action FROM dec) d USING (trace_id) GROUP BY trace_id""")
 CTE["served"] = (("dec", "rate", "blocked", "prompts", "prompt_left", "insp_real"), f"""SELECT *, CASE outcome WHEN 'rate_limited' THEN 429 WHEN 'denied' THEN 403 WHEN 'challenge' THEN 403 WHEN 'budget_exceeded' THEN 413
   WHEN 'blocked_output' THEN 502 ELSE 200 END AS status_code FROM (SELECT *, CASE WHEN NOT rate_allowed THEN 'rate_limited' WHEN action = 'deny' THEN 'denied' WHEN action = 'challenge' THEN 'challenge'
   WHEN budget_outcome = 'block' THEN 'budget_exceeded' WHEN output_action = 'block' THEN 'blocked_output' ELSE 'ok' END AS outcome FROM

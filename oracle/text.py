@@ -9,8 +9,8 @@ from oracle.base import (CTE, any_hit, big, count_of, csv_of, dlp_columns, count
 SQL: dict[str, str] = {}
 
 SQL["load_messages"] = """
-SELECT conv_id * 100 + turn AS trace_id, 0 AS msg_index, role, text AS content FROM conversations
-UNION ALL SELECT conv_id * 100 + turn, 1, 'developer', 'turn ' || turn FROM conversations"""
+SELECT conv_id * 1000000 + turn AS trace_id, 0 AS msg_index, role, text AS content FROM conversations
+UNION ALL SELECT conv_id * 1000000 + turn, 1, 'developer', 'turn ' || turn FROM conversations"""
 
 SQL["coerce_message_content"] = """
 SELECT * FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS role,
@@ -150,7 +150,7 @@ def _counted_rewrites(source: str, keys: str, text: str) -> str:
     return inner
 
 
-CTE["texts"] = (("norm",), "SELECT conv_id * 100 + turn AS id, content FROM norm UNION ALL SELECT -doc_id - 1, text FROM documents")
+CTE["texts"] = (("norm",), "SELECT conv_id * 1000000 + turn AS id, content FROM norm UNION ALL SELECT -doc_id - 1, text FROM documents")
 SQL["redact_pii"] = sql(f"SELECT id, t AS redacted, CAST(n AS INT) AS replacements FROM ({_counted_rewrites('texts', 'id', 'content')}) r", "texts")
 SQL["redact_secrets_output"] = sql(f"SELECT trace_id, {rewritten('output_text', C.OUTPUT_REWRITES)} AS redacted FROM fx_responses", "fx_responses")
 SQL["redact_prompt_leak"] = sql(f"SELECT trace_id, {leaks_redacted('output_text')} AS redacted FROM fx_responses", "fx_responses")
