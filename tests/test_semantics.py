@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import hmac
+import json
 import random
 import re
 
@@ -286,3 +287,116 @@ def test_output_leak_blocks_only_when_restricted(spark):
 def test_sanitize_and_tokens(spark):
     r = spark.createDataFrame([(" a\t\tb\x00 \r\nc ",)], "t string").select(T.sanitized(F.col("t")).alias("s"), T.token_estimate(F.lit("abc")).alias("n")).head()
     assert (r.s, r.n) == ("a b \nc", 1)
+
+
+# --- no silent drops, stage order, plans that stay linear --------------------
+
+def test_dotted_capital_i_is_redacted(spark):
+    from guardlake.operators import redact
+    df = spark.createDataFrame([("LOGİN=ali",), ("login=ali",)], "content string")
+    assert [r.content for r in redact.redact(df, "content").collect()] == ["LOGİN=[REDACTED_USERNAME]", "login=[REDACTED_USERNAME]"]
+
+
+def test_eleven_bytes_of_base64_are_a_layer(spark):
+    from guardlake.operators import scan
+    df = spark.createDataFrame([("aGVsbG8gd29ybGQ=",), ("aGVsbG8gd29y",)], "content string")
+    assert [r.nested_depth for r in scan.encoding_depth(df).collect()] == [1, 0]
+
+
+def test_first_object(spark):
+    from guardlake.operators import guard_model
+    cases = {
+        'x {"a": {"b": 1}} y {': '{"a": {"b": 1}}', '{"a": "}"} z': '{"a": "}"}', r'{"a": "\"}"}': r'{"a": "\"}"}', '{ open': None, "none": None,
+        '{"open string }': None, "}{a}": "{a}", '{"a": "\n\\\n}"}}': '{"a": "\n\\\n}"}', "{" * 3 + "}" * 4: "{{{}}}", '{"k": "' + "\\n" * 20000 + '"}': '{"k": "' + "\\n" * 20000 + '"}'}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    assert all(r.got == r.want for r in df.select("t", "want", guard_model.first_object(F.col("t")).alias("got")).collect())
+
+
+def test_rejected_requests_are_told(spark):
+    from guardlake import catalog as C
+    from guardlake.operators import normalize as N
+    long = "x" * (C.MAX_CONTENT - 10)
+    rows = [(1, t, "user", long) for t in range(8)] + [(2, 0, "user", "hi"), (2, 1, "assistant", ""), (2, 2, "user", "ok"), (3, 0, "user", "fine"), (3, 1, "robot", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string")
+    got = {(r.conv_id, r.turn): r.reject_reason for r in N.rejected_requests(df).collect()}
+    first = C.MAX_REQUEST_BYTES // len(long)
+    assert got == {**{(1, t): "too_large" for t in range(first, 8)}, (2, 2): "invalid_message"}
+    kept = {(r.conv_id, r.turn) for r in N.within_request_limit(df, df).filter("role = 'user'").collect()}
+    assert kept | set(got) == {(c, t) for c, t, role, _ in rows if role == "user"} and not kept & set(got)
+
+
+def test_events_follow_the_stages(spark):
+    """Denied requests run no tools, rate-limited ones leave no events, and every request has one outcome."""
+    from guardlake.operators import audit as A
+    from guardlake.plans import flow
+    from guardlake.sources import tables
+    folder = "/root/testdata/sf0.001"
+    served = flow.served_of(spark, folder).cache()
+    events = A.audit_events(served, ["trace_id"])
+    assert events.filter("event_type = 'tool_blocked'").join(served.filter(~flow.passes()), "trace_id").count() == 0
+    assert events.join(served.filter("outcome IN ('rate_limited', 'budget_exceeded')"), "trace_id").count() == 0
+    assert served.filter("outcome = 'rate_limited'").count() > 0
+    wanted = sorted(r.trace_id for r in tables.fx_requests(spark, folder).select("trace_id").collect())
+    assert sorted(r.trace_id for r in flow.outcomes_of(spark, folder).select("trace_id").collect()) == wanted
+    served.unpersist()
+
+
+def test_bundle_file_with_several_codes(spark, tmp_path):
+    from guardlake.operators import policy
+    from guardlake.sources import bundle
+    path = tmp_path / "b.json"
+    path.write_text(json.dumps({"version": "1", "rules": [{"name": "r", "enabled": True, "condition": {"input_scan_score_gte": 10}, "decision": {
+        "action": "deny", "reason_codes": ["A", "B"], "allow_retrieval": False}}], "default_decision": {"action": "allow", "reason_codes": ["C"]}}))
+    df = spark.createDataFrame([(1, 20), (2, 5)], "id int, input_score int")
+    got = {r.id: (r.action, r.reason_codes, r.allow_retrieval, r.response_mode) for r in policy.decide(df, bundle.load_bundle(spark, f"file://{path}")).collect()}
+    assert got == {1: ("deny", ["A", "B"], False, "normal"), 2: ("allow", ["C"], True, "normal")}
+
+
+def test_trailing_counts_against_plain_python(spark):
+    import random
+
+    from guardlake.operators import running
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(2000)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, k string, us long")
+    got = {r.event_id: r.n for r in running.trailing_count(df, ["k"], "us", "event_id", 50, "n", slot_us=37).collect()}
+    assert got == {i: sum(1 for j, k2, u in rows if k2 == k and (u, j) < (t, i) and u >= t - 50) for i, k, t in rows}
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from guardlake.operators import kpi
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, values in (("a", rng.exponential(50, 901)), ("b", [3.0] * 50), ("c", [-2.5, 7.25])) for v in values]
+    got = {r.g: (r.n, r.p50, r.p95, r.p99) for r in kpi.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v").collect()}
+    for g in "abc":
+        v = [x for h, x in rows if h == g]
+        assert got[g][0] == len(v) and np.allclose(got[g][1:], np.quantile(v, [0.5, 0.95, 0.99]), atol=1e-4)
+
+
+def _seconds(df) -> float:
+    import time
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_hot_keys_and_many_matches_stay_linear(spark):
+    """Twice the rows of one key, or the matches of one text, take about twice the time (a quadratic plan takes four times)."""
+    from guardlake.operators import kpi, redact, running
+
+    def events(n):
+        return spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") * 1000).alias("us"), F.lit("k").alias("k"))
+
+    def text(n):
+        return spark.range(1).select(F.repeat(F.lit("call +1 415-555-1212 now "), F.lit(n)).alias("t"))
+
+    runs = {
+        "trailing": (lambda n: running.trailing_count(events(n), ["k"], "us", "event_id", 60_000_000, "n"), 25_000),
+        "lag": (lambda n: kpi.alert_lag(events(n), events(n).filter("event_id % 7 = 0"), ["k"]), 25_000),
+        "residual": (lambda n: redact.with_residual_count(text(n), "t"), 500)}
+    for name, (build, n) in runs.items():
+        _seconds(build(n // 10))
+        small, large = (min(_seconds(build(m)) for _ in range(2)) for m in (n, 2 * n))
+        assert large < 3 * small + 1.0, (name, small, large)
