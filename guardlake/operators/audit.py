@@ -64,7 +64,10 @@ def outcome(df: DataFrame) -> DataFrame:
 
 
 def decision_records(df: DataFrame) -> DataFrame:
-    """One wide record per logged request.  Rate-limited and over-budget requests leave none."""
+    """One wide record per logged request.  Rate-limited and over-budget requests leave none.
+
+    Stage times are kept where the row has them (``timings_ms``).
+    """
     logged = df.filter(~F.col("outcome").isin("rate_limited", "budget_exceeded"))
     return logged.select(
         "trace_id", "session_id", "subject", "tenant_id",
@@ -74,7 +77,12 @@ def decision_records(df: DataFrame) -> DataFrame:
                  F.struct("input_score", "input_labels").alias("input_scan"),
                  F.struct("dlp_score", "dlp_labels").alias("dlp_scan"),
                  F.struct("label", "confidence").alias("content_classification"),
-                 F.struct("action", "reason_codes").alias("policy_decision")).alias("decisions"),
+                 F.struct("action", "reason_codes").alias("policy_decision"),
+                 F.struct("guard_label", "guard_confidence", "guard_risk", "guard_action").alias("llm_input_guard"),
+                 F.struct("allowed_chunks", "dropped_chunks").alias("retrieval_summary"),
+                 F.col("tool_decisions"),
+                 F.struct("output_action", "output_reasons", "output_signals").alias("output_guard")).alias("decisions"),
+        *[c for c in ("timings_ms",) if c in df.columns],
         F.struct("outcome", "output_action").alias("outcome_record"))
 
 

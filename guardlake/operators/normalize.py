@@ -108,12 +108,11 @@ def sized(messages: DataFrame, text: str = "content") -> DataFrame:
 
 
 def last_user_texts(messages: DataFrame, key: str = "conv_id", n: int = 3) -> DataFrame:
-    """Retrieval query: the last n user messages in order, joined by line feeds."""
-    newest = Window.partitionBy(key).orderBy(F.desc("turn"))
-    last = (messages.filter(F.col("role") == "user")
-            .withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= n))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda s: s["content"])
-    return last.groupBy(key).agg(T.strip(F.array_join(parts, "\n")).alias("query_text"))
+    """Retrieval query of each request: its last n user messages in order, joined by line feeds."""
+    upto = Window.partitionBy(key).orderBy("turn")
+    last = F.array_compact(F.array(*[F.lag("content", i).over(upto) for i in range(n - 1, 0, -1)], F.col("content")))
+    return (messages.filter(F.col("role") == "user")
+            .select(key, "turn", last.alias("last")).select(key, "turn", T.strip(F.array_join("last", "\n")).alias("query_text")))
 
 
 def role_texts(messages: DataFrame, key: str = "conv_id") -> DataFrame:

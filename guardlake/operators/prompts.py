@@ -111,6 +111,20 @@ def fit_budget(section_rows: DataFrame, keys: list[str], max_chars: int = C.MAX_
             .withColumn("kept", F.col("suffix_chars") <= max_chars).drop("_trust", "_size"))
 
 
+def truncated(section_rows: DataFrame, prompts: DataFrame, keys: list[str], max_chars: int = C.MAX_PROMPT_CHARS) -> DataFrame:
+    """Prompts over budget rendered from the sections that fit, most trusted first; where none fits, cut off at the budget.
+
+    ``prompts`` has ``prompt_text``; adds ``truncated`` and ``forced_slice`` and estimates anew.
+    """
+    fitting = fit_budget(section_rows, keys, max_chars).filter("kept")
+    ordered = fitting.withColumn("section_pos", T.rank(F.col("trust_level"), C.TRUST_RANK) * len(C.SECTIONS) + F.col("section_pos"))
+    kept = render(ordered, keys).select(*keys, F.col("prompt_text").alias("_kept"))
+    over = F.char_length("prompt_text") > max_chars
+    rows = prompts.join(kept, keys, "left").withColumn("truncated", over).withColumn("forced_slice", over & F.col("_kept").isNull())
+    text = F.when(F.col("truncated"), F.coalesce("_kept", F.substring("prompt_text", 1, max_chars))).otherwise(F.col("prompt_text"))
+    return budgeted(rows.withColumn("prompt_text", text).drop("_kept"), max_chars)
+
+
 def budget_outcome(prompts: DataFrame, enforce: Column, mode: str = "block") -> DataFrame:
     """What happens to a prompt over budget: nothing unless enforced, then truncate or block."""
     over = F.col("token_budget_exceeded") & enforce

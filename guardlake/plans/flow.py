@@ -192,6 +192,20 @@ def served_of(spark, folder: str) -> DataFrame:
     return A.outcome(wide)
 
 
+def records_of(spark, folder: str) -> DataFrame:
+    """The wide row with what each later stage decided: guard verdict, retrieval, tools, answer."""
+    served = kept(served_of(spark, folder))
+    candidates = guarded_candidates(spark, folder, served).groupBy("trace_id").agg(
+        F.count_if(F.col("drop_reason").isNull()).alias("allowed_chunks"), F.count("drop_reason").alias("dropped_chunks"))
+    # At most one entry per requested call of one request.
+    calls = F.array_sort(F.collect_list(F.struct("call_pos", "tool_name", "decision")))
+    tools = authorized_calls(spark, folder, served.filter(passes())).groupBy("trace_id").agg(calls.alias("tool_decisions"))
+    answers = inspected(spark, folder, prompts(spark, folder, served)).select("trace_id", "output_reasons", "output_signals")
+    guard = tables.fx_guard(spark, folder).select("trace_id", "guard_label", "guard_confidence", "guard_risk", "guard_action")
+    return (served.join(guard, "trace_id", "left").join(candidates, "trace_id", "left")
+            .join(tools, "trace_id", "left").join(answers, "trace_id", "left"))
+
+
 def outcomes_of(spark, folder: str) -> DataFrame:
     """Every request once: what stopped it, rejected ones included."""
     served = served_of(spark, folder).select("trace_id", "rate_allowed", "outcome", "status_code", F.lit(None).cast("string").alias("reject_reason"))

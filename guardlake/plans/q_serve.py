@@ -181,8 +181,15 @@ def budget_truncate(spark, folder):
 
 @query("budget_outcome")
 def budget_outcome(spark, folder):
-    p = PR.budgeted(PR.render(sections(spark, folder), ["trace_id"]), 1200)
-    return PR.budget_outcome(p, F.col("trace_id") % 2 == 0, "truncate").select("trace_id", "prompt_chars", "token_budget_exceeded", "budget_outcome")
+    parts = sections(spark, folder)
+    whole = PR.render(parts, ["trace_id"])
+    said = PR.budget_outcome(PR.budgeted(whole, 1200), F.col("trace_id") % 2 == 0, "truncate").select(
+        "trace_id", "prompt_chars", "token_budget_exceeded", "budget_outcome")
+    short = PR.truncated(parts, whole, ["trace_id"], 1200).select("trace_id", F.col("prompt_text").alias("short"), "forced_slice")
+    cut = F.col("budget_outcome") == "truncate"
+    return said.join(short, "trace_id").select(
+        "trace_id", "prompt_chars", "token_budget_exceeded", "budget_outcome", F.when(cut, F.col("forced_slice")).alias("forced_slice"),
+        F.when(cut, F.md5(F.encode("short", "UTF-8"))).alias("truncated_md5"), F.when(cut, F.char_length("short")).alias("truncated_chars"))
 
 
 @query("prompt_integrity")

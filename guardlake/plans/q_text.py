@@ -103,14 +103,19 @@ def audit_recent(spark, folder):
 
 @query("decision_log")
 def decision_log(spark, folder):
-    r = audit.decision_records(flow.served_of(spark, folder))
+    r = audit.decision_records(flow.records_of(spark, folder))
     return r.select("trace_id", "session_id", "subject", "tenant_id", "request_summary.*",
                     F.col("decisions.session_risk.risk_state").alias("risk_state"),
                     F.col("decisions.input_scan.input_score").alias("input_score"),
                     F.col("decisions.dlp_scan.dlp_score").alias("dlp_score"),
                     F.col("decisions.content_classification.label").alias("label"),
                     F.col("decisions.policy_decision.action").alias("action"),
-                    csv("decisions.policy_decision.reason_codes").alias("reason_code"), "outcome_record.*")
+                    csv("decisions.policy_decision.reason_codes").alias("reason_code"), "outcome_record.*",
+                    "decisions.llm_input_guard.guard_label", "decisions.llm_input_guard.guard_risk",
+                    "decisions.retrieval_summary.*",
+                    F.array_join(F.transform("decisions.tool_decisions", lambda t: F.concat_ws(":", t["tool_name"], t["decision"])), ",").alias("tool_decisions"),
+                    csv("decisions.output_guard.output_reasons").alias("output_reasons"),
+                    csv("decisions.output_guard.output_signals").alias("output_signals"))
 
 
 @query("latest_state")

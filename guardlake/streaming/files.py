@@ -15,8 +15,13 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def events_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """The events table as a stream; the files per batch bound what one batch holds."""
-    return (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    # The glob finds a single file, several files, and the part files of a folder alike.
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/events*.parquet")
+
+
+def events_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files as a table."""
+    return spark.read.schema(EVENTS).parquet(f"{folder}/events*.parquet")
 
 
 def log_stream(spark: SparkSession, folder: str, **kw) -> DataFrame:

@@ -8,7 +8,9 @@ decide.  The fold over one subject then handles a few integers per request.
 
 Rows of a key reach the fold one micro-batch at a time, so memory is bounded by
 the batch size and the state: at most thirty hit times per client and six
-counters per session.
+numbers per session. A session without a request for ``IDLE_S`` before the
+newest request of its subject is over and leaves the state; a later request
+under its name would begin a new one.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from guardlake.streaming import files
 
 STATES = ("normal", "elevated", "restricted", "blocked")
 SECOND = 1_000_000
+IDLE_S = 2 * 86_400
 OUTPUT = ("subject string, client_id string, session_id string, request_id long, us long, verdict string, request_count int, "
           "refusal_count int, injection_attempt_count int, escalation_pattern_count int, tool_request_count int, "
           "risk_score int, risk_state string, action string, rule_ord int")
@@ -49,11 +52,10 @@ def stateless(features: DataFrame, bundle: Bundle) -> DataFrame:
 def rule_effects(bundle: Bundle) -> dict[int, tuple]:
     """Per rule: action, profile increments, and the highest tool sensitivity it lets run (-1: none)."""
     out = {}
-    for i, rule in [*enumerate(bundle.rules), (-1, bundle.default)]:
-        code, controls = rule["reason"], bundle.controls[rule["controls"]]
-        ceiling = -1 if controls["disable_tools"] else C.SENSITIVITY_RANK[controls["max_context_sensitivity"]]
-        out[i] = (rule["action"], int("INJECTION" in code or "JAILBREAK" in code), int("JAILBREAK" in code),
-                  int("ESCALATION" in code or "PRIVILEGE" in code), ceiling)
+    for i, decision in [*enumerate(r["decision"] for r in bundle.rules), (-1, bundle.default)]:
+        ceiling = -1 if decision["disable_tools"] else C.SENSITIVITY_RANK[decision["max_context_sensitivity"]]
+        naming = lambda *words: sum(any(w in code for w in words) for code in decision["reason_codes"])  # noqa: B023, E731
+        out[i] = (decision["action"], naming("INJECTION", "JAILBREAK"), naming("JAILBREAK"), naming("ESCALATION", "PRIVILEGE"), ceiling)
     return out
 
 
@@ -69,7 +71,7 @@ def limit_for(score: int, multiplier: int, injections: int) -> int:
 
 
 def session_points(s: list[int]) -> int:
-    requests, refusals, injections, escalations, tools = s
+    requests, refusals, injections, escalations, tools = s[:5]
     return ((refusals >= 3) * 40 + (tools >= 5) * 20 + (requests >= 20) * 15
             + (injections >= 2) * 20 + (escalations >= 1) * 25)
 
@@ -101,12 +103,13 @@ def make_fold(effects: dict[int, tuple]):
         rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
         out = []
         for r in rows.itertuples(index=False):
-            s = sessions.setdefault(r.session_id, [0, 0, 0, 0, 0])
+            s = sessions.setdefault(r.session_id, [0, 0, 0, 0, 0, 0])
             client = clients.setdefault(r.client_id, {"hits": [], "until": 0, "codes": [0, 0, 0]})
             s[0] += 1
+            s[5] = max(s[5], r.us)
             verdict = admit(client, r.us, r.input_score, s[2])
             score = risk = action = rule = None
-            seen = list(s)
+            seen = s[:5]
             if verdict == "allowed":
                 points = int(r.base_points) + session_points(s)
                 score, risk = min(points, C.SCORE_CAP), state_for(points)
@@ -120,6 +123,8 @@ def make_fold(effects: dict[int, tuple]):
                 elif action != "challenge" and 0 <= r.tool_rank <= ceiling:
                     s[4] += 1
             out.append((key[0], r.client_id, r.session_id, r.request_id, r.us, verdict, *seen, score, risk, action, rule))
+        over = max((s[5] for s in sessions.values()), default=0) - IDLE_S * SECOND
+        sessions = {name: s for name, s in sessions.items() if s[5] >= over}
         state.update((json.dumps([sessions, clients]),))
         table = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         yield table.astype({"risk_score": "Int32", "rule_ord": "Int32"})

@@ -113,8 +113,13 @@ SQL["token_estimate"] = sql(f"SELECT trace_id, len(prompt_text) AS prompt_chars,
 _trust = rank("trust_level", C.TRUST_RANK)
 SQL["budget_truncate"] = sql(f"""SELECT trace_id, section_name, {big('suffix')} AS suffix_chars, suffix <= 1200 AS kept FROM (SELECT *, sum(2 * len(section_name) + len(section_text) + 9)
  OVER (PARTITION BY trace_id ORDER BY {_trust} DESC, section_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 AS suffix FROM sect) s""", "sect")
-SQL["budget_outcome"] = sql("""SELECT trace_id, len(prompt_text) AS prompt_chars, len(prompt_text) > 1200 AS token_budget_exceeded,
- CASE WHEN len(prompt_text) > 1200 AND trace_id % 2 = 0 THEN 'truncate' ELSE 'ok' END AS budget_outcome FROM prompts""", "prompts")
+CTE["short"] = (("sect",), f"""SELECT trace_id, {strip("string_agg('[' || section_name || ']' || chr(10) || section_text || chr(10) || '[/' || section_name || ']' || chr(10), chr(10) ORDER BY t, section_pos)")} AS kept_text
+ FROM (SELECT *, {_trust} AS t, sum(2 * len(section_name) + len(section_text) + 9) OVER (PARTITION BY trace_id ORDER BY {_trust} DESC, section_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 AS suffix FROM sect) s
+ WHERE suffix <= 1200 GROUP BY trace_id""")
+SQL["budget_outcome"] = sql("""SELECT trace_id, len(prompt_text) AS prompt_chars, over AS token_budget_exceeded, CASE WHEN cut THEN 'truncate' ELSE 'ok' END AS budget_outcome,
+ CASE WHEN cut THEN kept_text IS NULL END AS forced_slice, CASE WHEN cut THEN md5(coalesce(kept_text, left(prompt_text, 1200))) END AS truncated_md5,
+ CASE WHEN cut THEN len(coalesce(kept_text, left(prompt_text, 1200))) END AS truncated_chars
+ FROM (SELECT *, len(prompt_text) > 1200 AS over, len(prompt_text) > 1200 AND trace_id % 2 = 0 AS cut FROM prompts LEFT JOIN short USING (trace_id)) p""", "prompts", "short")
 _side = lambda trusted, p: f"bool_or(trust_level {'=' if trusted else '<>'} 'trusted' AND {hit('section_text', p, True)})"
 SQL["prompt_integrity"] = sql(
     f"SELECT trace_id, 'trust_level_ordering' AS kind, '' AS rule, section_name AS \"where\" FROM (SELECT *, {_trust} AS t, lag({_trust}) OVER (PARTITION BY trace_id ORDER BY section_pos) AS b FROM sect) o WHERE t < b"
@@ -185,5 +190,11 @@ CTE["served"] = (("dec", "rate", "blocked", "prompts", "prompt_left", "insp_real
   FROM dec d JOIN rate r USING (trace_id) LEFT JOIN blocked b USING (trace_id) LEFT JOIN prompts p USING (trace_id) LEFT JOIN prompt_left l USING (trace_id) LEFT JOIN insp_real i USING (trace_id)) w) s""")
 SQL["decision_log"] = sql("""
 SELECT trace_id, session_id, subject, tenant_id, message_count, attachment_count, requested_tool_count, allow_retrieval AS retrieval_allowed,
-  risk_state, input_score, dlp_score, label, action, reason_code, outcome, output_action
-FROM served WHERE outcome NOT IN ('rate_limited', 'budget_exceeded')""", "served")
+  risk_state, input_score, dlp_score, label, action, reason_code, outcome, output_action, guard_label, guard_risk, allowed_chunks, dropped_chunks, tool_decisions, output_reasons, output_signals
+FROM served LEFT JOIN (SELECT trace_id, guard_label, guard_risk FROM fx_guard) g USING (trace_id)
+ LEFT JOIN (SELECT trace_id, count(*) FILTER (WHERE drop_reason IS NULL) AS allowed_chunks, count(drop_reason) AS dropped_chunks FROM pairs GROUP BY trace_id) p USING (trace_id)
+ LEFT JOIN (SELECT trace_id, string_agg(tool_name || ':' || decision, ',' ORDER BY call_pos) AS tool_decisions FROM auth_real JOIN (SELECT trace_id, action FROM dec) d USING (trace_id)
+  WHERE action NOT IN ('deny', 'challenge') GROUP BY trace_id) t USING (trace_id)
+ LEFT JOIN (SELECT trace_id, output_code || CASE WHEN starts_with(output_code, 'LLM_') AND guard_label IS NOT NULL THEN ',model_verdict' ELSE '' END AS output_reasons,
+  concat_ws(',', nullif(""" + LEAKS + """, ''), """ + ANOMALY + """) AS output_signals FROM insp_real) o USING (trace_id)
+WHERE outcome NOT IN ('rate_limited', 'budget_exceeded')""", "served", "fx_guard", "pairs", "auth_real", "insp_real")

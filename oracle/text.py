@@ -68,8 +68,8 @@ UNION ALL SELECT 'in_valid_request', count(*) FROM (SELECT sum(CASE WHEN {_verdi
   OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM ({_odd}) o) w WHERE upto <= {C.MAX_REQUEST_BYTES}""", "fx_messages")
 SQL["sanitize_text"] = sql(f"SELECT conv_id, turn, {sanitize('content')} AS sanitized FROM fx_messages", "fx_messages")
 SQL["retrieval_query_text"] = sql(f"""
-SELECT conv_id, {strip("string_agg(content, chr(10) ORDER BY turn)")} AS query_text FROM
-  (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM norm WHERE role = 'user') u WHERE rn <= 3 GROUP BY conv_id""", "norm")
+SELECT conv_id, turn, {strip("q")} AS query_text FROM (SELECT conv_id, turn, string_agg(content, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS q
+  FROM norm WHERE role = 'user') u""", "norm")
 SQL["join_role_text"] = sql(f"""
 SELECT conv_id, role, string_agg({sanitize('content')}, chr(10) || chr(10) ORDER BY turn) AS role_text, count(*) AS message_count
 FROM within WHERE {strip('content')} <> '' GROUP BY conv_id, role""", "within")
