@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions.cache import remember
-from guardlake.functions.rows import exploded, posexploded
+from guardlake.functions.rows import exploded, let, running_starts
 from guardlake.operators.scan import capped, labels_from_flags
 
 
@@ -63,46 +63,43 @@ def matches(df: DataFrame, text: str = "content", keys=("conv_id", "turn"), dete
 
     With ``preview`` each row carries the match with twenty characters on either
     side.  Offsets come from the text between the matches (``split``) and the
-    match lengths; both are plain expressions.
+    match lengths; previews are cut inside the row, so the text is not copied to
+    the matches.
     """
     df = df.withColumn("fold", X.folded(F.col(text)))
 
+    def spots(d: C.Detector, got: Column) -> Column:
+        if not preview:
+            return got
+        gaps = F.transform(F.slice(F.split(F.col(text), _pattern(d), -1), 1, F.size(got)), F.char_length)
+
+        def placed(starts: Column) -> Column:
+            return F.transform(got, lambda m, i: let(F.get(starts, i), lambda at: F.struct(
+                m.alias("matched"), at.alias("match_start"), _around(F.col(text), at, F.char_length(m)).alias("evidence_preview"))))
+
+        def started(sizes: Column) -> Column:
+            steps = F.zip_with(sizes, got, lambda g, m: g + F.char_length(m))
+            return let(F.zip_with(running_starts(steps), sizes, lambda s, g: s + g), placed)
+
+        return let(gaps, started)
+
     def found(d: C.Detector) -> Column:
-        got = F.regexp_extract_all(F.col(text), F.lit(_pattern(d)), F.lit(0))
         cheap = X.holds_needed(F.col("fold"), d.needs)
-        got = got if cheap is None else F.when(cheap, got)
-        return F.when(F.size(got) > 0, F.struct(
-            F.lit(d.category).alias("category"), F.lit(d.severity).alias("severity"),
-            F.lit(d.name).alias("pattern_name"), F.lit(_pattern(d)).alias("regex"), got.alias("found")))
-
-    per_detector = exploded(df, [*keys, text], F.array_compact(F.array(*[found(d) for d in detectors])), "d")
-    if not preview:
-        return per_detector.select(*keys, "d.category", "d.severity", "d.pattern_name",
-                                   F.posexplode("d.found").alias("match_pos", "matched"))
-    gap_sizes = F.transform(_gaps(text, detectors), F.char_length)
-    sized = per_detector.select(*keys, text, "d.category", "d.severity", "d.pattern_name", "d.found",
-                                gap_sizes.alias("gaps"))
-    sizes = F.transform("found", F.char_length)
-    add = lambda acc, x: acc + x
-    start = lambda i: (F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), add)
-                       + F.aggregate(F.slice(sizes, 1, i), F.lit(0), add))
-    spots = F.transform("found", lambda m, i: F.struct(m.alias("matched"), start(i).alias("start")))
-    placed = posexploded(sized, [*keys, text, "category", "severity", "pattern_name"], spots, "match_pos", "m")
-    left = F.greatest(F.lit(0), F.col("m.start") - C.PREVIEW_MARGIN)
-    right = F.col("m.start") + F.char_length("m.matched") + C.PREVIEW_MARGIN
-    around = F.substring(F.col(text), left + 1, right - left)
-    return placed.select(*keys, "category", "severity", "pattern_name", "match_pos", "m.matched",
-                         F.col("m.start").alias("match_start"),
-                         F.substring(F.replace(around, F.lit("\n"), F.lit(" ")), 1, C.PREVIEW_CHARS).alias("evidence_preview"))
-
-
-def _gaps(text: str, detectors) -> Column:
-    """Text between the matches of the row's detector; one literal pattern per branch."""
-    out = None
-    for d in detectors:
-        is_d, parts = F.col("d.pattern_name") == d.name, F.split(F.col(text), _pattern(d), -1)
-        out = F.when(is_d, parts) if out is None else out.when(is_d, parts)
-    return out
+        of = lambda got: F.when(F.size(got) > 0, F.struct(
+            F.lit(d.category).alias("category"), F.lit(d.severity).alias("severity"), F.lit(d.name).alias("pattern_name"), spots(d, got).alias("found")))
+        rows = let(F.regexp_extract_all(F.col(text), F.lit(_pattern(d)), F.lit(0)), of)
+        return rows if cheap is None else F.when(cheap, rows)
+
+    per_detector = exploded(df, list(keys), F.array_compact(F.array(*[found(d) for d in detectors])), "d")
+    rows = per_detector.select(*keys, "d.category", "d.severity", "d.pattern_name", F.posexplode("d.found").alias("match_pos", "matched"))
+    return rows.select(*keys, "category", "severity", "pattern_name", "match_pos", "matched.*") if preview else rows
+
+
+def _around(text: Column, start: Column, size: Column) -> Column:
+    """A match with its margins, line feeds as blanks, at the preview's length."""
+    left = F.greatest(F.lit(0), start - C.PREVIEW_MARGIN)
+    around = F.substring(text, left + 1, start + size + C.PREVIEW_MARGIN - left)
+    return F.substring(F.replace(around, F.lit("\n"), F.lit(" ")), 1, C.PREVIEW_CHARS)
 
 
 def rollup(df: DataFrame, key: str, text: str = "content", detectors=C.DETECTORS) -> DataFrame:
@@ -126,7 +123,7 @@ def metadata_text(name: str, content_type: str, uri: str) -> Column:
 
 def corpus_profile(df: DataFrame, dims: list[str], text: str = "text", doc: str = "doc_id",
                    detectors=C.DETECTORS) -> DataFrame:
-    """Matches and distinct documents per detector and dimension.
+    """Matches and documents (rows of the table) per detector and dimension.
 
     Counts per document first; the detectors unpivot after the texts are gone.
     """
@@ -134,4 +131,4 @@ def corpus_profile(df: DataFrame, dims: list[str], text: str = "text", doc: str
     long = counted.select(doc, *dims, F.explode(F.array(*[
         F.struct(F.lit(d.name).alias("detector"), F.col(f"n_{d.name}").alias("n")) for d in detectors])).alias("x"))
     return (long.filter("x.n > 0").groupBy(*dims, F.col("x.detector").alias("detector"))
-            .agg(F.sum("x.n").alias("matches"), F.countDistinct(doc).alias("documents")))
+            .agg(F.sum("x.n").alias("matches"), F.count(F.lit(1)).alias("documents")))

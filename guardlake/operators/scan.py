@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ def hit(family: C.Family, pattern: C.Pattern, text: str = "content") -> Column:
     matches as case folding inside the matcher, at a fraction of its cost.
     """
     if family.ignore_case:
+        if re.search(r"\\[A-Z]", pattern.finder):
+            raise ValueError(f"{pattern.finder}: classes in capitals would turn into their opposite in lower case")
         test = F.col("fold").rlike(X.java(pattern.finder.lower()))
     else:
         test = F.col("low" if family.lowered else text).rlike(X.java(pattern.finder))

@@ -82,7 +82,7 @@ def load_chunks(spark, folder):
 
 
 def audit_rows(spark, folder):
-    log = tables.fx_log(spark, folder).filter(F.col("action").isin("deny", "challenge"))
+    log = tables.fx_log(spark, folder)
     return log.select("event_id", "us", "session_id", "subject", F.col("action").alias("event_type"), "reason_code",
                       F.date_format(F.col("ts"), "yyyy-MM-dd").alias("event_date"))
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_audit(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines, one folder per date and event type."""
-    events.write.mode("append").partitionBy("event_date", "event_type").json(path)
+def write_audit(events: DataFrame, path: str, files: int = 4) -> None:
+    """Append events as JSON lines, one folder per date and event type with at most so many new files in each."""
+    salt = F.pmod(F.xxhash64(*events.columns), F.lit(files))
+    events.repartition("event_date", "event_type", salt).write.mode("append").partitionBy("event_date", "event_type").json(path)
 
 
 def latest_by_key(writes: DataFrame, keys: list[str], payload: str, order: list[str]) -> DataFrame:

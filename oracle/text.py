@@ -35,7 +35,7 @@ SQL["pattern_catalog"] = sql(
 
 SQL["load_chunks"] = sql("SELECT chunk_id, document_id, chunk_tenant, sensitivity, content_hash, len(chunk_text) AS chunk_chars FROM fx_chunks", "fx_chunks")
 
-_audit = "SELECT event_id, us, session_id, subject, action AS event_type, reason_code, strftime(ts, '%Y-%m-%d') AS event_date FROM fx_log WHERE action IN ('deny', 'challenge')"
+_audit = "SELECT event_id, us, session_id, subject, action AS event_type, reason_code, strftime(ts, '%Y-%m-%d') AS event_date FROM fx_log"
 SQL["audit_sink"] = sql(f"SELECT event_date, event_type, count(*) AS events, min(event_id) AS first_event, {big('sum(session_id)')} AS sessions_sum FROM ({_audit}) a GROUP BY ALL", "fx_log")
 SQL["audit_recent"] = sql(f"SELECT event_id, event_type, subject, us FROM ({_audit}) a ORDER BY us DESC, event_id DESC LIMIT 50", "fx_log")
 SQL["latest_state"] = sql("""
