@@ -67,6 +67,13 @@ def test_payload_pack_is_found(spark):
     assert all(r.recall == 1.0 and r.scored == r.payloads for r in regression(df).collect())
 
 
+def test_near_misses_are_left_alone(spark):
+    from guardlake.operators.evaluate import regression
+    from guardlake.sources.pack import NEAR_MISSES
+    df = spark.createDataFrame(NEAR_MISSES, "payload string, expected_label string").withColumn("content", F.col("payload"))
+    assert all(r.found == 0 for r in regression(df).collect())
+
+
 def depth_in_python(text):
     depth, current = 0, text.strip()
     for _ in range(3):
