@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.llm.shared import in_arrow
+
 #: Words of which at least one is in every line of a block's ends, letters in either case.
 WORDS = r"licen[cs]|copyright|warrant|redistribut|permission|public domain|without restriction|merchantab"
 
@@ -210,4 +212,4 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
                 "doc_id", "start", "end", "license", "template", "reduction", "missing", "added", "exact", "runner_up"])
 
     likely = docs.select("doc_id", "text").filter(F.col("text").rlike(f"(?i){WORDS}"))
-    return likely.mapInArrow(run, SCHEMA.format(kind=kind))
+    return in_arrow(likely, run, SCHEMA.format(kind=kind))

@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake.llm import bloom
-from guardlake.llm.shared import drop, packed, stage
+from guardlake.llm.shared import drop, in_arrow, packed, stage
 
 SHINGLE = 5
 #: A cell holds at most about so many classes, and so many shingles.
-CELL_CLASSES, CELL_SHINGLES = 2048, 1 << 21
+CELL_CLASSES, CELL_SHINGLES = 1024, 1 << 21
 
 
 def banding(threshold: float = 0.8, recall: float = 0.999, hashes: int = 128) -> tuple[int, int]:
@@ -146,6 +146,7 @@ def text_hash(docs: DataFrame) -> Column:
 def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
     """Similarities of all pairs of sets: shared shingles are counted by products of 0/1 blocks."""
     m, sizes = len(sets), np.array([len(s) for s in sets])
+    wide = sizes.astype(np.float32)
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(values, kind="stable")
@@ -163,7 +164,9 @@ def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
             block = np.zeros((m, min(width, column[b - 1] - i * width + 1)), np.float32)
             block[owner[a:b], column[a:b] - i * width] = 1
             shared += block @ block.T
-    return shared / (sizes[:, None] + sizes[None, :] - shared)
+    either = wide[:, None] + wide[None, :]
+    either -= shared
+    return np.divide(shared, either, out=shared)
 
 
 def _compare(threshold: float):
@@ -172,7 +175,7 @@ def _compare(threshold: float):
         np.fill_diagonal(near, False)
         if not within:
             near &= cells[:, None] != cells[None, :]
-        links = near @ sizes
+        links = np.array([sizes[row].sum() for row in near])
         root = np.full(len(keys), -1)
         for start in np.argsort(keys):  # components of the unit, each named by its least key
             if root[start] < 0:
@@ -220,7 +223,7 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -
     bands, rows = banding(threshold, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_hash(docs).alias("text_hash"), "text")
-    signed, _ = stage(read.mapInArrow(_signer(bands, rows), f"doc_id {kind}, text_hash string, key string, n int, bands array<bigint>"), "signed")
+    signed, _ = stage(in_arrow(read, _signer(bands, rows), f"doc_id {kind}, text_hash string, key string, n int, bands array<bigint>"), "signed")
     classes, _ = stage(signed.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
@@ -240,7 +243,7 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -
     wanted = cells.join(classes, "key").select("rep", "key", "size")
     filter_ = bloom.repeated(wanted, "rep", wanted.count(), least=1)
     texts = bloom.tested(docs.select("doc_id", "text"), "doc_id", filter_).filter(F.col("maybe") | F.col("doc_id").isNull())
-    found = texts.select("text").mapInArrow(_sets, "key string, grams binary")
+    found = in_arrow(texts.select("text"), _sets, "key string, grams binary")
     sets, _ = stage(found.join(cells.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
     bins = max(1, math.ceil(units.count() / 2000))
     work = units.join(classes.select("key", "size"), "key").join(sets, "key").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from guardlake.llm.shared import in_arrow
+
 MARK = "▁"
 #: Words, pairs and merged strings that a task remembers before it starts over.
 WORDS, PAIRS = 400_000, 2_000_000
@@ -174,8 +176,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32())),
                     pa.array(np.diff(starts), pa.int64()), pa.array(back, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
+        use.clear()  # the worker may wait long for its next task
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: str) -> DataFrame:
@@ -188,4 +191,4 @@ def decode(tokens: DataFrame, model: str) -> DataFrame:
             texts = [use.decoded(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return in_arrow(tokens.select("doc_id", "ids"), run, f"doc_id {kind}, text string")

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.functions.rows import let
+from guardlake.functions.rows import let, running_starts
 from guardlake.spark import shared_folder
 
-__all__ = ["WORD", "drop", "fresh", "let", "packed", "running_starts", "stage", "table", "text_of"]
+__all__ = ["WORD", "drop", "fresh", "in_arrow", "let", "packed", "running_starts", "stage", "table", "text_of"]
 
 #: A word everywhere in this package: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,23 +48,14 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
-def running_starts(lengths: Column, chunk: int = 64) -> Column:
-    """Sums of all earlier elements for each element of an int array.
+def in_arrow(rows: DataFrame, run, schema: str, batch: int = 1000) -> DataFrame:
+    """``mapInArrow`` with batches of at most so many rows.
 
-    Works by chunks: a sum per chunk, then short sums inside each, so that an
-    array of n elements takes about n * chunk / 2 additions.
+    A batch is held on both sides of the exchange, and texts can be long: the session's
+    limit of rows per batch is lowered to this number where it is higher.
     """
-    def spread(parts: Column) -> Column:
-        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: a + b))
-        bases = F.aggregate(
-            sums, F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum")),
-            lambda s, v: F.struct(F.concat(s["out"], F.array(s["sum"])).alias("out"), (s["sum"] + v).alias("sum")),
-            lambda s: s["out"])
-        return let(bases, lambda b: F.flatten(F.transform(parts, lambda p, c: F.transform(
-            p, lambda _, i: F.get(b, c) + F.aggregate(F.slice(p, 1, i), F.lit(0), lambda x, y: x + y)))))
-
-    def cut(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int")),
-                           lambda c: F.slice(x, c * chunk + 1, chunk))
-
-    return let(lengths, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(let(cut(x), spread)))
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > batch:
+        conf.set(name, str(batch))
+    return rows.mapInArrow(run, schema)

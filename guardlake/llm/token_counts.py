@@ -31,6 +31,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.llm.shared import in_arrow
+
 LEAF = 32
 CONTEXT = 4
 #: Characters of one leaf beyond which a tree is built anew.
@@ -166,7 +168,7 @@ def build(docs: DataFrame, ranks: str, pattern: str, *carry: str) -> DataFrame:
                 tree = pa.StructArray.from_arrays([_lists([t.chars for t in trees]), _lists([t.tokens for t in trees])], names=["chars", "tokens"])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), tree], names=[*carry, "tree"])
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, f"{kinds}tree {TREE}")
+    return in_arrow(docs.select(*dict.fromkeys([*carry, "text"])), run, f"{kinds}tree {TREE}")
 
 
 def recount(rows: DataFrame, ranks: str, pattern: str, text: bool = False) -> DataFrame:
@@ -199,8 +201,8 @@ def recount(rows: DataFrame, ranks: str, pattern: str, text: bool = False) -> Da
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = f", text string, tree {TREE}" if text else ""
-    return rows.select("doc_id", "text", "tree", "edits").mapInArrow(
-        run, f"doc_id {kind}, tokens_before long, tokens_after long, n_edits long, chars_again long{more}")
+    return in_arrow(
+        rows.select("doc_id", "text", "tree", "edits"), run, f"doc_id {kind}, tokens_before long, tokens_after long, n_edits long, chars_again long{more}")
 
 
 def revision(text: Column, doc_id: Column, source: Column) -> Column:
