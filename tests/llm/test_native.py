@@ -116,7 +116,7 @@ def test_battery_against_formulas(spark):
     assert secret_scan.thresholds(spark.createDataFrame(bins, "band int, bin int"), 0.05) == want == {0: 160}
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_exact_dedup"])
 def test_query_equals_sql(spark, duck, name):
     from compare import compare
 
