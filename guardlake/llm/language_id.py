@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.llm.shared import in_arrow
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 LONGEST = 5
@@ -74,12 +76,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
-def counts(labelled: DataFrame, sample: int = 20_000, least: int = 3, entries: int = 300_000) -> DataFrame:
+def counts(labelled: DataFrame, sample: int = 20_000, least: int = 3, entries: int = 200_000) -> DataFrame:
     """The model as a table: lang, kind, item, n. ``labelled``: doc_id, text, lang, without nulls."""
     total = labelled.count()
     share = min(1.0, sample / max(total, 1))
     picked = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    each = picked.select("lang", "text").mapInArrow(_counted, "lang string, kind int, item string, n long")
+    each = in_arrow(picked.select("lang", "text"), _counted, "lang string, kind int, item string, n long")
     summed = each.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
     # Per item, its counts in all languages; the most frequent items of words and of n-grams stay.
     items = summed.groupBy("kind", "item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(F.col("all") >= least)
@@ -91,23 +93,30 @@ def counts(labelled: DataFrame, sample: int = 20_000, least: int = 3, entries: i
 class Model:
     """The model in one task: votes per word, made when a word is first seen."""
 
-    def __init__(self, langs: list[str], tables: dict[str, np.ndarray]) -> None:
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], index: list[dict[str, int]], rows: np.ndarray) -> None:
+        self.langs, self.known, self.rows = langs, index, rows
+        self.votes = np.zeros((1024, len(langs)))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.votes = np.empty((0, len(self.langs)))
-
-    def vote(self, word: str) -> np.ndarray:
-        known = self.tables.get(f"0{word}")
-        if known is not None:
-            return known
-        for size in range(LONGEST, 0, -1):
-            found = [v for v in (self.tables.get(f"{size}{g}") for g in grams(word, size)) if v is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+
+    def votes_of(self, words: list[str]) -> np.ndarray:
+        """A vote per word: its own row of the model, else the mean of its longest known n-grams, else zeros."""
+        whole, picked, sizes = self.known[0], [], []
+        for word in words:
+            row = whole.get(word)
+            found = [row] if row is not None else []
+            for size in range(LONGEST, 0, -1):
+                if found:
+                    break
+                of = self.known[size]
+                found = [of[g] for g in grams(word, size) if g in of]
+            picked += found
+            sizes.append(len(found))
+        run = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.rows[np.array(picked, np.int64)], axis=0)])
+        ends = np.cumsum(sizes)
+        return (run[ends] - run[ends - sizes]) / np.maximum(sizes, 1)[:, None]
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """Sum of votes for each list of words."""
@@ -117,30 +126,34 @@ class Model:
             self.clear()
             new = set(words)
         if new:
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.votes = np.concatenate([self.votes, np.array([self.vote(w) for w in new])])
+            new, at = sorted(new), len(self.index)
+            self.index.update(zip(new, range(at, at + len(new))))
+            if len(self.index) > len(self.votes):
+                self.votes = np.concatenate([self.votes, np.zeros((len(self.index), len(self.langs)))])
+            self.votes[at:at + len(new)] = self.votes_of(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         run = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.votes[at], axis=0)])
         ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         return run[ends[1:]] - run[ends[:-1]]
 
 
-def model_of(rows: list) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages, and per item its log probability of each language, all languages weighing the same."""
-    langs = sorted({r["lang"] for r in rows})
-    place = {lang: i for i, lang in enumerate(langs)}
-    totals: dict[int, np.ndarray] = {k: np.zeros(len(langs)) for k in range(LONGEST + 1)}
-    by: dict[str, np.ndarray] = {}
-    for r in rows:
-        totals[r["kind"]][place[r["lang"]]] += r["n"]
-        by.setdefault(f"{r['kind']}{r['item']}", np.zeros(len(langs)))[place[r["lang"]]] = r["n"]
-    for key, n in by.items():
-        rate = np.log((n + 0.1) / (totals[int(key[0])] + 1))
-        by[key] = rate - np.logaddexp.reduce(rate)
-    return langs, by
+def model_of(counted: pa.Table) -> tuple[list[str], list[dict[str, int]], np.ndarray]:
+    """Languages; per kind the items and their rows; per row the log probability of each language, all languages weighing the same."""
+    langs = sorted(counted.column("lang").unique().to_pylist())
+    kind, n = (counted.column(c).to_numpy() for c in ("kind", "n"))
+    column = np.array([langs.index(lang) for lang in counted.column("lang").to_pylist()], np.int64)
+    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    row = np.array([index[k].setdefault(item, len(index[k])) for k, item in zip(kind, counted.column("item").to_pylist())], np.int64)
+    starts = np.cumsum([0] + [len(i) for i in index])
+    table, kinds = np.zeros((starts[-1], len(langs))), np.repeat(np.arange(LONGEST + 1), np.diff(starts))
+    table[starts[kind] + row, column] = n
+    totals = np.array([table[starts[k]:starts[k + 1]].sum(axis=0) for k in range(LONGEST + 1)])
+    rate = np.log((table + 0.1) / (totals[kinds] + 1))
+    rate -= np.logaddexp.reduce(rate, axis=1, keepdims=True) if len(langs) else 0
+    return langs, [{item: int(starts[k]) + i for item, i in index[k].items()} for k in range(LONGEST + 1)], rate
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]]) -> DataFrame:
+def predict(docs: DataFrame, model: tuple) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (the winner's probability by its mean vote)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -164,13 +177,13 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]]) ->
                                                  names=["doc_id", "held_out", "lang_pred", "score"])
 
     read = docs.select("doc_id", F.coalesce(remainder(docs["doc_id"]) == 1, F.lit(False)).alias("held_out"), "text")
-    return read.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return in_arrow(read, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def train(docs: DataFrame, **bounds: int) -> tuple[list[str], dict[str, np.ndarray]]:
+def train(docs: DataFrame, **bounds: int) -> tuple:
     """Learn from rows (doc_id, text, lang) that are labelled and not held out."""
     labelled = docs.filter((remainder(docs["doc_id"]) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return model_of(counts(labelled.select("doc_id", "text", "lang"), **bounds).collect())
+    return model_of(counts(labelled.select("doc_id", "text", "lang"), **bounds).toArrow())
 
 
 def report(docs: DataFrame, **bounds: int) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import brute
+import pyarrow as pa
 import pytest
 from llm_edge import LONG, edge_rows
 from pyspark.sql import functions as F
@@ -169,11 +170,10 @@ def test_language_edges(spark, edge, empty):
 
 
 def test_language_backoff():
-    model = language_id.Model(*language_id.model_of([
-        {"lang": lang, "kind": kind, "item": item, "n": n} for lang, kind, item, n in
-        [("a", 0, "known", 9), ("b", 0, "known", 1), ("b", 3, "unk", 5), ("a", 1, "u", 50), ("b", 1, "u", 2)]]))
-    assert model.vote("known").argmax() == 0 and model.vote("xunkx").argmax() == 1 and model.vote("qu").argmax() == 0
-    assert (model.vote("zzz") == 0).all()
+    rows = [("a", 0, "known", 9), ("b", 0, "known", 1), ("b", 3, "unk", 5), ("a", 1, "u", 50), ("b", 1, "u", 2)]
+    model = language_id.Model(*language_id.model_of(pa.table(dict(zip(("lang", "kind", "item", "n"), map(list, zip(*rows)))))))
+    votes = model.votes_of(["known", "xunkx", "qu", "zzz"])
+    assert [v.argmax() for v in votes[:3]] == [0, 1, 0] and (votes[3] == 0).all()
 
 
 def test_language_learns_from_no_held_out_row(spark, edge):
@@ -269,7 +269,6 @@ def test_banding_reaches_its_recall():
 
 
 def test_shingle_sets_are_as_plain():
-    import pyarrow as pa
     texts = [r[1] for r in edge_rows()] + ["a\x0bb\x0cc d e\x1cf g h", "  x y"]
     assert [len(s) for s in ngram_join.shingles(pa.array(texts))] == [len(brute.shingles(t)) for t in texts]
 
