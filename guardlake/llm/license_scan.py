@@ -3,11 +3,18 @@
 Lines with a license word form candidate blocks (``WORDS``; two such lines with at most
 two others between are one block). A block is compressed alone and with each template as
 a raw zstandard dictionary: the more wording it shares with a template, the more its
-compressed size shrinks. The templates are ranked by that reduction, and the best ones
-are confirmed by their wording: the template's words are aligned with the words of the
-block and around it, and the words that differ are counted. A template is found if at
-most a tenth of its words is missing and not more words are added; ``exact`` says that
-none differ. Placeholders (year, holder) match any words.
+compressed size shrinks. Templates are confirmed by their wording: the template's words
+are aligned with the words of the block and around it, and the words that differ are
+counted. A template is found if at most a tenth of its words is missing and not more
+words are added; ``exact`` says that none differ. Placeholders (year, holder) match any
+words. So few differences leave a run of template words whole whose length follows from
+the template's; every place with such a run is aligned, however long the line and
+whatever the templates' ranks. All notices that do not overlap are reported; of those
+that do, the one with the most words in place is, then the earlier one.
+
+The reduction is that of the notice's own words, ``runner_up`` the template of another
+license that shrinks them most. A block without a notice has the highest reduction of
+its windows with a license word (twice the longest template, overlapping by half).
 
 Only texts with a license word leave the JVM; no row moves.
 
@@ -104,6 +111,18 @@ class Matcher:
         self.given = [zstandard.ZstdCompressor(level=19, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(
             " ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for words in self.words]
         self.line = re.compile(WORDS, re.IGNORECASE)
+        #: Per length, runs of template words and where they stand. A confirmed notice has at least one run of its template.
+        self.runs: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
+        self.slack = []
+        for i, words in enumerate(self.words):
+            differ, free = len(words) // 10, words.count(ANY)
+            run = max(-(-(len(words) - free - differ) // (2 * differ + free + 1)), 1)
+            of = self.runs.setdefault(run, {})
+            for at in range(len(words) - run + 1):
+                if ANY not in words[at:at + run]:
+                    of.setdefault(tuple(words[at:at + run]), []).append((i, at))
+            self.slack.append(len(words) + 8 if free else differ)
+        self.reach = max(len(words) + slack for words, slack in zip(self.words, self.slack))
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Places of the candidate blocks, whole lines."""
@@ -141,51 +160,62 @@ class Matcher:
             missing, added = missing + len(lost), added + new
         return first, last, missing, added
 
-    def best(self, all_words: list, low: int, high: int, first: bool) -> tuple[tuple | None, list[tuple[float, int]]]:
-        """The template that words low to high start with or hold, confirmed by wording, and the ranking by size.
+    def hits(self, words: list[str], low: int, high: int) -> list[tuple]:
+        """Every template confirmed among words low to high, wherever it begins and whichever others are there.
 
-        Of the three templates that shrink the block most, that with the most words in place wins; words that differ
-        count against it, and the earlier place decides ties.
+        Each hit is (worth, first, template, last, missing, added). Words that differ count against the words in place.
         """
-        ranks, hit = self.ranked([w for w, _, _ in all_words[low:high]]), None
-        for reduction, i in ranks[:3]:
-            size = len(self.words[i])
-            around = max(low - size, 0) if first else low
-            w = self.wording(i, [w for w, _, _ in all_words[around:high + size]])
+        places = set()
+        for size, runs in self.runs.items():
+            for at in range(low, high - size + 1):
+                for i, begun in runs.get(tuple(words[at:at + size]), ()):
+                    places.add((i, at - begun))
+        out = set()
+        for i, begun in places:
+            size, slack = len(self.words[i]), self.slack[i]
+            around = max(begun - slack, low)
+            w = self.wording(i, words[around:min(begun + size + slack, high)])
             if w and 10 * w[2] <= size and 10 * w[3] <= size:
-                worth = 4 * w[2] + 3 * w[3] - size, around + w[0], i
-                if hit is None or worth < hit[0]:
-                    hit = worth, i, reduction, around + w[0], around + w[1], w[2], w[3]
-        return hit, ranks
+                out.add((4 * w[2] + 3 * w[3] - size, around + w[0], i, around + w[1], w[2], w[3]))
+        return sorted(out)
+
+    def unexplained(self, text: str, all_words: list, low: int, high: int) -> tuple[float, int]:
+        """(reduction, template) of the window with a license word that any template shrinks most; windows overlap by half."""
+        best = None
+        for at in range(low, max(high - self.most, low + 1), self.most):
+            window = all_words[at:min(at + 2 * self.most, high)]
+            if high - low <= 2 * self.most or self.line.search(text, window[0][1], window[-1][2]):
+                reduction, i = self.ranked([w for w, _, _ in window])[0]
+                if best is None or (-reduction, i) < (-best[0], best[1]):
+                    best = reduction, i
+        return best or self.ranked([w for w, _, _ in all_words[low:high]])[0]
 
     def found(self, text: str) -> Iterator[tuple]:
         """(start, end, template or None, reduction, missing, added, runner-up) for each block; a block may hold several notices."""
         if not self.line.search(text):
             return
         all_words = tokens(text)
-        starts = [a for _, a, _ in all_words]
+        words, starts = [w for w, _, _ in all_words], [a for _, a, _ in all_words]
         done = 0
         for begin, end in self.blocks(text):
             low, high = max(bisect_left(starts, begin), done), bisect_left(starts, end)
-            first, named = low, False
-            while low < high:
-                stop = text.find("\n", starts[low])
-                line = bisect_left(starts, stop) if 0 <= stop < end else high
-                reach = min(high, low + 2 * self.most)  # no template needs more words
-                whole, ranks = self.best(all_words, low, reach, not named)
-                alone = self.best(all_words, low, line, not named)[0] if line < reach else None
-                hit = min((h for h in (whole, alone) if h), default=None)
-                if hit is None:
-                    low = line  # the next line may begin a notice
-                    continue
-                _, i, reduction, begun, last, missing, added = hit
+            if low >= high:
+                continue
+            taken: list[tuple] = []  # by place; none overlap
+            for hit in self.hits(words, max(low - self.reach, done), min(high + self.reach, len(words))):
+                _, first, _, last, _, _ = hit
+                at = bisect_left(taken, first, key=lambda h: h[1])
+                free = (at == 0 or taken[at - 1][3] <= first) and (at == len(taken) or last <= taken[at][1])
+                if free and first < high and low < last:
+                    taken.insert(at, hit)
+            for _, first, i, last, missing, added in taken:
+                ranks = self.ranked(words[first:last])
                 second = next((self.names[j] for _, j in ranks if self.names[j] != self.names[i]), None)
-                yield all_words[begun][1], all_words[last - 1][2], i, reduction, missing, added, second
-                named = True
-                done = low = max(last, low + 1)
-            if not named and first < high:
-                reduction, i = self.ranked([w for w, _, _ in all_words[first:min(high, first + 2 * self.most)]])[0]
-                yield all_words[first][1], all_words[high - 1][2], None, reduction, None, None, self.names[i]
+                yield starts[first], all_words[last - 1][2], i, next(r for r, j in ranks if j == i), missing, added, second
+                done = last
+            if not taken:
+                reduction, i = self.unexplained(text, all_words, low, high)
+                yield starts[low], all_words[high - 1][2], None, reduction, None, None, self.names[i]
 
 
 _MATCHERS: dict[tuple, Matcher] = {}

@@ -111,6 +111,20 @@ def test_every_template_is_found_exactly(spark):
     assert all(got[i]["license"] == license_scan.TEMPLATES[i][0] and got[i]["exact"] for i, _ in rows)
 
 
+def test_license_far_into_one_line(spark):
+    """Notices are found however many words of the line stand before them, and far behind another."""
+    apache = dict(license_scan.TEMPLATES)["Apache-2.0"].replace("\n", " ")
+    notice = "Licensed under the MIT License."
+    prose = " ".join(f"plain{i % 700} words" for i in range(1000))
+    texts = [f"{prose} {notice} {prose}", f"{notice} {prose} {apache} {prose} {notice}", f"{prose} license of no kind {prose}"]
+    got = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start"], r["license"], r["exact"]))
+    assert got[0] == [(len(prose) + 1, "MIT", True)]
+    assert [x[1:] for x in sorted(got[1])] == [("MIT", True), ("Apache-2.0", True), ("MIT", True)]
+    assert [x[1] for x in got[2]] == [None]
+
+
 def test_license_lines_of_documents(docs):
     """The one-line notices that plain search finds, and no others."""
     lines = {t.strip(".").lower(): name for name, t in license_scan.TEMPLATES if len(t) < 90}
