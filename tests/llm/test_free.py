@@ -125,6 +125,19 @@ def test_license_far_into_one_line(spark):
     assert [x[1] for x in got[2]] == [None]
 
 
+def test_license_short_above_long(spark):
+    """A short notice before a longer one in the same block stays, and so do copies side by side."""
+    long = {name: t for name, t in license_scan.TEMPLATES if len(t) > 200}
+    short = {"CC-BY-4.0": "Licensed under CC BY 4.0.", "MIT": "Licensed under the MIT License."}
+    pairs = [(a, b, sep) for a in short for b in long for sep in ("\n", " ")]
+    rows = [(i, short[a] + sep + long[b].replace(license_scan.ANY, "Acme") + sep + short[a] + sep + short[a]) for i, (a, b, sep) in enumerate(pairs)]
+    got = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start"], r["license"], r["exact"]))
+    for i, (a, b, _) in enumerate(pairs):
+        assert [x[1:] for x in sorted(got[i])] == [(a, True), (b, True), (a, True), (a, True)]
+
+
 def test_license_lines_of_documents(docs):
     """The one-line notices that plain search finds, and no others."""
     lines = {t.strip(".").lower(): name for name, t in license_scan.TEMPLATES if len(t) < 90}
