@@ -138,6 +138,21 @@ def test_license_short_above_long(spark):
         assert [x[1:] for x in sorted(got[i])] == [(a, True), (b, True), (a, True), (a, True)]
 
 
+def test_license_amid_prose(spark):
+    """Every one-line notice is found in prose on its own line, whatever the prose has in common with longer templates."""
+    prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' AND n_chars > 4000").orderBy("doc_id").limit(12).collect()]
+    short = [(name, t) for name, t in license_scan.TEMPLATES if len(t) < 90]
+    rows, want = [], {}
+    for text in prose:
+        words = [w for w in text.split() if not re.search(license_scan.WORDS, w, re.I)]
+        for name, t in short:
+            for n in (30, 100, 150):
+                want[len(rows)] = name
+                rows.append((len(rows), " ".join([*words[:n], t, *words[n:2 * n]])))
+    got = Counter((r["doc_id"], r["license"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("exact").collect())
+    assert got == Counter(want.items())
+
+
 def test_license_lines_of_documents(docs):
     """The one-line notices that plain search finds, and no others."""
     lines = {t.strip(".").lower(): name for name, t in license_scan.TEMPLATES if len(t) < 90}
