@@ -8,10 +8,17 @@ every token of 20 characters or more over letters, digits, ``+/_-`` is tested:
    the symbol counts, number of runs above and below the middle symbol, and serial
    correlation of neighbours. It passes if the least of the three p-values, times
    three, is at least ``alpha``: a random token fails with at most that chance.
-3. Its p-value as an ordinary token is the chance that symbols of ordinary text repeat
-   as seldom as seen (coincidence index, normal tail). The spread of that index
-   shrinks with length, so short tokens need more.
-4. Tokens of like length form a band; in each band the Benjamini-Hochberg rule over all
+3. Its score is the log likelihood ratio of random symbols against ordinary text: pairs
+   of neighbouring symbols as counted in all words of up to 19 characters of all documents,
+   letters in either case, held to the token's alphabet; and seldom changes of case. One
+   part in fifty of ordinary text is taken as random, so no pair weighs more than log 50.
+4. Its p-value as an ordinary token is twice the lesser of two. One is the chance that
+   symbols of ordinary text repeat as seldom as seen (coincidence index, normal tail). The
+   other is the chance of such a score: at most e^-score for text like the counted words,
+   and not less than the normal tail above the mean and spread of the tokens of the band
+   whose score is not above 0, where there are 30 of them. Without words to count from,
+   scores say little and the first remains.
+5. Tokens of like length form a band; in each band the Benjamini-Hochberg rule over all
    tokens of all documents picks the p-values to accept, at false-discovery rate
    ``rate``. P-values are counted in bins of e^(1/20) and take their bin's upper edge,
    so the ranking is a small table however many tokens there are.
@@ -23,6 +30,8 @@ repeated rows give repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +63,15 @@ BANDS = (20, 24, 32, 40, 48, 64, 96, 128)
 BINS_PER_E, LAST_BIN = 20, 4000
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-TOKENS = "array<struct<start:int,end:int,band:int,bin:int,passes:boolean>>"
+TOKENS = "array<struct<start:int,end:int,band:int,p:double,score:long,passes:boolean>>"
+#: Scores are whole thousandths.
+MILLI = 1000
+#: Part of ordinary text taken as random; counts that the frequencies of single symbols, and random symbols, weigh as much as.
+RANDOM_PART, BACKOFF = 0.02, 50
+#: Chance that neighbouring letters of an ordinary token differ in case.
+SWITCH = 0.1
+#: Tokens of a band needed to measure its ordinary scores, and the least spread (a symbol's score) taken for them.
+MEASURED, LEAST_SPREAD = 30, 0.05
 
 
 def found(text: Column, pattern: str, group: int, least: int, gate: str, kind: int) -> Column:
@@ -88,8 +105,54 @@ def tail(z: Column) -> Column:
     return let(z / 2 ** 0.5, lambda x: let(upper(F.abs(x)), lambda u: F.when(x >= 0, u).otherwise(1 - u)))
 
 
-def _battery(token: Column, n: Column, alphabet: str, ordinary: float, alpha: float) -> Column:
-    """Whether the token may be random over the alphabet, and the bin of its p-value as ordinary text."""
+def pairs(docs: DataFrame) -> dict[str, int]:
+    """How often symbols follow each other in the words of 2 to 19 symbols, letters lower-cased: one count per pair of symbols."""
+    words = docs.select(F.explode(F.split("text", "[^A-Za-z0-9+/_-]+")).alias("word")).filter("length(word) BETWEEN 2 AND 19")
+    each = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    plain = F.translate(F.lower("word"), "-_", "+/")
+    at = each.select(plain.alias("word"), "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    counted = at.groupBy(F.substring("word", F.col("at"), F.lit(2)).alias("pair")).agg(F.sum("n").alias("n"))
+    return {r["pair"]: r["n"] for r in counted.collect()}  # at most 38 * 38
+
+
+def folded(alphabet: str) -> str:
+    """The alphabet's symbols without case."""
+    return "".join(dict.fromkeys(alphabet.lower()))
+
+
+def scores(counts: dict[str, int], alphabet: str) -> list[int]:
+    """Per pair of folded symbols (first times their number plus second): log of random over ordinary, given the first."""
+    symbols = folded(alphabet)
+    random = [sum(c.lower() == s for c in alphabet) / len(alphabet) for s in symbols]
+    rows = [[counts.get(a + b, 0) for b in symbols] for a in symbols]
+    total = sum(map(sum, rows))
+    single = [(sum(row[j] for row in rows) + BACKOFF * r) / (total + BACKOFF) for j, r in enumerate(random)]
+    out = []
+    for row in rows:
+        seen = sum(row)
+        for n, one, r in zip(row, single, random):
+            ordinary = (1 - RANDOM_PART) * (n + BACKOFF * one) / (seen + BACKOFF) + RANDOM_PART * r
+            out.append(round(MILLI * math.log(r / ordinary)))
+    return out
+
+
+def _score(token: Column, alphabet: str, table: list[int]) -> Column:
+    """Log likelihood ratio of the token as random symbols over it as ordinary text."""
+    symbols = folded(alphabet)
+    weights = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+    plain = F.filter(F.split(F.translate(F.lower(token), "-_", "+/"), ""), lambda c: c != "")
+    by_pair = let(F.transform(plain, lambda c: F.instr(F.lit(symbols), c) - 1), lambda index: F.aggregate(
+        F.sequence(F.lit(1), F.size(index) - 1), F.lit(0).cast("long"),
+        lambda s, i: s + F.get(weights, F.get(index, i - 1) * len(symbols) + F.get(index, i))))
+    if len(symbols) == len(alphabet):
+        return by_pair
+    both = F.regexp_count(token, F.lit("[A-Za-z](?=[A-Za-z])"))
+    switched = F.regexp_count(token, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])"))
+    return by_pair + switched * round(MILLI * math.log(0.5 / SWITCH)) + (both - switched) * round(MILLI * math.log(0.5 / (1 - SWITCH)))
+
+
+def _battery(token: Column, n: Column, alphabet: str, ordinary: float, alpha: float, table: list[int]) -> Column:
+    """Whether the token may be random over the alphabet, its p-value by coincidence index, and its score."""
     k = len(alphabet)
 
     def judged(index: Column) -> Column:
@@ -115,24 +178,25 @@ def _battery(token: Column, n: Column, alphabet: str, ordinary: float, alpha: fl
         index_of = (squares - n) / (n * (n - 1))
         cubes = ordinary * ordinary * 1.3
         spread = F.sqrt(4 * (cubes - ordinary * ordinary) / n + 2 * (ordinary - ordinary * ordinary) / (n * (n - 1)))
-        p = F.greatest(tail((F.lit(ordinary) - index_of) / spread), F.lit(1e-80))
-        return F.struct((3 * least >= alpha).alias("passes"),
-                        F.least(F.floor(-F.log(p) * BINS_PER_E), F.lit(LAST_BIN)).cast("int").alias("bin"))
+        return F.struct((3 * least >= alpha).alias("passes"), tail((F.lit(ordinary) - index_of) / spread).alias("p"),
+                        _score(token, alphabet, table).alias("score"))
 
     symbols = F.filter(F.split(F.translate(token, "-_", "+/"), ""), lambda c: c != "")
     return let(F.transform(symbols, lambda c: F.instr(F.lit(alphabet), c) - 1), judged)
 
 
-def _tokens(text: Column, alpha: float) -> Column:
-    """Every long token with its place, band, p-value bin, and whether it may be random."""
+def _tokens(text: Column, alpha: float, counts: dict[str, int]) -> Column:
+    """Every long token with its place, band, p-value by coincidence index, score, and whether it may be random."""
+    tables = [scores(counts, alphabet) for _, alphabet, _ in ENCODINGS]
+
     def tested(start: Column, token: Column) -> Column:
         n = F.length(token).cast("double")
-        verdict = F.when(F.lit(False), F.lit(None).cast("struct<passes:boolean,bin:int>"))
-        for pattern, alphabet, ordinary in ENCODINGS:
-            verdict = verdict.when(token.rlike(f"^{pattern}$"), _battery(token, n, alphabet, ordinary, alpha))
+        verdict = F.when(F.lit(False), F.lit(None).cast("struct<passes:boolean,p:double,score:long>"))
+        for (pattern, alphabet, ordinary), table in zip(ENCODINGS, tables):
+            verdict = verdict.when(token.rlike(f"^{pattern}$"), _battery(token, n, alphabet, ordinary, alpha, table))
         band = sum((F.when(F.length(token) >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
         return let(verdict, lambda v: F.struct(start.alias("start"), (start + F.length(token)).alias("end"), band.alias("band"),
-                                               v["bin"].alias("bin"), v["passes"].alias("passes")))
+                                               v["p"].alias("p"), v["score"].alias("score"), v["passes"].alias("passes")))
 
     def placed(hits: Column) -> Column:
         gaps = F.transform(F.split(text, TOKEN, -1), F.length)
@@ -146,6 +210,28 @@ def _tokens(text: Column, alpha: float) -> Column:
     return F.coalesce(hits.cast(TOKENS), F.array().cast(TOKENS))
 
 
+def ordinary_scores(tokens: DataFrame) -> dict[int, tuple[float, float]]:
+    """Per band mean and spread of a symbol's score in its ordinary tokens. ``tokens`` has a row (band, score, size) per token."""
+    each = tokens.filter("score <= 0").select("band", F.round(F.col("score") / F.col("size")).cast("long").alias("x"))
+    sums = each.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    out = {}
+    for r in sums.filter(F.col("n") >= MEASURED).collect():
+        mean = r["x"] / r["n"]
+        out[r["band"]] = mean / MILLI, max(math.sqrt(max(r["xx"] / r["n"] - mean * mean, 0.0)) / MILLI, LEAST_SPREAD)
+    return out
+
+
+def p_bin(t: Column, measured: dict[int, tuple[float, float]]) -> Column:
+    """Bin of the token's combined p-value."""
+    score = t["score"] / MILLI
+    each = score / (t["end"] - t["start"])
+    by_score = F.exp(-score)
+    for band, (mean, spread) in sorted(measured.items()):
+        by_score = F.when(t["band"] == band, F.greatest(F.exp(-score), tail((each - mean) / spread))).otherwise(by_score)
+    p = F.least(2 * F.least(t["p"], by_score), F.lit(1.0))
+    return F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-80))) * BINS_PER_E), F.lit(LAST_BIN)).cast("int")
+
+
 def thresholds(tokens: DataFrame, rate: float) -> dict[int, int]:
     """Per band the least bin that is accepted. ``tokens`` has a row (band, bin) per tested token; the result has a row a band."""
     counts = tokens.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -160,14 +246,15 @@ def scan(docs: DataFrame, alpha: float = 0.001, rate: float = 0.05) -> DataFrame
     text = F.coalesce(docs["text"], F.lit(""))
     base = F.concat(*[found(text, pattern, group, least, gate, kind)
                       for kind, ((_, pattern, group, least), gate) in enumerate(zip(KINDS, GATES))])
-    rows, _ = stage(docs.select("doc_id", F.array_sort(base).alias("base"), _tokens(text, alpha).alias("tokens")), "secrets")
-    tokens = rows.select(F.explode("tokens").alias("t")).select("t.band", "t.bin")
-    cuts = thresholds(tokens, rate)
+    rows, _ = stage(docs.select("doc_id", F.array_sort(base).alias("base"), _tokens(text, alpha, pairs(docs)).alias("tokens")), "secrets")
+    tokens = rows.select(F.explode("tokens").alias("t"))
+    measured = ordinary_scores(tokens.select("t.band", "t.score", F.expr("t.end - t.start").alias("size")))
+    cuts = thresholds(tokens.select("t.band", p_bin(F.col("t"), measured).alias("bin")), rate)
 
     def kept(t: Column) -> Column:
         enough = F.lit(False)
         for band, least in sorted(cuts.items()):
-            enough = enough | ((t["band"] == band) & (t["bin"] >= least))
+            enough = enough | ((t["band"] == band) & (p_bin(t, measured) >= least))
         clear = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         return t["passes"] & enough & clear
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import brute
@@ -102,6 +103,24 @@ def test_secret_spans(spark, edge, empty):
     assert secret_scan.report(edge).count() == edge.count() and secret_scan.report(empty).count() == 0
 
 
+def test_lone_keys_among_ordinary_tokens(spark):
+    """One random key of a length among thousands of ordinary long tokens is found; shorter than 20 symbols is no candidate."""
+    rng = random.Random(7)
+    text = " ".join(r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect())
+    words = [w for w in re.findall("[A-Za-z]+", text) if 3 <= len(w) <= 12][:40_000]
+    joined = [rng.choice(["", "-", "_", "/"]).join(f(rng.choice(words)) for _ in range(rng.randrange(2, 7))) for f in (str, str.title, str.upper) for _ in range(3000)]
+    ordinary = [w for w in joined if 20 <= len(w) <= 47]
+    assert min(sum(a <= len(w) < b for w in ordinary) for a, b in ((20, 24), (24, 32), (32, 40))) > 500
+    base62 = secret_scan.ENCODINGS[4][1]
+    keys = {n: "".join(rng.choice(base62) for _ in range(n)) for n in (16, 20, 24, 32)}
+    texts = [" ".join(words[i:i + 400]) for i in range(0, len(words), 400)] + [" ".join(ordinary[i:i + 50]) for i in range(0, len(ordinary), 50)]
+    first = len(texts)
+    texts += [f"key {k} end" for k in keys.values()]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[first + i] for i in range(4)] == ["", "random:4:24", "random:4:28", "random:4:36"]
+    assert sum("random" in got[i] for i in range(first)) <= 1
+
+
 def test_battery_against_formulas(spark):
     """Tail areas of the normal, and thresholds of the false-discovery rule, against plain computation."""
     zs = [(z / 4,) for z in range(-20, 40)]
