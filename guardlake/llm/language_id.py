@@ -6,11 +6,14 @@ with its longest n-grams that the model knows: 5 characters, else 4, down to 1.
 is the word's log probability of each language given that all are as likely. The
 language with the highest sum of votes wins.
 
-Training reads at most about ``sample`` documents (a hash of doc_id picks them evenly
-from all labelled ones), which bounds the model together with ``least``, the count below
-which words and n-grams are left out, and ``entries``, the most words and the most
-n-grams kept, by count. So the model may go to every task. Scoring reads whole texts;
-they stay where they are and no row moves.
+Training reads at most about ``sample`` documents, which bounds the model together with
+``least``, the count below which words and n-grams are left out, and ``entries``, about
+the most words and the most n-grams kept. Both bounds are shared out evenly: a language
+with fewer documents than its part is learned from all of them and leaves the rest to
+the others, whose documents a hash of doc_id picks; of each language (and length of
+n-gram) the most frequent entries are kept in the same way, ties at the last count by
+hash. Every language gets ``FLOOR`` documents at least, if it has them. So the model may
+go to every task. Scoring reads whole texts; they stay where they are and no row moves.
 
 Defined results: words are runs of letters, lower-cased; a text that is null or has no
 letter is ``und`` with score 0; so is every text if nothing could be learned; ties go to
@@ -27,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardlake.llm.shared import in_arrow
+from guardlake.llm.shared import in_arrow, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 LONGEST = 5
 #: New words whose votes a task remembers before it starts over.
 REMEMBERED = 300_000
+#: Least number of documents that a language is learned from, where it has so many, however many languages there are.
+FLOOR = 50
+SHARES = 1 << 30
 
 
 def remainder(doc_id: Column) -> Column:
@@ -76,18 +82,51 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The most that each group may give so that all give ``total`` at most; small groups leave their rest to the others."""
+    left = total
+    for done, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - done) >= left:
+            return left // (len(sizes) - done)
+        left -= size
+    return max(sizes, default=0)
+
+
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """Rows (lang, text) of each language, by a hash of doc_id where it has more than its part."""
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    most = max(level(list(sizes.values()), sample), FLOOR)
+    shares = [(lang, most * SHARES // n) for lang, n in sizes.items() if n > most]
+    if not shares:
+        return labelled.select("lang", "text")
+    few = labelled.sparkSession.createDataFrame(shares, "lang string, share long")
+    rows = labelled.join(F.broadcast(few), "lang", "left")
+    return rows.filter(F.col("share").isNull() | (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SHARES)) < F.col("share"))).select("lang", "text")
+
+
+def cuts(each: DataFrame, entries: int) -> DataFrame:
+    """Per kind and language with more entries than its part: the last count that is kept and the share kept of its ties."""
+    sizes = {(r["kind"], r["lang"]): r["count"] for r in each.groupBy("kind", "lang").count().collect()}  # a row per language and kind
+    most = [max(level([n for (kind, _), n in sizes.items() if (kind > 0) == grams_too], entries), 1) for grams_too in (False, True)]
+    down = Window.partitionBy("kind", "lang").orderBy(F.desc("n"))  # a row per distinct count
+    of = each.groupBy("kind", "lang", "n").agg(F.count(F.lit(1)).alias("ties"))
+    part = F.when(F.col("kind") > 0, most[1]).otherwise(most[0])
+    above = of.withColumn("above", F.sum("ties").over(down) - F.col("ties")).withColumn("part", part)
+    last = above.filter((F.col("above") < F.col("part")) & (F.col("above") + F.col("ties") >= F.col("part")))
+    return last.select("kind", "lang", F.col("n").alias("cut"), ((F.col("part") - F.col("above")) / F.col("ties")).alias("share"))
+
+
 def counts(labelled: DataFrame, sample: int = 20_000, least: int = 3, entries: int = 200_000) -> DataFrame:
     """The model as a table: lang, kind, item, n. ``labelled``: doc_id, text, lang, without nulls."""
-    total = labelled.count()
-    share = min(1.0, sample / max(total, 1))
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    each = in_arrow(picked.select("lang", "text"), _counted, "lang string, kind int, item string, n long")
+    each = in_arrow(sampled(labelled, sample), _counted, "lang string, kind int, item string, n long")
     summed = each.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    # Per item, its counts in all languages; the most frequent items of words and of n-grams stay.
+    # Per item, its counts in all languages; items that are frequent in any language stay.
     items = summed.groupBy("kind", "item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(F.col("all") >= least)
-    words = items.filter("kind = 0").orderBy(F.desc("all"), "item").limit(entries)
-    parts = items.filter("kind > 0").orderBy(F.desc("all"), "kind", "item").limit(entries)
-    return words.unionByName(parts).select("kind", "item", F.explode("by").alias("b")).select("b.lang", "kind", "item", "b.n")
+    rows, _ = stage(items.select("kind", "item", F.explode("by").alias("b")).select("b.lang", "kind", "item", "b.n"), "languages")
+    cut = rows.join(F.broadcast(cuts(rows, entries)), ["kind", "lang"], "left")
+    tied = F.pmod(F.xxhash64("item", F.lit(6)), F.lit(SHARES)) < F.col("share") * SHARES
+    stay = cut.filter(F.col("cut").isNull() | (F.col("n") > F.col("cut")) | ((F.col("n") == F.col("cut")) & tied)).select("kind", "item").distinct()
+    return rows.join(stay, ["kind", "item"], "left_semi").select("lang", "kind", "item", "n")
 
 
 class Model:

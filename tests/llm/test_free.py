@@ -225,6 +225,26 @@ def test_language_learns_from_no_held_out_row(spark, edge):
     assert one == two
 
 
+def test_language_with_few_rows(spark):
+    """A language with 0.01% of the rows is learned and predicted within small bounds, and keeps entries of its own."""
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10_000 == 7, "rare").otherwise("major").alias("lang"))
+    number = F.concat_ws(" ", *[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(3000)).cast("string") for i in range(8)])
+    docs = rows.withColumn("text", F.when(F.col("lang") == "rare", F.translate(number, "0123456789", "klmnopqrst")).otherwise(
+        F.translate(number, "0123456789", "abcdefghij")))
+    bounds = {"sample": 1000, "least": 1, "entries": 400}
+    labelled = docs.filter((language_id.remainder(F.col("doc_id")) != 1)).select("doc_id", "text", "lang")
+    kept = Counter((r["lang"], r["kind"]) for r in language_id.counts(labelled, **bounds).collect())
+    assert all(kept["rare", kind] for kind in range(6)) and all(kept["major", kind] for kind in range(6))
+    assert sum(n for (_, kind), n in kept.items() if kind == 0) <= 480 and sum(n for (_, kind), n in kept.items() if kind) <= 480
+    got = language_id.predict(docs.filter("lang = 'rare' OR doc_id < 300").select("doc_id", "text"), language_id.train(docs, **bounds)).filter("held_out").collect()
+    assert sum(r["doc_id"] % 10_000 == 7 for r in got) >= 5
+    assert all(r["lang_pred"] == ("rare" if r["doc_id"] % 10_000 == 7 else "major") for r in got)
+
+
+def test_parts_of_a_bound():
+    assert [language_id.level(*x) for x in (([5, 100, 100], 105), ([1, 2], 10), ([], 5), ([10, 10], 7))] == [50, 2, 0, 3]
+
+
 # Token counts -------------------------------------------------------------------------------------------------------------
 
 def test_counts_after_random_edits(spark):
