@@ -14,13 +14,14 @@ per (source, size), which equal sizes and copies shrink. Sums are of whole numbe
 
 Rates become copies per (source, size), from the longest size down: the copies of one
 size make up for what rounding the sizes before left over, so a source ends within
-about half of its smallest documents of its target, but for what follows: copies that
-do not divide evenly among documents of one size go to those with the lowest hash of
-the doc_id, which adds a random error of a few documents.
+about half of its smallest documents of its target. Copies that do not divide evenly
+among documents of one size go to exactly as many of those with the lowest hash of
+doc_id and text: counts per range of hashes find the range in which they run out, and
+only that one is ranked.
 
 Defined results: a null text has no words and is never taken; a null source is a source
 of its own and the last; a source without words has target 0; rows that repeat a doc_id
-are mixed row by row and fare alike; an empty table gives no rows; further columns are
+are mixed row by row; of rows with the same doc_id and text any may get the last copies; an empty table gives no rows; further columns are
 carried along and never read.
 """
 
@@ -38,6 +39,8 @@ WEIGHTS = (5, 2, 1)
 UNIT = 1 << 20
 #: (source, size) rows up to which their table is broadcast to the documents; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bits of a hash that are dropped for its range: 1,024 ranges.
+RANGE_BITS = 54
 
 
 def words(text: Column) -> Column:
@@ -137,30 +140,62 @@ def plan(docs: DataFrame, share: float = 1.5, most: int = 2) -> tuple[DataFrame,
     return stage(copies, "copies")[0], aims
 
 
-def _copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """Rows (source, size, doc_id, ...) with their number of copies."""
-    per = copies.select(F.col("source").alias("of"), F.col("size").alias("of_size"), "n", "copies")
-    if copies.count() <= BROADCAST_ROWS:
-        per = F.broadcast(per)
-    found = rows.join(per, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")), "left")
-    # Of n documents of one size, a share (copies mod n) / n gets one more.
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(UNIT)) / UNIT
-    more = F.when(lot < (F.col("copies") % F.col("n")) / F.col("n"), 1).otherwise(0)
-    return found.withColumn("times", F.coalesce(F.floor(F.col("copies") / F.col("n")) + more, F.lit(0)).cast("long")).drop("of", "of_size", "n", "copies")
+def lot(docs: DataFrame) -> Column:
+    """The hash by which copies are dealt among documents of one size."""
+    return F.xxhash64(docs["doc_id"], docs["text"], F.lit(9))
+
+
+def _last(rows: DataFrame, copies: DataFrame, small: bool) -> DataFrame:
+    """Per (of, of_size) whose copies do not divide evenly: the last lot that gets one more, its rows and how many of them do."""
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))
+        return left.join(F.broadcast(right) if small else right, on)
+
+    def crossed(counted: DataFrame, by: str, wanted: str) -> DataFrame:
+        below = F.sum("rows").over(Window.partitionBy("source", "size").orderBy(by)) - F.col("rows")
+        return counted.withColumn("below", below).filter((F.col("below") < F.col(wanted)) & (F.col("below") + F.col("rows") >= F.col(wanted)))
+
+    of = copies.select(F.col("source").alias("of"), F.col("size").alias("of_size"), (F.col("copies") % F.col("n")).alias("odd")).filter("odd > 0")
+    near = met(rows.select("source", "size", "lot"), of).select("source", "size", "odd", "lot", F.shiftright("lot", RANGE_BITS).alias("range"))
+    ranges = crossed(near.groupBy("source", "size", "odd", "range").agg(F.count(F.lit(1)).alias("rows")), "range", "odd")
+    edge = ranges.select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("range").alias("of_range"), (F.col("odd") - F.col("below")).alias("rest"))
+    inside = met(near, edge).filter("range = of_range").groupBy("source", "size", "rest", "lot").agg(F.count(F.lit(1)).alias("rows"))
+    last = crossed(inside, "lot", "rest")
+    return stage(last.select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("lot").alias("last"), F.col("rows").alias("ties"),
+                             (F.col("rest") - F.col("below")).alias("more")), "lots")[0]
+
+
+def _copies(rows: DataFrame, copies: DataFrame, lots: DataFrame) -> DataFrame:
+    """Rows (source, size, lot, ...) with their number of copies. ``lots``: source, size and lot of all rows."""
+    small = copies.count() <= BROADCAST_ROWS
+    last = _last(lots, copies, small)
+    per = copies.select("source", "size", F.floor(F.col("copies") / F.col("n")).alias("each")).join(
+        last, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")), "left").select(
+        F.col("source").alias("of"), F.col("size").alias("of_size"), "each", "last", "ties", "more")
+    found = rows.join(F.broadcast(per) if small else per, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")), "left")
+    tied = F.coalesce((F.col("lot") == F.col("last")) & (F.col("more") < F.col("ties")), F.lit(False))
+    dealt = found.withColumn("one", F.when(F.col("lot") <= F.col("last"), 1).otherwise(0))
+    if last.filter("more < ties").take(1):  # rows with the same doc_id and text, of which some get one more
+        rank = F.row_number().over(Window.partitionBy("source", "size", "lot").orderBy(F.lit(1)))
+        some = found.filter(tied).withColumn("one", F.when(rank <= F.col("more"), 1).otherwise(0))
+        dealt = dealt.filter(~tied).unionByName(some)
+    return dealt.withColumn("times", F.coalesce(F.col("each") + F.col("one"), F.lit(0)).cast("long")).drop(
+        "of", "of_size", "each", "last", "ties", "more", "one", "lot")
 
 
 def report(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
-    rows, _ = stage(docs.select("doc_id", "source", words(docs["text"]).alias("size")), "sizes")
+    rows, _ = stage(docs.select("doc_id", "source", words(docs["text"]).alias("size"), lot(docs).alias("lot")), "sizes")
     copies, aims = plan(rows, share, most)
     aims = aims.withColumnRenamed("source", "from")
-    found = _copies(rows, copies).join(aims, F.col("source").eqNullSafe(F.col("from")))
+    found = _copies(rows, copies, rows).join(aims, F.col("source").eqNullSafe(F.col("from")))
     return found.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns as they are."""
     size = words(docs["text"])
-    copies, _ = plan(stage(docs.select("source", size.alias("size")), "sizes")[0], share, most)
-    rows = _copies(packed(docs, source=docs["source"], size=size, doc_id=docs["doc_id"]), copies)
+    lots, _ = stage(docs.select("source", size.alias("size"), lot(docs).alias("lot")), "sizes")
+    copies, _ = plan(lots, share, most)
+    rows = _copies(packed(docs, source=docs["source"], size=size, lot=lot(docs)), copies, lots)
     return rows.filter("times > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("doc.*")

@@ -322,6 +322,21 @@ def test_mix_rows_follow_the_report(edge, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mix_takes_what_is_planned(spark):
+    """The words taken of a source are those planned, also where doc_ids are null or repeated."""
+    rows = [(i if i % 3 else None if i % 2 else 7, f"s{i % 4}", " ".join(["word"] * (20 + i % 2)) + (f" {i}" if i % 5 else " 0")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    planned, taken, mixed = Counter(), Counter(), Counter()
+    for r in mixing.plan(df.select("source", mixing.words(df["text"]).alias("size")))[0].collect():
+        planned[r["source"]] += r["size"] * r["copies"]
+    for r in mixing.mixed(df).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    for r in mixing.report(df).collect():
+        taken[r["target"], r["source_size"]] += r["taken"]
+    assert mixed == planned and sorted(taken.values()) == sorted(planned.values())
+    assert all(abs(n - target) <= 22 for (target, _), n in taken.items())
+
+
 # N-gram join --------------------------------------------------------------------------------------------------------------
 
 def test_banding_reaches_its_recall():
