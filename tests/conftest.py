@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-SMALL = "/root/testdata/sf0.001"
+from tables import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import compare
-from conftest import SMALL
+from tables import SMALL
 
 import __spark_entry__ as entry
 

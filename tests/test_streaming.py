@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from conftest import SMALL
+from tables import SMALL
 from pyspark.sql import functions as F
 
 from guardlake.operators import classify, policy
