@@ -72,7 +72,60 @@ SELECT doc_id, leaf, subroot, (SELECT node FROM r{levels}) AS root, sha256(proof
   now = (SELECT node FROM r{levels}) AS verified FROM {top}"""
 
 
+def _repair() -> str:
+    key = "coalesce('c' || CAST(conv_id AS VARCHAR), '')"
+    lot = crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")
+
+    def add(state: str, cost: str, edit: str, lines: str) -> str:
+        return "{'c': %s.c + %s, 'x': %s.x || %s, 't': %s.t || %s}" % (state, cost, state, edit, state, lines)
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    both, back = f"{user} || {assistant}", f"{assistant} || {user}"
+    more = {  # up to two rows inserted
+        "e": "e", "s": "s",
+        "u": least("u", add("e", "5", "'I'", user), add("s", "5", "'I'", user), add("a", "5", "'I'", user), add("u", "10", "'II'", back)),
+        "a": least("a", add("u", "5", "'I'", assistant), add("e", "10", "'II'", both), add("s", "10", "'II'", both), add("a", "10", "'II'", both))}
+
+    def put(role: str) -> tuple[str, str, str]:
+        name = {"u": "'user'", "a": "'assistant'", "s": "role"}[role]
+        own = f"initial = '{role}'"
+        cost = f"CASE WHEN must THEN 1000000000 WHEN {own} THEN 0 ELSE {'1000000000' if role == 's' else '1'} END + CASE WHEN cut THEN 5 ELSE 0 END"
+        return f"({cost})", f"CASE WHEN {own} THEN 'K' ELSE 'R' END", f"chr(10) || CASE WHEN {own} THEN role ELSE {name} END || ':' || text"
+
+    gone = ("2", "'D'", "''")
+    step = {"e": add("e", *gone), "s": least(add("s", *gone), add("e", *put("s"))),
+            "u": least(add("u", *gone), *[add(x, *put("u")) for x in "esa"]), "a": least(add("a", *gone), add("u", *put("a")))}
+    never = "{'c': CAST(1000000000 AS BIGINT), 'x': '', 't': ''}"
+    return f"""
+WITH RECURSIVE base AS (SELECT conv_id, {key} AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {lot} % 20 AS lot FROM conversations),
+hurt AS (SELECT key, turn, copy, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM base JOIN (VALUES (0), (1)) c(copy) ON copy = 0 OR lot = 3 WHERE lot <> 0),
+marked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS r,
+    row_number() OVER (PARTITION BY key, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS unended,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial FROM hurt),
+faults AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND unended AS cut, blank OR again AS must,
+    lag(initial) OVER (PARTITION BY key ORDER BY r) || initial NOT IN ('su', 'ua', 'au') AS odd FROM marked),
+counts AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n FROM faults GROUP BY key),
+dp(key, r, e, s, u, a) AS (
+  SELECT key, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'x': '', 't': ''}}, {never}, {never}, {never} FROM counts
+  UNION ALL
+  SELECT key, r, {step["e"]}, {step["s"]}, {step["u"]}, {step["a"]} FROM (
+    SELECT f.key, f.r, f.role, f.text, f.initial, f.must, f.cut, {", ".join(f"{v} AS {k}" for k, v in more.items())}
+    FROM dp JOIN faults f ON f.key = dp.key AND f.r = dp.r + 1)),
+best AS (SELECT key, {least("e", more["a"])} AS b FROM dp JOIN counts USING (key) WHERE dp.r = counts.n)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.x, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM base) LEFT JOIN counts USING (key) LEFT JOIN best USING (key)"""
+
+
 SQL = {
+    "op12_turn_repair": _repair(),
     "op13_merkle": _merkle(),
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)

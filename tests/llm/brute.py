@@ -181,3 +181,103 @@ def merkle(rows):
                 node = _sha(left + node + right)
             out.append((i, leaf, sub, root, _sha("".join(a + b for a, b in path)), node, node == root))
     return sorted(out, key=repr)
+
+
+def damage(rows):
+    """rows: (conv_id, turn, role, text). Per conv_id its rows (turn, role, text) in order."""
+    def plain(x):
+        return " " if x is None else str(x)
+
+    out = {r[0]: [] for r in rows}
+    for conv, turn, role, text in rows:
+        role, text = plain(role), plain(text)
+        lot = zlib.crc32(f"{plain(conv)}:{plain(turn)}".encode()) % 20
+        if lot:
+            text = "" if lot == 1 else re.sub("[.!?]", "", text) if lot == 2 else text
+            out[conv] += [(turn, "user" if lot == 4 else role, text)] * (2 if lot == 3 else 1)
+    for own in out.values():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], _sha(r[2])))
+    return out
+
+
+def faults(rows):
+    """rows: (role, text). One of blank, duplicate, truncated or None for each."""
+    seen, out = set(), []
+    for r in rows:
+        bare = r[1].rstrip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not bare else "duplicate" if r in seen else "truncated" if bare[-1] not in ".!?" else None)
+        seen.add(r)
+    return out
+
+
+LAWFUL = re.compile("(s?(ua)+)?")
+
+
+def all_repairs(rows, most=3):
+    """Every (cost, edits, repaired rows) for (role, text) rows with at most ``most`` insertions, by plain search."""
+    bad = faults(rows)
+
+    def walk(i, left):
+        if left:
+            for role in ("user", "assistant"):
+                for cost, edits, out in walk(i, left - 1):
+                    yield cost + 5, "I" + edits, [(role, ""), *out]
+        if i == len(rows):
+            yield 0, "", []
+            return
+        for cost, edits, out in walk(i + 1, left):
+            yield cost + 2, "D" + edits, out
+            if bad[i] not in ("blank", "duplicate"):
+                more = 5 if bad[i] else 0
+                yield cost + more, "K" + edits, [rows[i], *out]
+                for role in ("user", "assistant"):
+                    yield cost + more + 1, "R" + edits, [(role, rows[i][1]), *out]
+
+    return [x for x in walk(0, most) if LAWFUL.fullmatch("".join(r[:1] or "-" for r, _ in x[2]))]
+
+
+def repaired(rows):
+    """(cost, edits, repaired rows) of the cheapest repair, row by row over the four states."""
+    bad = faults(rows)
+    ahead = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    best = {"": (0, "", ())}
+
+    def offer(table, state, way):
+        if state not in table or way[:2] < table[state][:2]:
+            table[state] = way
+
+    def inserted(table):
+        for _ in range(2):
+            for state, (cost, edits, out) in list(table.items()):
+                for role in ("user", "assistant"):
+                    if role[0] in ahead[state]:
+                        offer(table, role[0], (cost + 5, edits + "I", (*out, (role, ""))))
+        return table
+
+    for (role, text), fault in zip(rows, bad):
+        new = {}
+        for state, (cost, edits, out) in inserted(best).items():
+            offer(new, state, (cost + 2, edits + "D", out))
+            if fault not in ("blank", "duplicate"):
+                cost += 5 if fault else 0
+                if role[:1] in ahead[state]:
+                    offer(new, role[0], (cost, edits + "K", (*out, (role, text))))
+                for to in ("user", "assistant"):
+                    if to[0] in ahead[state] and to[0] != role[:1]:
+                        offer(new, to[0], (cost + 1, edits + "R", (*out, (to, text))))
+        best = new
+    inserted(best)
+    cost, edits, out = min((best[s] for s in ("", "a") if s in best), key=lambda x: x[:2])
+    return cost, edits, list(out)
+
+
+def turn_repair(rows):
+    out = []
+    for conv, own in damage(rows).items():
+        pairs = [r[1:] for r in own]
+        bad, turns = Counter(faults(pairs)), [r[0] for r in own if r[0] is not None]
+        first = [r[:1] or "-" for r, _ in pairs]
+        cost, edits, fixed = repaired(pairs)
+        out.append((conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, bad["blank"], bad["duplicate"], bad["truncated"],
+                    sum(a + b not in ("su", "ua", "au") for a, b in zip(first, first[1:])), cost, edits, _sha("\n".join(f"{r}:{t}" for r, t in fixed))))
+    return sorted(out, key=repr)
