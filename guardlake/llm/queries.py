@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from guardlake.llm import (
-    exact_dedup, language_id, license_scan, merkle, mixing, ngram_join, quality_rules, secret_scan, sentencepiece_codec, token_counts, turn_repair, warc,
+    exact_dedup, language_id, license_scan, lm_mixing, merkle, mixing, ngram_join, quality_rules, secret_scan, sentencepiece_codec, token_counts, turn_repair, warc,
 )
 from guardlake.llm.shared import fresh, table
 
@@ -73,6 +73,10 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.report(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_lm_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_mixing.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.report(table(spark, folder, "conversations"))
 
@@ -84,4 +88,4 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_warc, op2_secret_scan, op3_exact_dedup, op4_license_scan, op5_sentencepiece, op6_language_id, op7_quality_rules,
-    op8_token_counts, op9_mixing, op10_ngram_join, op12_turn_repair, op13_merkle)}
+    op8_token_counts, op9_mixing, op10_ngram_join, op11_lm_mixing, op12_turn_repair, op13_merkle)}
