@@ -281,3 +281,16 @@ def turn_repair(rows):
         out.append((conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, bad["blank"], bad["duplicate"], bad["truncated"],
                     sum(a + b not in ("su", "ua", "au") for a, b in zip(first, first[1:])), cost, edits, _sha("\n".join(f"{r}:{t}" for r, t in fixed))))
     return sorted(out, key=repr)
+
+
+def lm_base(rows):
+    """rows: (doc_id, text). Sorted (doc_id, held_out, n_tokens, n_known, train_tokens, base_score)."""
+    def out(i):
+        return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+    end = object()
+    tokens = [(i, [*words(folded(t)), end]) for i, t in rows]
+    seen = Counter(w for i, own in tokens if not out(i) for w in own)
+    n, v = sum(seen.values()), len(seen)
+    return sorted(((i, out(i), len(own), sum(seen[w] > 0 for w in own), n, round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in own), 6))
+                   for i, own in tokens), key=repr)
