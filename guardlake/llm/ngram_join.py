@@ -224,35 +224,41 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_hash(docs).alias("text_hash"), "text")
     signed, _ = stage(in_arrow(read, _signer(bands, rows), f"doc_id {kind}, text_hash string, key string, n int, bands array<bigint>"), "signed")
-    classes, _ = stage(signed.filter("n > 0").groupBy("key").agg(
+    classes, classes_at = stage(signed.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
+    spark = docs.sparkSession
     entries = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    buckets, _ = stage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members, _ = stage(entries.join(buckets, "bucket"), "members")
+    buckets, buckets_at = stage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    members, members_at = stage(entries.join(buckets, "bucket"), "members")
     homes = members.groupBy("key").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home"), F.first("n").alias("n"))
     cut = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL_CLASSES, F.sum("n") / CELL_SHINGLES)).alias("cells"))
-    cells, _ = stage(homes.join(stage(cut, "cut")[0], "home").select(
+    cut, cut_at = stage(cut, "cut")
+    cells, cells_at = stage(homes.join(cut, "home").select(
         "key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("cells"))).alias("cell")), "cells")
-    placed, _ = stage(members.select("key", "bucket").join(cells, "key"), "placed")
-    present, _ = stage(placed.select("bucket", F.col("cell").alias("other")).distinct(), "present")
+    placed, placed_at = stage(members.select("key", "bucket").join(cells, "key"), "placed")
+    drop(spark, buckets_at, members_at, cut_at)
+    present, present_at = stage(placed.select("bucket", F.col("cell").alias("other")).distinct(), "present")
     units = placed.join(present, "bucket").select(
         "key", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high")).distinct()
-    units, _ = stage(units, "units")
+    units, units_at = stage(units, "units")
+    drop(spark, placed_at, present_at)
 
     wanted = cells.join(classes, "key").select("rep", "key", "size")
     filter_ = bloom.repeated(wanted, "rep", wanted.count(), least=1)
     texts = bloom.tested(docs.select("doc_id", "text"), "doc_id", filter_).filter(F.col("maybe") | F.col("doc_id").isNull())
     found = in_arrow(texts.select("text"), _sets, "key string, grams binary")
-    sets, _ = stage(found.join(cells.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets, sets_at = stage(found.join(cells.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
     bins = max(1, math.ceil(units.count() / 2000))
     work = units.join(classes.select("key", "size"), "key").join(sets, "key").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))
     results, _ = stage(work.groupBy("bin").applyInPandas(_compare(threshold), "key string, links long, root string"), "links")
+    drop(spark, cells_at, units_at, sets_at)
 
     labels = components(results.select("key", "root"))
     links = results.groupBy("key").agg(F.sum("links").alias("links"))
     known = classes.select("key", "rep", "size").join(links, "key", "left").join(labels, "key", "left")
     known, _ = stage(known.select("key", "rep", "size", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "known")
+    drop(spark, classes_at)
     names = known.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("size").alias("group_size"))
     return signed, stage(known.join(names, "label").select("key", "size", "links", "class_id", "group_size"), "named")[0]
 

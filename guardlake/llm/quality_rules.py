@@ -144,28 +144,38 @@ def cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05, lift:
     return enough.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name in RULES])
 
 
-def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, lift: float = 10.0, carry: bool = False) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, kept; with ``carry`` also the whole row as ``doc``.
-
-    The counts are worked out once and written to the shared folder (with the rows if those are carried).
-    """
+def rules_for(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, lift: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Per row: doc_id, stratum, the counts, base_failed; and the cutoffs per stratum (``of``). Two written tables, without texts."""
     rows = packed(docs, doc_id=docs["doc_id"], stratum=docs["lang"], c=counts(docs["text"]))
-    rows = rows.select(*["doc"] * carry, "doc_id", "stratum", "c.*", base_failed(F.col("c")).alias("base_failed"))
-    rows, _ = stage(rows, "quality")
+    rows, _ = stage(rows.select("doc_id", "stratum", "c.*", base_failed(F.col("c")).alias("base_failed")), "quality")
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(
         (F.max("quality") > 0).alias("good"))
-    labelled = rows.drop("doc").filter("NOT base_failed").join(known, F.col("doc_id") == F.col("label_id"))
-    cuts, _ = stage(cutoffs(labelled, risk, delta, lift).withColumnRenamed("stratum", "of"), "cutoffs")
+    labelled = rows.filter("NOT base_failed").join(known, F.col("doc_id") == F.col("label_id"))
+    return rows, stage(cutoffs(labelled, risk, delta, lift).withColumnRenamed("stratum", "of"), "cutoffs")[0]
+
+
+def _kept(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with stratum, counts and base_failed, and ``kept``. There is at most one row of cutoffs for each stratum."""
     found = rows.join(cuts, F.col("stratum").eqNullSafe(F.col("of")), "left")
     rejected = F.lit(False)
     for name in RULES:
         rejected = rejected | F.coalesce(_score(name) > F.col(f"cut_{name}"), F.lit(False))
-    return found.select(*["doc"] * carry, "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    return found.withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def judged(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, kept. The counts are worked out once and written to the shared folder."""
+    return _kept(*rules_for(docs, labels, **settings)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
-    """The documents that are kept, with their columns as they are."""
-    return judged(docs, labels, carry=True, **settings).filter("kept").select("doc.*")
+    """The documents that are kept, with their columns as they are.
+
+    Texts are neither written nor shuffled: once the cutoffs are known, each text is counted again where it is read.
+    """
+    _, cuts = rules_for(docs, labels, **settings)
+    rows = packed(docs, stratum=docs["lang"], c=counts(docs["text"])).select("doc", "stratum", "c.*", base_failed(F.col("c")).alias("base_failed"))
+    return _kept(rows, cuts).filter("kept").select("doc.*")
 
 
 def report(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:

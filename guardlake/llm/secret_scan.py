@@ -18,8 +18,9 @@ every token of 20 characters or more over letters, digits, ``+/_-`` is tested:
    and not less than the normal tail above the mean and spread of the tokens of the band
    whose score is not above 0, where there are 30 of them. Without words to count from,
    scores say little and the first remains.
+   A token that the battery fails has p-value 1.
 5. Tokens of like length form a band; in each band the Benjamini-Hochberg rule over all
-   tokens of all documents picks the p-values to accept, at false-discovery rate
+   tokens of all documents that could be added (none that overlaps a fixed match) picks the p-values to accept, at false-discovery rate
    ``rate``. P-values are counted in bins of e^(1/20) and take their bin's upper edge,
    so the ranking is a small table however many tokens there are.
 
@@ -247,16 +248,20 @@ def scan(docs: DataFrame, alpha: float = 0.001, rate: float = 0.05) -> DataFrame
     base = F.concat(*[found(text, pattern, group, least, gate, kind)
                       for kind, ((_, pattern, group, least), gate) in enumerate(zip(KINDS, GATES))])
     rows, _ = stage(docs.select("doc_id", F.array_sort(base).alias("base"), _tokens(text, alpha, pairs(docs)).alias("tokens")), "secrets")
-    tokens = rows.select(F.explode("tokens").alias("t"))
+
+    def clear(t: Column) -> Column:
+        return ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+    # Only what could be reported is tested: a rejection that is dropped later would raise the threshold of the others.
+    tokens = rows.select(F.explode(F.filter("tokens", clear)).alias("t"))
     measured = ordinary_scores(tokens.select("t.band", "t.score", F.expr("t.end - t.start").alias("size")))
-    cuts = thresholds(tokens.select("t.band", p_bin(F.col("t"), measured).alias("bin")), rate)
+    cuts = thresholds(tokens.select("t.band", F.when(F.col("t.passes"), p_bin(F.col("t"), measured)).otherwise(0).alias("bin")), rate)
 
     def kept(t: Column) -> Column:
         enough = F.lit(False)
         for band, least in sorted(cuts.items()):
             enough = enough | ((t["band"] == band) & (p_bin(t, measured) >= least))
-        clear = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return t["passes"] & enough & clear
+        return t["passes"] & enough & clear(t)
 
     added = F.transform(F.filter("tokens", kept), lambda t: F.struct(t["start"], F.lit(RANDOM).alias("kind"), t["end"]))
     return rows.select("doc_id", "base", added.cast(SPAN).alias("added"))

@@ -145,3 +145,33 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_clashing_names_are_there(edge):
     assert set(CLASHING) <= set(edge.columns)
+
+
+def test_digests_elsewhere_do_not_turn_identifiers_into_secrets(spark):
+    rng = random.Random(4)
+    parts = "get set user account manager service request handler controller factory value listener internal public default stream".split()
+
+    def name():
+        out = ""
+        while len(out) < 40:
+            out += rng.choice(parts).title()
+        return (out[0].lower() + out[1:])[:47]
+
+    def digest():
+        return hashlib.sha1(str(rng.random()).encode()).hexdigest()
+
+    rows = [(i, f"call {name()} now and {name()} then") for i in range(1500)]
+    rows += [(10_000 + i, " ".join(digest() for _ in range(5))) for i in range(1000)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        F.size("added").alias("n"), F.size("base").alias("b"), "doc_id").collect()
+    assert sum(r["b"] for r in got) == 5000
+    assert sum(r["n"] for r in got) <= 3000 * 0.001
+
+
+def test_quality_writes_no_texts(spark, edge, monkeypatch):
+    written = []
+    real = quality_rules.stage
+    monkeypatch.setattr(quality_rules, "stage", lambda df, name: (written.append(df.columns), real(df, name))[1])
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    quality_rules.filtered(edge, labels).count()
+    assert not any({"text", "doc"} & set(c) for c in written)

@@ -38,3 +38,17 @@ def test_pipeline_equals_plain_stages(spark):
 def test_the_stages_in_order():
     import corpus_pipeline
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "ngram_join", "mixing", "sentencepiece"]
+
+
+def test_the_chain_over_odd_and_empty_tables(spark, edge, empty, tmp_path):
+    import corpus_pipeline
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for n, docs in enumerate((edge, empty)):
+        rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        for name, step in corpus_pipeline.STAGES:
+            out = f"{tmp_path}/{n}-{name}"
+            step(spark, rows, str(tmp_path)).write.parquet(out)
+            last, rows = rows, spark.read.parquet(out)
+            assert name == "sentencepiece" or rows.columns == last.columns
+        assert (rows.count() == 0) == (n == 1)
