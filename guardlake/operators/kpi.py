@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.operators.running import HOUR_US
+from guardlake.operators.running import HOUR_US, joined
 
 
 def bucket_s(us: str, width_s: int) -> Column:
@@ -83,7 +83,7 @@ def exact_quantiles(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
     holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
     asked = asked.filter(holds(F.floor("at")) | holds(F.ceil("at"))).drop("c")
     inside = Window.partitionBy(*dims, "bin", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = values.join(asked, [*dims, "bin"]).withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    near = joined(values, asked, [*dims, "bin"]).withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
     ends = near.groupBy(*dims, "n", "q", "at").agg(F.max(F.when(holds(F.floor("at")), F.col("v"))).alias("low"),
                                                    F.max(F.when(holds(F.ceil("at")), F.col("v"))).alias("high"))
     exact = F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))
@@ -149,8 +149,7 @@ def alert_lag(events: DataFrame, alerts: DataFrame, keys: list[str], within_s: i
     onward = Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     later = slots.select(*keys, "slot", F.min("first_alert").over(onward).alias("later_alert"))
     ahead = Window.partitionBy(*keys, "slot").orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = (both.withColumn("slot_alert", F.min("alert_us").over(ahead)).filter(F.col("event_id").isNotNull())
-               .join(later, [*keys, "slot"], "left")
+    matched = (joined(both.withColumn("slot_alert", F.min("alert_us").over(ahead)).filter(F.col("event_id").isNotNull()), later, [*keys, "slot"], "left")
                .withColumn("alert_us", F.coalesce("slot_alert", "later_alert")))
     lag = F.col("alert_us") - F.col("us")
     return (matched.withColumn("lag_us", lag)

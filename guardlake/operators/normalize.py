@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.functions import dialect as X
 from guardlake.functions import text as T
-from guardlake.operators.running import running_counts
+from guardlake.operators.running import joined, running_counts
 
 
 def normalize(messages: DataFrame, text: str = "content") -> DataFrame:
@@ -85,8 +85,7 @@ def within_request_limit(rows: DataFrame, raw: DataFrame, text: str = "content")
     local = Window.partitionBy("conv_id", "blk").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     if "bytes" not in rows.columns:
         rows = rows.withColumn("bytes", _weight(text).cast("long"))
-    return (rows.withColumn("blk", F.floor(F.col("turn") / TURNS_PER_BLOCK))
-            .join(before, ["conv_id", "blk"])
+    return (joined(rows.withColumn("blk", F.floor(F.col("turn") / TURNS_PER_BLOCK)), before, ["conv_id", "blk"])
             .withColumn("request_bytes", F.col("before") + F.sum("bytes").over(local))
             .filter(F.col("request_bytes") <= C.MAX_REQUEST_BYTES)
             .drop("blk", "before", "bytes"))

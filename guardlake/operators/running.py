@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 HOUR_US = 3_600_000_000
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equality join in which a null key meets a null key, so that rows without a key stay. One copy of the keys remains."""
+    names = {k: f"_of_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[names[k]]) for k in keys])
+    return left.join(right, same, how).drop(*names.values())
+
+
 def running_counts(log: DataFrame, keys: list[str], order: list[str], us: str, counts: dict[str, Column],
                    firsts: dict[str, Column] | None = None, source: DataFrame | None = None,
                    slot_us: int = HOUR_US) -> DataFrame:
@@ -32,7 +40,7 @@ def running_counts(log: DataFrame, keys: list[str], order: list[str], us: str, c
     own = log.withColumn("slot", slot)
     own = own.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).cast("long").alias(f"l_{n}") for n, c in counts.items()],
                      *[F.min(c).over(local).alias(f"l_{n}") for n, c in firsts.items()])
-    return (own.join(prefix, [*keys, "slot"])
+    return (joined(own, prefix, [*keys, "slot"])
             .withColumns({**{n: F.col(f"l_{n}") + F.col(f"p_{n}") for n in counts},
                           **{n: F.least(f"l_{n}", f"p_{n}") for n in firsts}})
             .drop("slot", *[f"{p}_{n}" for p in "lp" for n in (*counts, *firsts)]))
@@ -53,10 +61,8 @@ def trailing_count(log: DataFrame, keys: list[str], us: str, row_id: str, window
     marked = marked.withColumn("_slot", F.floor(F.col("_m.at") / slot_us))
     totals = marked.groupBy(*keys, "_slot").agg(F.sum("_m.sign").alias("_sum"))
     upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slot").alias("_at"),
-                           F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    before = totals.select(*keys, "_slot", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_slot").orderBy("_m.at", "_m.kind", row_id).rowsBetween(Window.unboundedPreceding, -1)
     counted = marked.withColumn("_inside", F.coalesce(F.sum("_m.sign").over(inside), F.lit(0))).filter("_m.kind = 0")
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_slot") == F.col("_at"))
-    return (counted.join(before, same).withColumn(name, F.col("_before") + F.col("_inside"))
-            .drop("_m", "_slot", "_at", "_before", "_inside", *[f"_of_{k}" for k in keys]))
+    return (joined(counted, before, [*keys, "_slot"]).withColumn(name, F.col("_before") + F.col("_inside"))
+            .drop("_m", "_slot", "_before", "_inside"))

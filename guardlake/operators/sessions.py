@@ -78,13 +78,12 @@ def risk_changes(df: DataFrame, key: str, order: list[str], us: str = "us") -> D
     its slots.
     """
     from pyspark.sql import Window
-    from guardlake.operators.running import HOUR_US
+    from guardlake.operators.running import HOUR_US, joined
     sloted = df.withColumn("slot", F.floor(F.col(us) / HOUR_US))
     ends = sloted.groupBy(key, "slot").agg(F.max_by("risk_state", F.struct(*order)).alias("end_state"))
     prior = ends.select(key, "slot", F.lag("end_state").over(Window.partitionBy(key).orderBy("slot")).alias("slot_before"))
     local = Window.partitionBy(key, "slot").orderBy(*order)
-    return (sloted.withColumn("local_before", F.lag("risk_state").over(local))
-            .join(prior, [key, "slot"])
+    return (joined(sloted.withColumn("local_before", F.lag("risk_state").over(local)), prior, [key, "slot"])
             .withColumn("previous_state", F.coalesce("local_before", "slot_before"))
             .filter(F.col("previous_state").isNull() | (F.col("previous_state") != F.col("risk_state")))
             .drop("slot", "local_before", "slot_before"))

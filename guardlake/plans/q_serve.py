@@ -13,6 +13,7 @@ from guardlake.operators import output_guard as OG
 from guardlake.operators import prompts as PR
 from guardlake.operators import retrieval as R
 from guardlake.operators import tools as TL
+from guardlake.operators import vector_index as V
 from guardlake.plans import flow
 from guardlake.plans.registry import csv, query
 from guardlake.sources import tables
@@ -39,6 +40,27 @@ def retrieve_topk_cosine(spark, folder):
     return R.topk(scored.withColumn("score", F.round("score", 6))).select("trace_id", "chunk_id", "score", "rank")
 
 
+def vectors_and_queries(spark, folder):
+    """All vectors, and those whose id is divisible by 20 as queries."""
+    vectors = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors, vectors.filter("id % 20 = 0")
+
+
+@query("retrieve_index")
+def retrieve_index(spark, folder):
+    """Nearest ten of each query through the index, with as many probes as a recall of 0.95 takes on a sample of queries."""
+    vectors, queries = vectors_and_queries(spark, folder)
+    index = V.build(vectors, V.fit(vectors))
+    return V.search(index, queries, 10, V.probes_for(index, queries)).select("query_id", "id", "score", "rank")
+
+
+@query("retrieve_index_exact")
+def retrieve_index_exact(spark, folder):
+    """The same with all cells probed."""
+    vectors, queries = vectors_and_queries(spark, folder)
+    return V.search(V.build(vectors, V.fit(vectors)), queries, 10).select("query_id", "id", "score", "rank")
+
+
 def pairs_with_chunks(spark, folder):
     requests = tables.fx_requests(spark, folder).select("trace_id", "tenant_id")
     chunks = R.checked_chunks(tables.fx_chunks(spark, folder)).drop("chunk_text")

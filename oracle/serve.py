@@ -17,6 +17,10 @@ SQL["retrieve_topk_cosine"] = sql("""
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY score DESC NULLS LAST, chunk_id) AS INT) AS rank FROM
  (SELECT c.trace_id, c.chunk_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM fx_candidates c
   JOIN fx_requests r USING (trace_id) LEFT JOIN embeddings a ON a.vec_id = r.conv_id LEFT JOIN embeddings b ON b.vec_id = c.chunk_id) s) t WHERE rank <= 5""", "fx_candidates", "fx_requests")
+SQL["retrieve_index_exact"] = """
+SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM
+ (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""
 TENANT_OK = "(coalesce(tenant_id, '') = '' OR coalesce(chunk_tenant, '') = '' OR tenant_id = chunk_tenant)"
 SENS_OK = f"({rank('sensitivity', C.SENSITIVITY_RANK)} <= {rank('coalesce(max_context_sensitivity, ' + q('internal') + ')', C.SENSITIVITY_RANK)})"
 CTE["chk"] = (("fx_chunks",), f"SELECT *, content_hash = sha256(chunk_text) AS integrity_ok, NOT {any_hit('lower(chunk_text)', C.CHUNK_INJECTION)} AS injection_ok FROM fx_chunks")
