@@ -47,16 +47,16 @@ def running_counts(log: DataFrame, keys: list[str], order: list[str], us: str, c
 
 
 def trailing_count(log: DataFrame, keys: list[str], us: str, row_id: str, window_us: int, name: str,
-                   slot_us: int = HOUR_US) -> DataFrame:
-    """Add the number of earlier rows of the key no older than the window (bound included).
+                   slot_us: int = HOUR_US, weight: Column | None = None) -> DataFrame:
+    """Add the number of earlier rows of the key no older than the window (bound included), or the sum of their ``weight``.
 
-    Each row counts +1 at its time and -1 just after it leaves the window, so the
+    Each row counts +1 (or its weight) at its time and -1 just after it leaves the window, so the
     number of rows in the window is one running sum, whatever the window holds.
     Keys are cut into time slots: sums per (key, slot) are pre-aggregated, their
     prefix runs over one small row per slot, and each row adds what its own slot
     holds before it.
     """
-    mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(1 - 2 * kind).alias("sign"))
+    mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), ((1 - 2 * kind) * (F.lit(1) if weight is None else weight)).alias("sign"))
     marked = log.withColumn("_m", F.explode(F.array(mark(F.col(us), 0), mark(F.col(us) + window_us, 1))))
     marked = marked.withColumn("_slot", F.floor(F.col("_m.at") / slot_us))
     totals = marked.groupBy(*keys, "_slot").agg(F.sum("_m.sign").alias("_sum"))

@@ -97,6 +97,13 @@ def rate_limit_exact(spark, folder):
     return state.replay_limits(spark, folder)
 
 
+@query("rate_limit_rounds")
+def rate_limit_rounds(spark, folder):
+    """The exact replay over the whole table by rounds: every request with the counters it saw, its verdict and its decision."""
+    from guardlake.streaming import state
+    return state.replay_table(spark, folder)
+
+
 AS_OF_US = 1_706_745_600_000_000  # 2024-02-01 00:00:00 UTC, past the end of the log: the age of profiles is taken then
 
 

@@ -25,7 +25,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake import catalog as C
 from guardlake.operators import classify as K
+from guardlake.operators import exact_limits
 from guardlake.operators import policy as P
+from guardlake.sources import tables
 from guardlake.sources.bundle import Bundle, shipped
 from guardlake.streaming import files
 
@@ -163,3 +165,12 @@ def replay_sessions(spark, folder: str) -> DataFrame:
 
 def replay_limits(spark, folder: str) -> DataFrame:
     return replay(spark, folder).select("request_id", "client_id", "subject", "us", "verdict")
+
+
+def replay_table(spark, folder: str) -> DataFrame:
+    """The same outcomes from the whole table by rounds, without a fold per subject."""
+    bundle = shipped()
+    rows = stateless(log_features(tables.fx_log(spark, folder)), bundle)
+    done, _ = exact_limits.replay(rows, rule_effects(bundle))
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+    return done.select(*names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from guardlake import catalog as C
 from guardlake.sources.bundle import shipped
-from oracle.base import CTE, big, class_case, condition_sql, decided_sql, has, q, risk_select, rule_sql, sql
+from oracle.base import CTE, big, class_case, condition_sql, decided_sql, has, q, rank, risk_select, rule_sql, sql
 
 SQL: dict[str, str] = {}
 
@@ -136,3 +136,67 @@ def _change() -> str:
 
 SQL["bundle_diff"] = sql(f"""SELECT rule_name, d.old_ord, d.new_ord, change, (SELECT count(*) FROM runs b WHERE b.old_ord = d.old_ord) AS old_decided,
   (SELECT count(*) FROM runs b WHERE b.new_ord = d.new_ord) AS new_decided FROM {_change()}""", "runs")
+
+
+def _replay() -> str:
+    """Requests of a subject one after the other, its sessions and clients as maps."""
+    base = """SELECT subject, client_id, CAST(session_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS session_id, event_id AS request_id, us, input_score,
+  dlp_score % 45 AS dlp_score, CASE WHEN reason_code = 'PROMPT_INJECTION_DETECTED' THEN 'prompt_injection' WHEN reason_code = 'JAILBREAK_ATTEMPT_DETECTED' THEN 'jailbreak_attempt'
+   WHEN event_id % 9 = 0 THEN 'hate_content' WHEN event_id % 9 = 1 THEN 'insult_content' ELSE '' END AS input_labels, '' AS dlp_labels, 'llm:chat' AS permissions_csv,
+  event_id % 2 = 0 AS step_up, event_id % 11 = 0 AS has_control_chars, event_id % 13 = 0 AS has_system_messages, event_id % 17 = 0 AS has_developer_messages,
+  CASE WHEN tool_used THEN 0 ELSE -1 END AS tool_rank FROM fx_log"""
+    classed = f"SELECT *, {class_case(0)} AS label, {class_case(1)} AS confidence FROM by_state"
+    zero_s = "{'requests': 0, 'refusals': 0, 'escalations': 0, 'tools': 0}"
+    zero_c = "{'hits': CAST([] AS BIGINT[]), 'until': CAST(0 AS BIGINT), 'injections': 0, 'jailbreaks': 0, 'escalations': 0}"
+    naming = lambda *words: "len(list_filter(string_split(reason_code, ','), lambda c: " + " OR ".join(f"contains(c, {q(w)})" for w in words) + "))"
+    return f"""SELECT * FROM (WITH RECURSIVE
+base AS ({base}),
+by_state AS (SELECT b.*, s.risk_state FROM base b, (VALUES ('normal'), ('elevated'), ('restricted'), ('blocked')) s(risk_state)),
+classed AS ({classed}),
+grouped AS (SELECT subject, client_id, session_id, request_id, us, input_score, tool_rank,
+   CASE WHEN input_score >= 70 THEN 20 ELSE 0 END + CASE WHEN has_control_chars THEN 10 ELSE 0 END + CASE WHEN has_system_messages THEN 15 ELSE 0 END
+   + CASE WHEN has_developer_messages THEN 15 ELSE 0 END AS base_points,
+   map_from_entries(list({{'k': risk_state, 'v': {decided_sql(_old)}}})) AS ords
+  FROM classed GROUP BY ALL),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY us, request_id) AS n FROM grouped),
+effects AS MATERIALIZED (SELECT rule_ord, action, {naming('INJECTION', 'JAILBREAK')} AS inj, {naming('JAILBREAK')} AS jail, {naming('ESCALATION', 'PRIVILEGE')} AS esc,
+   CASE WHEN disable_tools THEN -1 ELSE {rank('max_context_sensitivity', C.SENSITIVITY_RANK)} END AS ceiling FROM rules),
+run AS (
+ SELECT subject, CAST(0 AS BIGINT) AS n, CAST(MAP {{}} AS MAP(VARCHAR, STRUCT(requests INT, refusals INT, escalations INT, tools INT))) AS sessions,
+   CAST(MAP {{}} AS MAP(VARCHAR, STRUCT(hits BIGINT[], until BIGINT, injections INT, jailbreaks INT, escalations INT))) AS clients,
+   CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS STRUCT(requests INT, refusals INT, escalations INT, tools INT)) AS seen,
+   CAST(NULL AS INT) AS points, CAST(NULL AS VARCHAR) AS risk_state, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS INT) AS rule_ord
+ FROM (SELECT DISTINCT subject FROM ordered)
+ UNION ALL
+ SELECT subject, n, map_concat(sessions, MAP {{session_id: {{'requests': s.requests, 'refusals': s.refusals + denied, 'escalations': s.escalations
+      + CASE WHEN denied = 1 AND s.refusals >= 1 AND input_score >= 60 THEN 1 ELSE 0 END,
+      'tools': s.tools + CASE WHEN denied = 0 AND action IS NOT NULL AND action <> 'challenge' AND tool_rank >= 0 AND tool_rank <= ceiling THEN 1 ELSE 0 END}}}}),
+   map_concat(clients, MAP {{CAST(client_id AS VARCHAR): {{'hits': CASE WHEN verdict = 'allowed' THEN list_append(recent, us) ELSE recent END,
+      'until': CAST(CASE WHEN verdict = 'aggressive_attacker_cooldown' THEN us + {C.COOLDOWN_S * 1_000_000} ELSE c.until END AS BIGINT),
+      'injections': CAST(c.injections + denied * coalesce(inj, 0) AS INT), 'jailbreaks': CAST(c.jailbreaks + denied * coalesce(jail, 0) AS INT), 'escalations': CAST(c.escalations + denied * coalesce(esc, 0) AS INT)}}}}),
+   request_id, verdict, s, points, risk_state, action, rule_ord
+ FROM (SELECT z.*, e.action, e.inj, e.jail, e.esc, e.ceiling, CASE WHEN e.action = 'deny' THEN 1 ELSE 0 END AS denied FROM
+  (SELECT y.*, CAST(ords[risk_state] AS INT) AS rule_ord FROM
+   (SELECT x.*, CASE WHEN verdict = 'allowed' THEN CASE WHEN points0 >= 80 THEN 'blocked' WHEN points0 >= 50 THEN 'restricted' WHEN points0 >= 20 THEN 'elevated' ELSE 'normal' END END AS risk_state,
+      CASE WHEN verdict = 'allowed' THEN CAST(least(points0, {C.SCORE_CAP}) AS INT) END AS points FROM
+    (SELECT w.*, CASE WHEN us < c.until THEN 'cooldown_active' WHEN s.refusals >= 3 THEN 'aggressive_attacker_cooldown'
+       WHEN len(recent) >= CASE WHEN s.refusals = 2 THEN greatest(1, by_profile // 2) ELSE by_profile END THEN 'rate_limit_exceeded' ELSE 'allowed' END AS verdict,
+      base_points + CASE WHEN s.refusals >= 3 THEN 40 ELSE 0 END + CASE WHEN s.tools >= 5 THEN 20 ELSE 0 END + CASE WHEN s.requests >= 20 THEN 15 ELSE 0 END
+       + CASE WHEN s.refusals >= 2 THEN 20 ELSE 0 END + CASE WHEN s.escalations >= 1 THEN 25 ELSE 0 END AS points0 FROM
+     (SELECT v.*, CASE WHEN factor > 1 THEN greatest(1, by_score // factor) ELSE by_score END AS by_profile FROM
+      (SELECT u.*, {{'requests': s0.requests + 1, 'refusals': s0.refusals, 'escalations': s0.escalations, 'tools': s0.tools}} AS s,
+         CASE WHEN us < c.until THEN c.hits ELSE list_filter(c.hits, lambda h: us - h <= {C.RATE_WINDOW_S * 1_000_000}) END AS recent,
+         CASE WHEN input_score >= 80 THEN {max(1, C.RATE_LIMIT // 10)} WHEN input_score >= 50 THEN {max(1, C.RATE_LIMIT // 5)} WHEN input_score >= 30 THEN {max(1, C.RATE_LIMIT // 2)} ELSE {C.RATE_LIMIT} END AS by_score,
+         least(20, CASE WHEN c.jailbreaks >= 3 THEN 5 ELSE 1 END * CASE WHEN c.escalations >= 2 THEN 3 ELSE 1 END * CASE WHEN c.injections >= 5 THEN 2 ELSE 1 END) AS factor FROM
+       (SELECT o.*, r.sessions, r.clients, coalesce(r.sessions[o.session_id], {zero_s}) AS s0, coalesce(r.clients[CAST(o.client_id AS VARCHAR)], {zero_c}) AS c
+        FROM run r JOIN ordered o ON o.subject = r.subject AND o.n = r.n + 1) u) v) w) x) y) z LEFT JOIN effects e ON e.rule_ord = z.rule_ord))
+SELECT o.subject, o.client_id, o.session_id, o.request_id, o.us, r.verdict, r.seen.requests AS request_count, r.seen.refusals AS refusal_count,
+  r.seen.refusals AS injection_attempt_count, r.seen.escalations AS escalation_pattern_count, r.seen.tools AS tool_request_count,
+  r.points AS risk_score, r.risk_state, r.action, r.rule_ord FROM run r JOIN ordered o ON o.request_id = r.request_id)"""
+
+
+_all = "subject, client_id, session_id, request_id, us, verdict, request_count, refusal_count, injection_attempt_count, escalation_pattern_count, tool_request_count, risk_score, risk_state, action, rule_ord"
+CTE["replayed"] = (("fx_log", "rules"), _replay())
+SQL["rate_limit_rounds"] = sql(f"SELECT {_all} FROM replayed", "replayed")
+SQL["rate_limit_exact"] = sql("SELECT request_id, client_id, subject, us, verdict FROM replayed", "replayed")
+SQL["stream_session_state"] = sql("SELECT * EXCLUDE (client_id, verdict) FROM replayed", "replayed")

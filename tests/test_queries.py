@@ -10,7 +10,7 @@ from guardlake.plans.registry import all_queries
 from oracle import all_sql
 
 QUERIES, ORACLES = all_queries(), all_sql()
-NO_SQL = {"scan_nested_encoding", "stream_session_state", "rate_limit_exact", "retrieve_index"}
+NO_SQL = {"scan_nested_encoding", "retrieve_index"}
 
 
 def test_every_query_has_sql_or_a_reason():
