@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from guardlake.operators import classify as K
 from guardlake.operators import limits as L
 from guardlake.operators import policy as P
+from guardlake.operators import rule_index as RI
 from guardlake.operators import sessions as S
 from guardlake.plans import flow
 from guardlake.plans.registry import csv, query
@@ -218,6 +219,26 @@ def policy_backtest(spark, folder):
     return P.transitions(classified(spark, folder), shipped(), shipped("candidate"))
 
 
+@query("policy_decide_indexed")
+def policy_decide_indexed(spark, folder):
+    """The deciding rule by the index of condition bits."""
+    return classified(spark, folder).select("trace_id", F.coalesce(RI.decided_ord(shipped()), F.lit(-1)).alias("rule_ord"))
+
+
+@query("policy_backtest_indexed")
+def policy_backtest_indexed(spark, folder):
+    return RI.transitions(classified(spark, folder), shipped(), shipped("candidate"))
+
+
+@query("rule_implications")
+def rule_implications(spark, folder):
+    """Pairs of rules of which one implies the other, and how often the narrower of them matches in the table."""
+    found = RI.implications(spark, shipped())
+    hits = classified(spark, folder).select(F.explode(RI.matches(shipped())).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    narrow = F.when(F.col("relation") == "exception", F.col("earlier")).otherwise(F.col("later"))
+    return found.withColumn("rule", narrow).join(hits, "rule", "left").select("earlier", "later", "relation", "same_decision", F.coalesce("n", F.lit(0)).alias("requests"))
+
+
 @query("policy_controls")
 def policy_controls(spark, folder):
     return flow.decisions_of(spark, folder).select(

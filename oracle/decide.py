@@ -119,6 +119,28 @@ CTE["runs"] = (("class", "rules", "new_rules"), f"""SELECT b.*, o.action AS old_
   JOIN rules o ON o.rule_ord = b.old_ord JOIN new_rules n ON n.rule_ord = b.new_ord""")
 SQL["policy_backtest"] = sql(
     "SELECT old_action, new_action, count(*) AS requests FROM runs GROUP BY ALL", "runs")
+SQL["policy_decide_indexed"] = sql("SELECT trace_id, rule_ord FROM dec", "dec")
+SQL["policy_backtest_indexed"] = SQL["policy_backtest"]
+
+
+def _implied(narrow: dict, wide: dict) -> str:
+    """SQL truth of a rule's conditions implying another's, stated over the two lists of conditions."""
+    def one(k, v):
+        same = [w for n, w in narrow.items() if n == k]
+        return " OR ".join(f"{w} >= {v}" if k.endswith("_gte") else f"{q(str(w))} = {q(str(v))}" for w in same) or "FALSE"
+    return " AND ".join(f"({one(k, v)})" for k, v in wide.items()) or "TRUE"
+
+
+def _implications() -> str:
+    on = [(i, r) for i, r in enumerate(_old.rules) if r["enabled"]]
+    pairs = ", ".join(f"({i}, {j}, {_implied(a['condition'], b['condition'])}, {_implied(b['condition'], a['condition'])}, {str(a['decision'] == b['decision']).upper()})"
+                      for i, a in on for j, b in on if i < j)
+    return f"""SELECT earlier, later, CASE WHEN back THEN 'never_decides' ELSE 'exception' END AS relation, same_decision,
+  (SELECT count(*) FROM matched m WHERE m.rule_ord = CASE WHEN back THEN later ELSE earlier END) AS requests
+ FROM (VALUES {pairs}) p(earlier, later, there, back, same_decision) WHERE there OR back"""
+
+
+SQL["rule_implications"] = sql(_implications(), "matched")
 SQL["policy_controls"] = sql("SELECT trace_id, disable_tools, allow_retrieval, max_context_sensitivity, require_human_approval, response_mode, enforce_token_budget FROM dec", "dec")
 
 
