@@ -1,16 +1,19 @@
 """License notices in texts by conditional compression.
 
 Lines with a license word form candidate blocks (``WORDS``; two such lines with at most
-two others between are one block). A block is compressed alone and with each template as
-a raw zstandard dictionary: the more wording it shares with a template, the more its
-compressed size shrinks. Templates are confirmed by their wording: the template's words
-are aligned with the words of the block and around it, and the words that differ are
+two others between are one block). In and around a block, windows of each template's own
+length are compressed alone and with every template as a raw zstandard dictionary: the more
+wording a window shares with a template, the more bytes the dictionary saves. Pairs of
+window and template are ranked by the bytes saved, and confirmed in that order by their
+wording: the template's words are aligned with those of the window and around it, and the words that differ are
 counted. A template is found if at most a tenth of its words is missing and not more
 words are added; ``exact`` says that none differ. Placeholders (year, holder) match any
-words. So few differences leave a run of template words whole whose length follows from
-the template's; every place with such a run is aligned, however long the line and
-whatever the templates' ranks. All notices that do not overlap are reported; of those
-that do, the one with the most words in place is, then the earlier one.
+words. Of notices that overlap, the one that has saved the most bytes is reported, less
+``WORD_BYTES`` for each word that differs; a template that saves nothing is never found.
+
+So few differences leave a run of template words whole whose length follows from the
+template's. An index of such runs says at which places of a line of any length a template
+could be confirmed at all, and so which windows are worth compressing and when to stop.
 
 The reduction is that of the notice's own words, ``runner_up`` the template of another
 license that shrinks them most. A block without a notice has the highest reduction of
@@ -80,6 +83,14 @@ without specific prior written permission."""),
 granted, provided that the above copyright notice and this permission notice appear in all copies."""),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
+    ("BSL-1.0", """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at
+http://www.boost.org/LICENSE_1_0.txt)"""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -91,6 +102,8 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 
 TOKEN = re.compile(r"[^\W_]+(?:\.\d+)*|" + ANY)
 GAP = 2
+#: Bytes that a word that differs takes off what a template has saved.
+WORD_BYTES = 2
 SCHEMA = ("doc_id {kind}, start int, end int, license string, template int, reduction double, "
           "missing int, added int, exact boolean, runner_up string")
 
@@ -160,25 +173,59 @@ class Matcher:
             missing, added = missing + len(lost), added + new
         return first, last, missing, added
 
-    def hits(self, words: list[str], low: int, high: int) -> list[tuple]:
-        """Every template confirmed among words low to high, wherever it begins and whichever others are there.
+    def windows(self, words: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
+        """(template, first start, last start) of the windows, each of its template's length, that share a whole run with it.
 
-        Each hit is (worth, first, template, last, missing, added). Words that differ count against the words in place.
+        Starts of one template that lie within half its length are one window: a placeholder or a lost
+        word shifts the runs behind it.
         """
-        places = set()
+        starts: dict[int, set[int]] = {}
         for size, runs in self.runs.items():
             for at in range(low, high - size + 1):
                 for i, begun in runs.get(tuple(words[at:at + size]), ()):
-                    places.add((i, at - begun))
-        out = set()
-        for i, begun in places:
+                    starts.setdefault(i, set()).add(at - begun)
+        out = []
+        for i, begun in starts.items():
+            near, first, last = min(len(self.words[i]) // 10 + 8, len(self.words[i]) // 2), None, 0
+            for at in sorted(begun):
+                if first is not None and at - last <= near and at - first <= len(self.words[i]) // 2:
+                    out[-1] = (i, first, at)
+                else:
+                    first = at
+                    out.append((i, at, at))
+                last = at
+        return out
+
+    def hits(self, words: list[str], low: int, high: int) -> list[tuple]:
+        """Notices among words low to high, in the order in which compression ranks them; a later one may overlap an earlier.
+
+        Each window is compressed alone and with each template. Pairs of window and template stand by the bytes that
+        the template saves, and are confirmed by wording in that order; a template that saves none is not confirmed.
+        Templates without a whole run in the window cannot be confirmed there and are passed over: with them gone through,
+        no remaining template could be. A word that differs counts against the bytes saved, for one digit (version 2 or 3) may
+        cost none. Each hit is (rank, first, template, last, missing, added).
+        """
+        places = self.windows(words, low, high)
+        spans = [(max(first, low), min(last + len(self.words[i]), high)) for i, first, last in places]
+        ranks = {span: {i: saved for saved, i in self.saving(words[span[0]:span[1]])} for span in set(spans)}
+        order = sorted((-ranks[span].get(i, 0), first, i, last) for span, (i, first, last) in zip(spans, places))
+        out = []
+        for saved, begun, i, last in order:
+            if saved >= 0:
+                break
             size, slack = len(self.words[i]), self.slack[i]
             around = max(begun - slack, low)
-            w = self.wording(i, words[around:min(begun + size + slack, high)])
+            w = self.wording(i, words[around:min(last + size + slack, high)])
             if w and 10 * w[2] <= size and 10 * w[3] <= size:
-                out.add((4 * w[2] + 3 * w[3] - size, around + w[0], i, around + w[1], w[2], w[3]))
+                out.append((saved + WORD_BYTES * (w[2] + w[3]), around + w[0], i, around + w[1], w[2], w[3]))
         return sorted(out)
 
+    def saving(self, words: list[str]) -> list[tuple[int, int]]:
+        """Templates by the bytes that they save of the words' compressed size."""
+        data = " ".join(words).encode()
+        size = len(self.alone.compress(data))
+        return [(round(reduction * size), i) for reduction, i in self.ranked(words)]
+
     def unexplained(self, text: str, all_words: list, low: int, high: int) -> tuple[float, int]:
         """(reduction, template) of the window with a license word that any template shrinks most; windows overlap by half."""
         best = None

@@ -111,6 +111,20 @@ def test_every_template_is_found_exactly(spark):
     assert all(got[i]["license"] == license_scan.TEMPLATES[i][0] and got[i]["exact"] for i, _ in rows)
 
 
+def test_licenses_come_from_compression(monkeypatch):
+    apache = dict(license_scan.TEMPLATES)["Apache-2.0"]
+    texts = ["x\nReleased under the MIT License.\ny", f"x\n{apache}\ny"]
+    use = license_scan.Matcher(license_scan.TEMPLATES)
+    assert [[use.names[hit[2]] for hit in use.found(t)] for t in texts] == [["MIT"], ["Apache-2.0"]]
+    monkeypatch.setattr(license_scan.Matcher, "ranked", lambda self, words: [(0.0, i) for i in range(len(self.names))])
+    assert [[hit[2] for hit in use.found(t)] for t in texts] == [[None], [None]]
+    # a ranking that is upside down prefers what compresses least
+    real = license_scan.Matcher(license_scan.TEMPLATES)
+    monkeypatch.undo()
+    both = f"x\nLicensed under the Apache License, Version 2.0 (the license)\n{apache}"
+    assert [real.names[hit[2]] for hit in real.found(both)][-1] == "Apache-2.0"
+
+
 def test_license_far_into_one_line(spark):
     """Notices are found however many words of the line stand before them, and far behind another."""
     apache = dict(license_scan.TEMPLATES)["Apache-2.0"].replace("\n", " ")
