@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.operators.running import HOUR_US, joined
+from guardlake.operators.running import HOUR_US, joined, running_counts
 
 
 def bucket_s(us: str, width_s: int) -> Column:
@@ -62,28 +62,82 @@ def spikes(kpis: DataFrame, rate: str = "deny_rate", dims: tuple[str, ...] = (),
     return out.withColumn("spike", F.coalesce(F.col(rate) > F.col("baseline") + sigmas * F.col("spread"), F.lit(False)))
 
 
+def shifts(kpis: DataFrame, dims: tuple[str, ...] = (), slack: float = 0.02, sigmas: float = 4.0, down: bool = False) -> DataFrame:
+    """Change points of the deny rate by cumulative sums, one row per bucket and segment.
+
+    ``excess`` is the cumulative sum of denials beyond the segment's own rate and
+    ``slack``, from the bucket at which it last was zero; ``zero_s`` is that bucket (null
+    while the sum is zero, and for a climb from the first bucket on).  A bucket is ``shifted`` when the
+    excess passes ``sigmas`` deviations of the denials of a mean bucket.  ``down`` looks
+    for a fall of the rate instead.  The sum less its least value so far equals the sum
+    that starts again at zero, so two running sums and minima over time slots
+    do it; sums are whole millionths of a denial, so they do not depend on
+    the order of addition.  Segments whose dimension is null are a segment.
+    """
+    keys = list(dims) or ["_all"]
+    kpis = kpis if dims else kpis.withColumn("_all", F.lit(0))
+    whole = kpis.groupBy(*keys).agg(F.sum("requests").alias("_n"), F.sum("denied").alias("_d"), F.count(F.lit(1)).alias("_buckets"))
+    rows = joined(kpis.select(*keys, "bucket_s", "requests", "denied"), whole, keys)
+    rate = F.col("_d") / F.col("_n")
+    beyond = (F.col("requests") * (rate - slack) - F.col("denied")) if down else (F.col("denied") - F.col("requests") * (rate + slack))
+    rows = rows.withColumns({"_us": F.col("bucket_s") * 1_000_000, "_e": F.floor(beyond * 1_000_000).cast("long")})
+    slot = {"slot_us": 1024 * HOUR_US}
+    rows = running_counts(rows, keys, ["bucket_s"], "_us", {"_sum": F.col("_e")}, **slot).withColumn("_sum", F.col("_sum") + F.col("_e"))
+    rows = running_counts(rows, keys, ["bucket_s"], "_us", {}, {"_low": F.col("_sum")}, **slot)
+    rows = rows.withColumn("_excess", F.col("_sum") - F.least(F.lit(0), "_low", "_sum"))
+    # the last zero before a bucket, as a minimum of negated times
+    rows = running_counts(rows, keys, ["bucket_s"], "_us", {}, {"_zero": F.when(F.col("_excess") == 0, -F.col("bucket_s"))}, **slot)
+    limit = sigmas * F.sqrt(F.col("_n") / F.col("_buckets") * rate * (1 - rate))
+    return rows.select(*dims, "bucket_s", "requests", "denied", (F.col("_excess") / 1_000_000).alias("excess"),
+                       F.when(F.col("_excess") > 0, -F.col("_zero")).alias("zero_s"), (F.col("_excess") / 1_000_000 > limit).alias("shifted"))
+
+
+#: Parts into which a bin that holds a wanted rank is cut.
+FINER = 4096
+
+#: Rank error of a sketch of k = 200 values that 99 in 100 sketches keep to, as published for KLL, with some room.
+SKETCH_ERROR = 0.02
+
 QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
 
 
-def exact_quantiles(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
-    """Interpolated quantiles per group, from counts per bin and the values of the bins that matter.
+def exact_quantiles(rows: DataFrame, dims: list[str], value: str, refine: int = 2) -> DataFrame:
+    """Interpolated quantiles per group, by counts per bin and ever finer bins where a wanted rank lies.
 
-    Counts per bin (hundredths of the logarithm, a few thousand bins whatever the
-    rows) tell in which bin each wanted rank lies; only the value counts of those
-    bins are then ordered.
+    The first bins are hundredths of the logarithm, at most some 71,000 either
+    side of zero.  A bin that holds a wanted rank is cut ``refine`` times into ``FINER`` equal
+    parts between its least and greatest value, so no window orders more than
+    those; the last one orders the distinct values of one part, of which there
+    are at most some three million however dense the values are (a bin spans
+    one part in a hundred, and a double has 52 binary places).
     """
     v = F.col(value).cast("double")
     bin_ = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 100).cast("long")
     values = rows.filter(v.isNotNull()).groupBy(*dims, v.alias("v"), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    bins = values.groupBy(*dims, "bin").agg(F.sum("c").alias("c"))
+    bins = values.groupBy(*dims, "bin").agg(F.sum("c").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
     before = Window.partitionBy(*dims).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranked = bins.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy(*dims)))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), ((F.col("n") - 1) * p).alias("at")) for name, p in QUANTILES])).alias("w")
-    asked = ranked.select(*dims, "bin", "before", "c", "n", wanted).select(*dims, "bin", "before", "c", "n", "w.q", "w.at")
+    asked = ranked.select("*", wanted).select(*ranked.columns, "w.q", "w.at")
     holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
-    asked = asked.filter(holds(F.floor("at")) | holds(F.ceil("at"))).drop("c")
-    inside = Window.partitionBy(*dims, "bin", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = joined(values, asked, [*dims, "bin"]).withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    either = holds(F.floor("at")) | holds(F.ceil("at"))
+    asked = asked.filter(either).drop("c")
+    path = ["bin"]
+    for level in range(refine):
+        part = f"part{level}"
+        width = F.col("most") - F.col("least")
+        cut = F.when(width > 0, F.least(F.lit(FINER - 1), F.floor((F.col("v") - F.col("least")) / width * FINER))).otherwise(0).cast("long")
+        inside = joined(values, asked, [*dims, *path]).withColumn(part, cut)
+        by = [c for c in path if c != "q"]
+        sums = inside.groupBy(*dims, *by, "n", "q", "at", "before", part).agg(
+            F.sum("c").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = Window.partitionBy(*dims, *by, "q").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        asked = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0))).filter(either).drop("c")
+        # the values of a part, once for each quantile that asks for it
+        path = [*by, part, "q"]
+        values = inside.select(*dims, *path, "v", "c")
+    upto = Window.partitionBy(*dims, *dict.fromkeys([*path, "q"])).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = joined(values, asked, [*dims, *path]).withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0)))
     ends = near.groupBy(*dims, "n", "q", "at").agg(F.max(F.when(holds(F.floor("at")), F.col("v"))).alias("low"),
                                                    F.max(F.when(holds(F.ceil("at")), F.col("v"))).alias("high"))
     exact = F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))
@@ -100,6 +154,32 @@ def latency_slo(stages: DataFrame, dims: list[str], value: str = "stage_ms", exa
     return out.withColumns({f"{name}_met": F.col(name) < target for name, target in C.LATENCY_TARGETS_MS.items()})
 
 
+def latency_rollup(stages: DataFrame, dims: list[str], width_s: int = 3600, value: str = "stage_ms", k: int = 200) -> DataFrame:
+    """One sketch of bounded size per bucket and group, to be stored; null values are left out.
+
+    The rank error of a quantile read from it is under ``SKETCH_ERROR`` for the default ``k``.
+    """
+    v = F.col(value).cast("double")
+    return (stages.filter(v.isNotNull()).withColumn("bucket_s", bucket_s("us", width_s)).groupBy("bucket_s", *dims)
+            .agg(F.kll_sketch_agg_double(v, k).alias("sketch")))
+
+
+def latency_of_rollup(rollup: DataFrame, dims: list[str]) -> DataFrame:
+    """Quantiles of any set of buckets, from their stored sketches alone."""
+    whole = rollup.groupBy(*dims).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return whole.select(*dims, F.kll_sketch_get_n_double("sketch").alias("n"), *[
+        F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in QUANTILES])
+
+
+def rank_errors(stages: DataFrame, quantiles: DataFrame, dims: list[str], value: str = "stage_ms") -> DataFrame:
+    """How far the rank of each given quantile lies from the one asked for, as a share of the group's rows."""
+    v = F.col(value).cast("double")
+    rows = joined(stages.select(*dims, v.alias("_v")).filter("_v IS NOT NULL"), quantiles, dims)
+    share = lambda test: F.count_if(test) / F.count(F.lit(1))
+    off = lambda name, p: F.greatest(share(F.col("_v") < F.col(name)) - p, p - share(F.col("_v") <= F.col(name)), F.lit(0.0))
+    return rows.groupBy(*dims, "n").agg(*[off(name, p).alias(f"{name}_error") for name, p in QUANTILES])
+
+
 def guard_health(calls: DataFrame, width_s: int = 86400) -> DataFrame:
     """Rates of degraded guard-model calls per bucket."""
     r = F.col("reason")

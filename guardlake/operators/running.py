@@ -46,6 +46,29 @@ def running_counts(log: DataFrame, keys: list[str], order: list[str], us: str, c
             .drop("slot", *[f"{p}_{n}" for p in "lp" for n in (*counts, *firsts)]))
 
 
+def sums_before(totals: DataFrame, keys: list[str], slot: str, total: str, name: str, fan: int = 4096) -> DataFrame:
+    """Keys, slot and ``name``, the sum of ``total`` over the key's earlier slots, by slots of slots.
+
+    A window sees at most ``fan`` slots, or ``fan`` slots of slots; the last one, over
+    what is left, has a row for every ``fan`` * ``fan`` slots of the time axis.
+    """
+    up = lambda c: F.floor(F.col(c) / fan)
+    levels, cols = [totals.select(*keys, slot, F.col(total).alias("_t"))], [slot]
+    for i in (1, 2):
+        cols.append(f"_above{i}")
+        levels[-1] = levels[-1].withColumn(cols[-1], up(cols[-2]))
+        levels.append(levels[-1].groupBy(*keys, cols[-1]).agg(F.sum("_t").alias("_t")))
+    out = None
+    for i in (2, 1, 0):
+        within = [] if i == 2 else [cols[i + 1]]
+        upto = Window.partitionBy(*keys, *within).orderBy(cols[i]).rowsBetween(Window.unboundedPreceding, -1)
+        own = levels[i].select(*keys, *within, cols[i], F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_own"))
+        if out is not None:
+            own = joined(own, out, [*keys, *within]).withColumn("_own", F.col("_own") + F.col("_b"))
+        out = own.select(*keys, cols[i], F.col("_own").alias("_b"))
+    return out.withColumnRenamed("_b", name)
+
+
 def trailing_count(log: DataFrame, keys: list[str], us: str, row_id: str, window_us: int, name: str,
                    slot_us: int = HOUR_US, weight: Column | None = None) -> DataFrame:
     """Add the number of earlier rows of the key no older than the window (bound included), or the sum of their ``weight``.
@@ -54,14 +77,17 @@ def trailing_count(log: DataFrame, keys: list[str], us: str, row_id: str, window
     number of rows in the window is one running sum, whatever the window holds.
     Keys are cut into time slots: sums per (key, slot) are pre-aggregated, their
     prefix runs over one small row per slot, and each row adds what its own slot
-    holds before it.
+    holds before it.  Without keys the slots themselves are summed by slots of slots.
     """
     mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), ((1 - 2 * kind) * (F.lit(1) if weight is None else weight)).alias("sign"))
     marked = log.withColumn("_m", F.explode(F.array(mark(F.col(us), 0), mark(F.col(us) + window_us, 1))))
     marked = marked.withColumn("_slot", F.floor(F.col("_m.at") / slot_us))
     totals = marked.groupBy(*keys, "_slot").agg(F.sum("_m.sign").alias("_sum"))
-    upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "_slot", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    if keys:
+        upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*keys, "_slot", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    else:
+        before = sums_before(totals, keys, "_slot", "_sum", "_before")
     inside = Window.partitionBy(*keys, "_slot").orderBy("_m.at", "_m.kind", row_id).rowsBetween(Window.unboundedPreceding, -1)
     counted = marked.withColumn("_inside", F.coalesce(F.sum("_m.sign").over(inside), F.lit(0))).filter("_m.kind = 0")
     return (joined(counted, before, [*keys, "_slot"]).withColumn(name, F.col("_before") + F.col("_inside"))

@@ -46,6 +46,14 @@ def latency_percentiles(spark, folder):
     return M.latency_slo(stages(spark, folder), ["stage"])
 
 
+@query("latency_rollup")
+def latency_rollup(spark, folder):
+    """Quantiles from hourly sketches, held against the ranks in the whole table."""
+    rows = A.stage_durations(tables.fx_timings(spark, folder), ["event_id", "us"])
+    found = M.rank_errors(rows, M.latency_of_rollup(M.latency_rollup(rows, ["stage"]), ["stage"]), ["stage"])
+    return found.select("stage", "n", *[(F.col(f"{name}_error") <= M.SKETCH_ERROR).alias(f"{name}_in_bounds") for name, _ in M.QUANTILES])
+
+
 # --- operating figures ----------------------------------------------------
 
 @query("kpi_windows")
@@ -81,6 +89,13 @@ def deny_spikes(spark, folder):
     return out.select("tenant_id", "bucket_s", "deny_rate", F.round("baseline", 6).alias("baseline"), F.round("spread", 6).alias("spread"), "spike")
 
 
+@query("deny_shifts")
+def deny_shifts(spark, folder):
+    kpis = M.kpi_windows(log(spark, folder), 3600, ("tenant_id",))
+    both = [M.shifts(kpis, ("tenant_id",), sigmas=3.0, down=down).withColumn("direction", F.lit(name)) for name, down in (("up", False), ("down", True))]
+    return both[0].unionByName(both[1])
+
+
 @query("guard_health")
 def guard_health(spark, folder):
     n = F.col("event_id") % 20

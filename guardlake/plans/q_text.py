@@ -12,7 +12,7 @@ from guardlake.operators import normalize as N
 from guardlake.functions import text as T
 from guardlake.plans import flow
 from guardlake.plans.registry import csv, query
-from guardlake.sources import bundle, messages, sinks, tables
+from guardlake.sources import audit_store, bundle, keyed_state, messages, sinks, tables
 from guardlake.spark import shared_folder
 
 KEYS = ["conv_id", "turn"]
@@ -101,6 +101,28 @@ def audit_recent(spark, folder):
     return audit.recent_events(audit_rows(spark, folder), limit=50, offset=10).select("event_id", "event_type", "subject", "us")
 
 
+def stored_audit(spark, folder):
+    """The audit rows in a store of two appends, with the rows' columns and the list of dates."""
+    rows, path = audit_rows(spark, folder), f"{shared_folder(spark)}/audit-store-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        audit_store.append(rows.filter(F.col("event_id") % 2 == half), path, "session_id", parts=4, files=2)
+    return audit_store.stored(spark, path, rows), spark.read.parquet(f"{path}/dates")
+
+
+@query("audit_store_lookup")
+def audit_store_lookup(spark, folder):
+    log = tables.fx_log(spark, folder)
+    wanted = log.filter((F.col("action") == "deny") & (F.col("input_score") == 100)).select("session_id").distinct()
+    store, _ = stored_audit(spark, folder)
+    return audit_store.lookup(store, wanted, "session_id", parts=4).select("event_id", "session_id", "subject", "event_type", "reason_code", "us", "event_date")
+
+
+@query("audit_store_newest")
+def audit_store_newest(spark, folder):
+    store, dates = stored_audit(spark, folder)
+    return audit_store.newest(store, dates, 50).select("event_id", "event_type", "subject", "us")
+
+
 @query("decision_log")
 def decision_log(spark, folder):
     r = audit.decision_records(flow.records_of(spark, folder))
@@ -126,6 +148,20 @@ def latest_state(spark, folder):
     return sinks.newest(latest, ["updated_at", "event_id"], 100)
 
 
+@query("latest_state_delta")
+def latest_state_delta(spark, folder):
+    """The latest state of every key, from three appends (one of them all late) and the compactions after them."""
+    writes = tables.fx_log(spark, folder).select(F.col("tenant_id").alias("namespace"), F.col("session_id").alias("key"),
+                                                 F.col("action").alias("payload"), F.col("us").alias("updated_at"), "event_id")
+    state = keyed_state.State(f"{shared_folder(spark)}/state-{uuid.uuid4().hex}", ("namespace", "key"), "payload", ("updated_at", "event_id"), writes.schema)
+    keyed_state.create(spark, state)
+    for batch, which in enumerate((1, 0, 2)):
+        keyed_state.append(writes.filter(F.col("event_id") % 3 == which), state, batch)
+        if batch < 2:
+            keyed_state.compact(spark, state, batch, share=0.5)
+    return keyed_state.read(spark, state)
+
+
 # --- normalisation and validation -----------------------------------------
 
 @query("normalize_messages")

