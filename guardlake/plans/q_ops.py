@@ -73,6 +73,12 @@ def kpi_stream(spark, folder):
     return kpi_stream.replay(spark, folder)
 
 
+@query("kpi_partials")
+def kpi_partials(spark, folder):
+    from guardlake.streaming import files, kpi_stream
+    return kpi_stream.run_partials(files.log_stream(spark, folder), 3600, ("tenant_id",))
+
+
 @query("deny_top_reasons")
 def deny_top_reasons(spark, folder):
     return M.top_reasons(log(spark, folder), 3)

@@ -46,6 +46,7 @@ _bucket = lambda w: f"{big(f'us // {w * 1000000} * {w}')} AS bucket_s"
 SQL["kpi_windows"] = sql(f"SELECT *, round(denied / requests, 6) AS deny_rate FROM (SELECT {_bucket(21600)}, {_kpis} FROM fx_log GROUP BY bucket_s) k", "fx_log")
 SQL["kpi_sliding"] = sql(f"SELECT start_s, {_kpis} FROM (SELECT *, us // 3600000000 * 3600 AS start_s FROM fx_log UNION ALL SELECT *, us // 3600000000 * 3600 - 3600 FROM fx_log) s GROUP BY start_s", "fx_log")
 SQL["kpi_stream"] = sql(f"SELECT {_bucket(3600)}, {_kpis} FROM fx_log GROUP BY bucket_s", "fx_log")
+SQL["kpi_partials"] = sql(f"SELECT *, round(denied / requests, 6) AS deny_rate FROM (SELECT tenant_id, {_bucket(3600)}, {_kpis} FROM fx_log GROUP BY tenant_id, bucket_s) k", "fx_log")
 SQL["deny_top_reasons"] = sql("SELECT reason_code, count(*) AS denials FROM fx_log WHERE action = 'deny' GROUP BY reason_code ORDER BY denials DESC, reason_code LIMIT 3", "fx_log")
 SQL["deny_segments"] = sql("SELECT subject, tenant_id, client_id, count(*) AS denials, CAST(grouping_id(subject, tenant_id, client_id) AS INT) AS level FROM fx_log WHERE action = 'deny' GROUP BY CUBE (subject, tenant_id, client_id)", "fx_log")
 SQL["deny_spikes"] = sql(f"""SELECT tenant_id, bucket_s, deny_rate, round(baseline, 6) AS baseline, round(spread, 6) AS spread, coalesce(deny_rate > baseline + 1.5 * spread, FALSE) AS spike FROM

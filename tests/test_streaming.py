@@ -110,3 +110,22 @@ def test_streams_read_folders_and_several_files(spark, tmp_path):
     for name in ("folder", "flat"):
         got = kpi_stream.replay(spark, f"file://{tmp_path}/{name}").select("bucket_s", "requests", "denied")
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_partials_take_late_rows_without_reading_older_ones(spark, tmp_path):
+    """Late files come in a second run, which reads those alone and adds to their buckets only."""
+    from guardlake.operators.kpi import kpi_windows
+    from guardlake.streaming import files, kpi_stream
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    folder, path = f"file://{tmp_path}/in", f"file://{tmp_path}/partials"
+    late = (F.col("event_id") % 5 == 0) & (F.dayofmonth("ts") == 3)
+    events.filter(~late).coalesce(1).write.parquet(f"{folder}/events_a.parquet")
+    first = kpi_stream.run_partials(files.log_stream(spark, folder), path=path).agg(F.sum("requests")).head()[0]
+    events.filter(late).coalesce(1).write.parquet(f"{folder}/events_b.parquet")
+    got = kpi_stream.run_partials(files.log_stream(spark, folder), path=path)
+    want = kpi_windows(tables.fx_log(spark, SMALL), 3600).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    batches = spark.read.parquet(f"{path}/out")
+    second = batches.filter(F.col("batch_id") == batches.agg(F.max("batch_id")).head()[0])
+    assert second.agg(F.sum("requests")).head()[0] == events.filter(late).count() == events.count() - first > 0
+    assert second.select("bucket_s").distinct().count() < batches.select("bucket_s").distinct().count() / 2
