@@ -84,6 +84,29 @@ def test_rounds_with_null_keys_and_no_rows(spark):
     assert exact_limits.replay(rows.filter("false"), state.rule_effects(shipped()))[0].count() == 0
 
 
+def test_rounds_do_not_grow_with_chains_of_corrections(spark):
+    """One client asks every five seconds, so each admission depends on the ones before it, from the first to the last."""
+    rows = state.stateless(state.log_features(tables.fx_log(spark, SMALL)), shipped()).filter("request_id < 600").withColumns({
+        "subject": F.lit("u"), "client_id": F.lit("ip"), "session_id": F.col("request_id").cast("string"),
+        "us": F.col("request_id") * 5_000_000, "input_score": F.lit(85)})
+    want = simulate(rows.collect(), shipped())
+    assert len({v[0] for v in want.values()}) > 1
+    done, _ = exact_limits.replay(rows, state.rule_effects(shipped()), most=12)
+    assert {r.request_id: (r.verdict, r.risk_score, r.action) for r in done.collect()} == want
+
+
+def test_rounds_over_small_blocks_equal_the_simulation(spark):
+    rows = state.stateless(state.log_features(tables.fx_log(spark, SMALL)), shipped()).withColumns({
+        "subject": F.lit("u"), "client_id": F.expr("concat('ip', request_id % 3)"), "us": F.col("us") / 20})
+    rows = rows.withColumn("us", F.col("us").cast("long"))
+    want = simulate(rows.collect(), shipped())
+    assert len({v[0] for v in want.values()}) >= 3
+    whole, _ = exact_limits.replay(rows, state.rule_effects(shipped()))
+    for done in (whole, exact_limits.replay(rows, state.rule_effects(shipped()), block=100)[0]):
+        assert {r.request_id: (r.verdict, r.risk_score, r.action) for r in done.collect()} == want
+        assert done.exceptAll(whole).count() == 0
+
+
 def test_rule_by_state_equals_direct_decision(spark):
     feats = state.log_features(tables.fx_log(spark, SMALL))
     by_state = state.stateless(feats, shipped())
