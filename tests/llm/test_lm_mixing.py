@@ -159,3 +159,24 @@ def test_a_model_survives_its_packing():
 def test_held_out_texts_score_better_than_the_base(spark):
     got = queries.op11_lm_mixing(spark, "/root/testdata/sf0.01").groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
     assert all(r["s"] > r["b"] for r in got)
+
+
+def test_weights_are_fitted_on_every_training_document(spark, monkeypatch):
+    """The learner counts the texts it is given: all of them, however many there are."""
+    rows = spark.range(30_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    learned, met = lm_mixing._learned, spark.sparkContext.accumulator(0)
+
+    def counting(shared):
+        run = learned(shared)
+
+        def learn(batches):
+            def through():
+                for batch in batches:
+                    met.add(batch.num_rows)
+                    yield batch
+            return run(through())
+        return learn
+
+    monkeypatch.setattr(lm_mixing, "_learned", counting)
+    lm_mixing.train(rows)
+    assert met.value >= 30_000
