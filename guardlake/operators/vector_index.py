@@ -9,7 +9,10 @@
    best k of each query and unit leave it, and a window picks the best k of the query.
 4. ``probes_for`` finds the number of probes that a recall needs, from the exact neighbours of
    a bounded sample of queries: the recall for any number of probes follows from the rank of
-   each neighbour's cell. Probing all cells is the exact search.
+   each neighbour's cell.
+5. Probing all cells is the exact search. Then a query need not be sent to each cell: all of the index is cut into groups
+   of about ``GROUP`` vectors, the queries into parts of about ``QUERIES``, and a unit is a group and a part. All pairs
+   are compared, which is quadratic; a unit holds a tile of scores at a time and the best k of each query.
 
 Scores are cosines in double precision; equal scores (to six digits) go to the least id. A
 null vector, one of zero length or one of another dimension than most is in no cell and
@@ -23,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 from guardlake.spark import kept
 
 SAMPLE, SLICE, PART = 20_000, 4096, 1024
+GROUP, QUERIES = 32_768, 16_384
+#: Queries and vectors whose scores are worked out at once.
+TILE = 256, 4096
 MOST_CELLS = 4096
 ROWS = "id long, vector array<double>"
 
@@ -89,6 +94,9 @@ def _nearest(units: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarra
     out = np.empty((len(units), min(probes, len(centroids))), np.int64)
     for at in range(0, len(units), 2048):
         scores = np.round(units[at:at + 2048] @ centroids.T, 9)
+        if out.shape[1] == 1:
+            out[at:at + 2048, 0] = scores.argmax(axis=1)
+            continue
         out[at:at + 2048] = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
     return out
 
@@ -114,6 +122,38 @@ def build(vectors: DataFrame, centroids: np.ndarray) -> Index:
     return Index(placed.withColumn("slice", F.pmod(F.xxhash64("id"), cut)), centroids, slices)
 
 
+FOUND = "query_id long, id long, score double, probe int"
+
+
+def _matrix(table: pa.Table, width: int) -> np.ndarray:
+    return table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _best(wanted: np.ndarray, given: np.ndarray, ids: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of each wanted row among the given ones: rows of both, and scores; equal scores go to the least id, a null id first."""
+    known, number = ids.is_valid().to_numpy(), pc.fill_null(ids, 0).to_numpy()
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(wanted), TILE[0]):
+        some = wanted[at:at + TILE[0]]
+        who, which, score = out[0]
+        least = np.full(len(some), -2.0)  # a score that the k-th best reaches, so far
+        for low in range(0, len(given), TILE[1]):
+            scores = some @ given[low:low + TILE[1]].T
+            if low == 0 and scores.shape[1] > k:
+                least = np.round(np.partition(scores, -k, axis=1)[:, -k], 6)
+            row, column = np.nonzero(scores >= least[:, None] - 1e-6)
+            who, which, score = (np.concatenate(x) for x in ((who, row), (which, column + low), (score, np.round(scores[row, column], 6))))
+            if len(who) > 4 * k * len(some) or low + TILE[1] >= len(given):
+                order = np.lexsort((number[which], known[which], -score, who))
+                first = np.searchsorted(who[order], np.arange(len(some)))
+                place = np.arange(len(order)) - first[who[order]]
+                order, place = order[place < k], place[place < k]
+                who, which, score = who[order], which[order], score[order]
+                least[who[place == k - 1]] = score[place == k - 1]
+        out.append((who + at, which, score))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
     """The best k of each query (id, vector) among the cells it probes (None: all, which is exact): query_id, id, score, rank, probe.
 
@@ -124,6 +164,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
     if not slices:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int, probe int")
     probes = min(probes or len(centroids), len(centroids))
+    if probes == len(centroids):
+        return _search_all(index, queries, k)
     width, counts = centroids.shape[1], np.array([slices.get(c, 0) for c in range(len(centroids))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,21 +193,49 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
     asked = asked.join(parts, ["cell", "slice"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))).drop("parts")
     rows = index.table.join(parts, ["cell", "slice"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            wanted, given, ids = np.stack(left["vector"].to_list()), np.stack(right["vector"].to_list()), right["id"].to_numpy()
-            for at in range(0, len(left), 256):
-                scores = np.round(wanted[at:at + 256] @ given.T, 6)
-                for i, row in enumerate(scores):
-                    least = np.partition(row, -k)[-k] if len(row) > k else -2.0
-                    some = np.flatnonzero(row >= least)
-                    some = some[np.lexsort((ids[some], -row[some]))][:k]
-                    out.append(pd.DataFrame({"query_id": left["id"].iloc[at + i], "id": ids[some], "score": row[some], "probe": left["probe"].iloc[at + i]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": [], "probe": []})
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted, given, ids = _matrix(left, width), _matrix(right, width), right.column("id")
+        who, which, score = _best(wanted, given, ids, k)
+        return pa.table([left.column("id").take(pa.array(who)), ids.take(pa.array(which)), pa.array(score), left.column("probe").take(pa.array(who))],
+                        names=["query_id", "id", "score", "probe"])
 
     keys = ("cell", "slice", "part")
-    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, "query_id long, id long, score double, probe int")
+    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(best, FOUND)
+    return _ranked(found, k)
+
+
+def _search_all(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The best k of each query among all vectors of the index."""
+    centroids, width = index.centroids, index.centroids.shape[1]
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, units = _units(batch.column("vector"), width)
+            ends = pa.array(np.arange(len(rows) + 1) * width, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(units.reshape(-1)))], names=["id", "vector"])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted, given, ids = _matrix(left, width), _matrix(right, width), right.column("id")
+        who, which, score = _best(wanted, given, ids, k)
+        cell, probe = right.column("cell").to_numpy()[which], np.empty(len(who), np.int32)
+        for at in range(0, len(who), 1024):
+            one, own = who[at:at + 1024], cell[at:at + 1024, None]
+            near = np.round(wanted[one] @ centroids.T, 9)
+            mine = np.take_along_axis(near, own, 1)
+            probe[at:at + 1024] = 1 + (near > mine).sum(axis=1) + ((near == mine) & (np.arange(len(centroids)) < own)).sum(axis=1)
+        return pa.table([left.column("id").take(pa.array(who)), ids.take(pa.array(which)), pa.array(score), pa.array(probe)], names=["query_id", "id", "score", "probe"])
+
+    asked = kept(queries.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(unit, ROWS))
+    groups, parts = max(1, -(-index.table.count() // GROUP)), max(1, -(-asked.count() // QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # The vector counts in the hash as well, so that rows which repeat an id spread.
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", "vector", F.lit(3)), F.lit(parts).cast("long"))).withColumn("unit", each(groups))
+    rows = index.table.withColumn("unit", F.pmod(F.xxhash64("id", "vector", F.lit(4)), F.lit(groups).cast("long"))).select(
+        "id", "vector", "cell", "unit", each(parts).alias("part"))
+    return _ranked(asked.groupBy("unit", "part").cogroup(rows.groupBy("unit", "part")).applyInArrow(best, FOUND), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank", "probe")
 

@@ -72,3 +72,34 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], V.ROWS)
     index = V.build(none, V.fit(none))
     assert V.search(index, none).count() == 0 and V.probes_for(index, none) == 1
+
+
+def test_exact_search_sends_a_query_once_to_a_group_of_cells(spark, monkeypatch):
+    """Many equal scores over several groups, parts and tiles; what is sent does not grow with the number of cells."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-1, 2, 6).astype(float).tolist()) for i in range(900)]
+    rows = [(i, v if any(v) else [1.0] * 6) for i, v in rows]
+    vectors = spark.createDataFrame(rows, V.ROWS)
+    monkeypatch.setattr(V, "GROUP", 300)
+    monkeypatch.setattr(V, "QUERIES", 40)
+    monkeypatch.setattr(V, "TILE", (16, 64))
+    index, kept, sent = V.build(vectors, V.fit(vectors, cells=30)), V.kept, []
+
+    def counting(df):
+        out = kept(df)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(V, "kept", counting)
+    queries = vectors.filter("id % 10 = 0")
+    got = V.search(index, queries, 7).collect()
+    assert max(sent) <= 90  # a row per query, not per query and cell
+    want = exact(rows, [i for i, _ in rows if i % 10 == 0], 7)
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["id"])
+    assert found == want
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    cells = {r["id"]: r["cell"] for r in index.table.collect()}
+    for r in got[:100]:
+        assert V._nearest(units[r["query_id"]][None], index.centroids, 30)[0, r["probe"] - 1] == cells[r["id"]]
