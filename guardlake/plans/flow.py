@@ -116,25 +116,27 @@ def guarded_candidates(spark, folder: str, decided: DataFrame) -> DataFrame:
     return R.with_drop_reason(best.join(open_, "trace_id").join(chunks, "chunk_id", "left"))
 
 
-def retrieval_blocks(spark, folder: str, decided: DataFrame) -> DataFrame:
-    allowed = guarded_candidates(spark, folder, decided).filter(F.col("drop_reason").isNull())
+def retrieval_blocks(spark, folder: str, decided: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """``candidates``: those of ``guarded_candidates``, where they are at hand."""
+    candidates = guarded_candidates(spark, folder, decided) if candidates is None else candidates
+    allowed = candidates.filter(F.col("drop_reason").isNull())
     texts = tables.fx_chunks(spark, folder).select("chunk_id", "chunk_text")
     return PR.retrieval_lines(allowed.join(texts, "chunk_id"))
 
 
-def prompt_sections(spark, folder: str, decided: DataFrame) -> DataFrame:
+def prompt_sections(spark, folder: str, decided: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Sections of every request the policy lets through."""
     turns = N.within_request_limit(N.normalize(N.sized(tables.fx_messages(spark, folder))), tables.fx_messages_stored(spark, folder))
     history = PR.history_texts(turns).select("conv_id", "turn", "user_input", "assistant_history")
     passed = decided.filter(passes()).select("trace_id", "conv_id", "turn", "response_mode")
     full = (history.join(passed, ["conv_id", "turn"])
-            .join(retrieval_blocks(spark, folder, decided), "trace_id", "left")
+            .join(retrieval_blocks(spark, folder, decided, candidates), "trace_id", "left")
             .join(PR.attachment_lines(tables.fx_attachments(spark, folder)), "trace_id", "left"))
     return PR.sections(full, ["trace_id", "response_mode"])
 
 
-def prompts(spark, folder: str, decided: DataFrame) -> DataFrame:
-    return PR.budgeted(PR.render(prompt_sections(spark, folder, decided), ["trace_id", "response_mode"]))
+def prompts(spark, folder: str, decided: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    return PR.budgeted(PR.render(prompt_sections(spark, folder, decided, candidates), ["trace_id", "response_mode"]))
 
 
 def requested_calls(spark, folder: str) -> DataFrame:
@@ -173,15 +175,25 @@ def passes() -> Column:
     return ~F.col("action").isin("deny", "challenge")
 
 
+ANSWER = ("output_action", "output_reasons", "output_signals")
+
+
 def served_of(spark, folder: str) -> DataFrame:
     """One wide row per request: every decision and the outcome."""
+    return _served(spark, folder, lambda df: df)[0]
+
+
+def _served(spark, folder: str, hold) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The wide rows, and the candidates and inspected answers behind them, on which ``hold`` is used (``kept``, if they are read again)."""
     decided = kept_decisions(spark, folder)
+    found = hold(guarded_candidates(spark, folder, decided))
     blocked = authorized_calls(spark, folder, decided).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("requested_tool_count"),
         F.array_sort(F.collect_set(F.when(passes() & ~F.col("allowed"), F.concat_ws(":", "tool_name", "decision")))).alias("blocked_tools"))
-    facts = kept(RD.with_residual_count(prompts(spark, folder, decided), "prompt_text").drop("prompt_text"))
+    facts = kept(RD.with_residual_count(prompts(spark, folder, decided, found), "prompt_text").drop("prompt_text"))
     prompt = facts.select("trace_id", "residual_count", "token_budget_exceeded")
-    answers = inspected(spark, folder, facts).select("trace_id", "output_action")
+    said = hold(inspected(spark, folder, facts).select("trace_id", *ANSWER))
+    answers = said.select("trace_id", "output_action")
     wide = (decided.join(rate_allowed(decided), "trace_id").join(blocked, "trace_id", "left")
             .join(prompt, "trace_id", "left").join(answers, "trace_id", "left"))
     wide = wide.withColumns({
@@ -189,18 +201,25 @@ def served_of(spark, folder: str) -> DataFrame:
         "blocked_tools": F.coalesce("blocked_tools", F.array().cast("array<string>")),
         "residual_count": F.coalesce("residual_count", F.lit(0)),
         "budget_outcome": F.when(F.coalesce("token_budget_exceeded", F.lit(False)), "block").otherwise("ok")})
-    return A.outcome(wide)
+    return A.outcome(wide), found, said
 
 
 def records_of(spark, folder: str) -> DataFrame:
     """The wide row with what each later stage decided: guard verdict, retrieval, tools, answer."""
-    served = kept(served_of(spark, folder))
-    candidates = guarded_candidates(spark, folder, served).groupBy("trace_id").agg(
+    served, found, said = _served(spark, folder, kept)
+    served = kept(served)
+    repeated = kept(served.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("trace_id"))
+    if repeated.take(1):  # stages after the wide row see a request as often as it has wide rows
+        again = kept(served.join(repeated, "trace_id", "left_semi"))
+        both = lambda df, more: df.join(repeated, "trace_id", "left_anti").unionByName(more)
+        found = both(found, guarded_candidates(spark, folder, again))
+        said = both(said, inspected(spark, folder, prompts(spark, folder, again)).select("trace_id", *ANSWER))
+    candidates = found.groupBy("trace_id").agg(
         F.count_if(F.col("drop_reason").isNull()).alias("allowed_chunks"), F.count("drop_reason").alias("dropped_chunks"))
     # At most one entry per requested call of one request.
     calls = F.array_sort(F.collect_list(F.struct("call_pos", "tool_name", "decision")))
     tools = authorized_calls(spark, folder, served.filter(passes())).groupBy("trace_id").agg(calls.alias("tool_decisions"))
-    answers = inspected(spark, folder, prompts(spark, folder, served)).select("trace_id", "output_reasons", "output_signals")
+    answers = said.select("trace_id", "output_reasons", "output_signals")
     guard = tables.fx_guard(spark, folder).select("trace_id", "guard_label", "guard_confidence", "guard_risk", "guard_action")
     return (served.join(guard, "trace_id", "left").join(candidates, "trace_id", "left")
             .join(tools, "trace_id", "left").join(answers, "trace_id", "left"))

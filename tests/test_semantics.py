@@ -407,3 +407,26 @@ def test_hot_keys_and_many_matches_stay_linear(spark):
         _seconds(build(n // 10))
         small, large = (min(_seconds(build(m)) for _ in range(2)) for m in (n, 2 * n))
         assert large < 3 * small + 1.0, (name, small, large)
+
+
+def test_decision_log_assembles_and_inspects_once(spark, monkeypatch):
+    """The records take candidates and answers from the wide rows' own stages."""
+    from tables import SMALL
+
+    from guardlake.plans import flow
+    calls = {"guarded_candidates": 0, "prompts": 0, "inspected": 0}
+
+    def counting(name):
+        step = getattr(flow, name)
+
+        def run(*args):
+            calls[name] += 1
+            return step(*args)
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(flow, name, counting(name))
+    records = flow.records_of(spark, SMALL)
+    assert calls == {"guarded_candidates": 1, "prompts": 1, "inspected": 1}
+    answered = records.filter("output_action IS NOT NULL")
+    assert answered.count() > 0 and answered.filter("output_reasons IS NULL OR output_signals IS NULL").count() == 0
