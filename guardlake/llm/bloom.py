@@ -41,8 +41,7 @@ def tested(rows: DataFrame, key: str, filter_: tuple[DataFrame, int]) -> DataFra
     def held(i: int) -> Column:
         bit = _bit(F.col(key), i)
         byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.get(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: byte.bitwiseAND(F.pow(2, s).cast("int"))),
-                     F.pmod(bit, F.lit(8)).cast("int")) > 0
+        return F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) > 0
 
     found = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).join(F.broadcast(bitmaps), "block", "left")
     test = F.lit(True)

@@ -3,7 +3,8 @@
 1. Each text becomes its set of shingle hashes and a MinHash signature, cut into bands.
    Bands and rows are chosen for a target recall at the threshold (``banding``).
    Documents with equal sets are one class; all later steps work on classes.
-2. Classes shuffle on band hashes. A bucket of two classes or more makes candidates.
+2. Band hashes are counted. A bucket of two classes or more makes candidates, and only
+   entries that may be in one (by a Bloom filter) shuffle with their class.
 3. Candidates are compared in units, so that a pair meets once and a set is sent to few
    places: each class has a home, the largest of its buckets; large homes are split into
    cells. A unit is a pair of cells that meet in some bucket, and holds the members that
@@ -95,8 +96,8 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _key(grams: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(grams.tobytes())
+def _key(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,7 @@ def _signer(bands: int, rows: int):
             signed = [signature(g) if len(g) else np.empty(0, np.int64) for g in sets]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in signed])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_hash"), pa.array([_key(g) for g in sets]), pa.array([len(g) for g in sets], pa.int32()),
+                batch.column("doc_id"), batch.column("text_hash"), pa.array([_key(g) for g in sets], pa.binary()), pa.array([len(g) for g in sets], pa.int32()),
                 pa.ListArray.from_arrays(ends, np.concatenate(signed) if signed else np.empty(0, np.int64))],
                 names=["doc_id", "text_hash", "key", "n", "bands"])
 
@@ -136,7 +137,7 @@ def _signer(bands: int, rows: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         sets = shingles(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([_key(g) for g in sets]), pa.array([g.tobytes() for g in sets], pa.binary())], names=["key", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array([_key(g) for g in sets], pa.binary()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["key", "grams"])
 
 
 def text_hash(docs: DataFrame) -> Column:
@@ -177,7 +178,7 @@ def _compare(threshold: float):
             near &= cells[:, None] != cells[None, :]
         links = np.array([sizes[row].sum() for row in near])
         root = np.full(len(keys), -1)
-        for start in np.argsort(keys):  # components of the unit, each named by its least key
+        for start in sorted(range(len(keys)), key=keys.__getitem__):  # components of the unit, each named by its least key
             if root[start] < 0:
                 todo, root[start] = [start], start
                 while todo:
@@ -194,7 +195,7 @@ def _compare(threshold: float):
                 links, roots = unit_rows(keys, rows["cell"].to_numpy(), rows["size"].to_numpy(), rows["grams"].tolist(), low == high)
                 found = links > 0
                 out.append(pd.DataFrame({"key": np.array(keys, object)[found], "links": links[found].astype(np.int64), "root": np.array(roots, object)[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"key": [], "links": [], "root": []})
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "links": [], "root": []}, dtype=object)
 
     return compare
 
@@ -223,44 +224,47 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -
     bands, rows = banding(threshold, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_hash(docs).alias("text_hash"), "text")
-    signed, _ = stage(in_arrow(read, _signer(bands, rows), f"doc_id {kind}, text_hash string, key string, n int, bands array<bigint>"), "signed")
+    signed, _ = stage(in_arrow(read, _signer(bands, rows), f"doc_id {kind}, text_hash string, key binary, n int, bands array<bigint>"), "signed")
     classes, classes_at = stage(signed.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     spark = docs.sparkSession
-    entries = classes.select("key", "n", F.explode("bands").alias("bucket"))
+    entries = classes.select("key", "rep", "size", "n", F.explode("bands").alias("bucket"))
     buckets, buckets_at = stage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members, members_at = stage(entries.join(buckets, "bucket"), "members")
-    homes = members.groupBy("key").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home"), F.first("n").alias("n"))
+    shared = bloom.tested(entries, "bucket", bloom.repeated(buckets, "bucket", buckets.count(), least=1)).filter("maybe").drop("maybe")
+    members, members_at = stage(shared.join(buckets, "bucket"), "members")
+    homes = members.groupBy("key").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home"), *[F.first(c).alias(c) for c in ("rep", "size", "n")])
     cut = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL_CLASSES, F.sum("n") / CELL_SHINGLES)).alias("cells"))
     cut, cut_at = stage(cut, "cut")
     cells, cells_at = stage(homes.join(cut, "home").select(
-        "key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("cells"))).alias("cell")), "cells")
-    placed, placed_at = stage(members.select("key", "bucket").join(cells, "key"), "placed")
+        "key", "rep", "size", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("cells"))).alias("cell")), "cells")
+    placed, placed_at = stage(members.select("key", "bucket").join(cells.select("key", "size", "cell"), "key"), "placed")
     drop(spark, buckets_at, members_at, cut_at)
     present, present_at = stage(placed.select("bucket", F.col("cell").alias("other")).distinct(), "present")
     units = placed.join(present, "bucket").select(
-        "key", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high")).distinct()
+        "key", "size", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high")).distinct()
     units, units_at = stage(units, "units")
     drop(spark, placed_at, present_at)
 
-    wanted = cells.join(classes, "key").select("rep", "key", "size")
-    filter_ = bloom.repeated(wanted, "rep", wanted.count(), least=1)
+    filter_ = bloom.repeated(cells, "rep", cells.count(), least=1)
     texts = bloom.tested(docs.select("doc_id", "text"), "doc_id", filter_).filter(F.col("maybe") | F.col("doc_id").isNull())
-    found = in_arrow(texts.select("text"), _sets, "key string, grams binary")
-    sets, sets_at = stage(found.join(cells.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = in_arrow(texts.select("text"), _sets, "key binary, grams binary").dropDuplicates(["key"])
     bins = max(1, math.ceil(units.count() / 2000))
-    work = units.join(classes.select("key", "size"), "key").join(sets, "key").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))
-    results, _ = stage(work.groupBy("bin").applyInPandas(_compare(threshold), "key string, links long, root string"), "links")
-    drop(spark, cells_at, units_at, sets_at)
+    work = units.join(sets, "key").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))
+    results, _ = stage(work.groupBy("bin").applyInPandas(_compare(threshold), "key binary, links long, root binary"), "links")
+    drop(spark, units_at)
 
+    # Only classes with links need names: any other is a group of its own.
     labels = components(results.select("key", "root"))
     links = results.groupBy("key").agg(F.sum("links").alias("links"))
-    known = classes.select("key", "rep", "size").join(links, "key", "left").join(labels, "key", "left")
-    known, _ = stage(known.select("key", "rep", "size", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "known")
-    drop(spark, classes_at)
-    names = known.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("size").alias("group_size"))
-    return signed, stage(known.join(names, "label").select("key", "size", "links", "class_id", "group_size"), "named")[0]
+    linked, linked_at = stage(cells.select("key", "rep", "size").join(links, "key").join(labels, "key"), "linked")
+    names = linked.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("size").alias("group_size"))
+    named, _ = stage(linked.join(names, "label").select("key", "links", "class_id", "group_size"), "named")
+    known, _ = stage(classes.select("key", "rep", "size").join(named, "key", "left").select(
+        "key", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"),
+        F.coalesce("group_size", "size").alias("group_size")), "known")
+    drop(spark, classes_at, cells_at, linked_at)
+    return signed, known
 
 
 def report(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:

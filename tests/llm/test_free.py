@@ -387,6 +387,35 @@ def test_join_equals_all_pairs(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in stay.collect()) == sorted(i for i, (c, _) in got.items() if c == i)
 
 
+def test_only_shared_band_hashes_shuffle_with_their_class(spark, monkeypatch):
+    """Entries meet the counted band hashes after a filter; before, each of them shuffled with its class."""
+    seen, tested = {}, ngram_join.bloom.tested
+
+    def noted(rows, key, filter_):
+        out = tested(rows, key, filter_)
+        seen[key] = rows.count(), out.filter("maybe").count()
+        return out
+
+    monkeypatch.setattr(ngram_join.bloom, "tested", noted)
+    rng = random.Random(5)
+    texts = [next(_family(rng, 60, 1)) for _ in range(300)] + [t for t, _ in zip(_family(rng, 200, 4), range(5))]
+    rows = list(enumerate(texts))
+    got = ngram_join.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute.near_groups(rows)
+    bands, _ = ngram_join.banding()
+    entries, kept = seen["bucket"]
+    assert entries == 305 * bands and 0 < kept <= 6 * bands
+
+
+def test_bits_of_the_filter(spark):
+    """The filter holds its keys, and few others."""
+    keys = spark.range(4000).select((F.col("id") * 7919).alias("k"))
+    held = ngram_join.bloom.tested(spark.range(40000).select((F.col("id") * 7919).alias("k")), "k", ngram_join.bloom.repeated(keys, "k", 4000, least=1))
+    counts = {r["inside"]: (r["maybe"], r["n"]) for r in held.groupBy((F.col("k") < 4000 * 7919).alias("inside")).agg(
+        F.count_if("maybe").alias("maybe"), F.count(F.lit(1)).alias("n")).collect()}
+    assert counts[True] == (4000, 4000) and counts[False][0] < 0.02 * counts[False][1]
+
+
 def test_join_of_documents(docs, edge, empty):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.report(docs).collect()} == brute.near_groups(rows)
