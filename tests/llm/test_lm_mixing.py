@@ -148,6 +148,32 @@ def test_words_have_chances_that_sum_to_one():
     assert abs(total - 1) < 1e-9
 
 
+def peak_mb(run):
+    import tracemalloc
+    tracemalloc.start()
+    out = [batch.column("data")[0].as_py() for batch in run()]
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+def test_learning_takes_little_beside_its_tables(monkeypatch):
+    """Counts of bits are the same for any slices, and their temporary arrays stay small: 34 and 8 MB of tables are the most."""
+    from types import SimpleNamespace
+    monkeypatch.setattr(lm_mixing, "_task", lambda: 0)
+    rng = np.random.default_rng(3)
+    words = pa.array([f"{w:x}" for w in rng.integers(0, 1 << 40, 50_000)])
+    texts = pa.array([" ".join(f"w{w}" for w in rng.integers(0, 40, 120_000))])
+    model = small_model([" ".join(f"w{i % 40}" for i in range(400))])
+    runs = {"words": lambda: lm_mixing._spelling(model.letters)(iter([pa.RecordBatch.from_pydict({"word": words})])),
+            "texts": lambda: lm_mixing._word_tables(SimpleNamespace(value=model))(iter([pa.RecordBatch.from_pydict({"text": texts})]))}
+    got = {k: peak_mb(run) for k, run in runs.items()}
+    assert got["words"][1] < 60 and got["texts"][1] < 100
+    monkeypatch.setattr(lm_mixing, "TOKENS", 1 << 17)
+    monkeypatch.setattr(lm_mixing, "SPELLED", 50_000)
+    assert all(peak_mb(run)[0] == got[k][0] for k, run in runs.items())
+
+
 def test_a_model_survives_its_packing():
     import pickle
     model = small_model(["a b c"])
