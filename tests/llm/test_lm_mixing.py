@@ -206,3 +206,48 @@ def test_weights_are_fitted_on_every_training_document(spark, monkeypatch):
     monkeypatch.setattr(lm_mixing, "_learned", counting)
     lm_mixing.train(rows)
     assert met.value >= 30_000
+
+
+def test_several_slices_look_their_words_up_together(monkeypatch):
+    """A look-up hashes the whole head, so it is not done for every slice; slices and symbols stay as they were."""
+    texts = pa.array([*[f"the w{i % 9} cat new{i}" for i in range(700)], "", None, "mat " * (lm_mixing.BYTES // 3), *["on the mat"] * 700])
+    model, batch, calls = small_model([" ".join(f"w{i % 9} the cat" for i in range(90))]), pa.RecordBatch.from_pydict({"text": texts}), []
+    plain = lm_mixing.pc.index_in
+
+    def counting(*args, **more):
+        calls.append(1)
+        return plain(*args, **more)
+
+    monkeypatch.setattr(lm_mixing, "_task", lambda: 0)
+    monkeypatch.setattr(lm_mixing.pc, "index_in", counting)
+    from types import SimpleNamespace
+    list(lm_mixing._word_tables(SimpleNamespace(value=model))(iter([batch])))
+    parts = list(lm_mixing.slices(iter([batch])))
+    assert len(parts) > 5 and len(calls) == 2  # up to the long text, and after it
+    for alone, (part, words) in zip(parts, model.slices(iter([batch])), strict=True):
+        assert alone.equals(part)
+        assert all(np.array_equal(a, b) for a, b in zip(model.symbols(*words), model.symbols(*model.words(alone.column("text")))))
+
+
+def test_mixing_is_the_same_for_any_blocks(monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 11} the rare{i * j % 13}" for j in range(i % 40)) for i in range(150)]
+    model, mixer = small_model(texts), lm_mixing.Mixer()
+    part = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    for own in (False, True):
+        got = []
+        for block in (1 << 13, 50, 1):
+            monkeypatch.setattr(lm_mixing, "BLOCK", block)
+            cost, *_, weights, used, seen = lm_mixing.mixed(model, mixer, part, own)
+            got.append((cost, weights, used, seen))
+        assert all(np.allclose(a, b, rtol=1e-6) for other in got[1:] for a, b in zip(got[0], other))
+
+
+def test_tables_carry_predictions_and_levels():
+    counts = [(0, 0), (1, 0), (0, 1), (1, 1), (3, 1), (40, 2), (1023, 1023)]
+    table = np.array([a + (b << 16) for a, b in counts], np.uint32)
+    level = [0 if n == 0 else 1 if n < 4 else 2 if n < 32 else 3 for n in range(2047)]
+    plain, own = lm_mixing.stretched(table, False), lm_mixing.stretched(table, True)
+    for k, (a, b) in enumerate(counts):
+        for got, zero, one in ((plain[k], a, b), (own[2 * k], max(a - 1, 0), b), (own[2 * k + 1], a, max(b - 1, 0))):
+            x, tag = lm_mixing.untagged(np.array([got]))
+            assert x[0] == (lm_mixing._LOG[one] - lm_mixing._LOG[zero] or lm_mixing.LEAST) and tag[0] == level[zero + one]
